@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key that holds at least one row in HOT_SHARE is joined by broadcast; at most HOT_SHARE keys can.
 HOT_SHARE = 1000
@@ -53,6 +54,10 @@ def crc_bucket(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
+
+
 def pieces(values: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive rows that hold about `most` bytes together, one row at least."""
     ends = np.cumsum(np.asarray(pc.binary_length(values).fill_null(0)), dtype=np.int64)
@@ -75,3 +80,20 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int,
     few = left.join(F.broadcast(hot), key)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return few.unionByName(rest)
+
+
+def uri_open(path: str, mode: str):
+    """A binary stream to write ("wb") or a seekable file to read ("rb"), for file: and any URI that pyarrow knows."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" not in path:
+        return open(path, mode)
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_output_stream(inner) if mode == "wb" else system.open_input_file(inner)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
