@@ -1,7 +1,7 @@
 """The queries of the operators in this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, exactdedup, grammar, wordbpe
+from . import decontaminate, exactdedup, grammar, langid, warc, wordbpe
 
-_MODULES = (exactdedup, wordbpe, grammar, decontaminate)
+_MODULES = (exactdedup, langid, warc, wordbpe, grammar, decontaminate)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
