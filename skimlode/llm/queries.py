@@ -1,7 +1,7 @@
 """The queries of the operators in this subpackage, and the SQL of those that SQL can express."""
 
-from . import brown, decontaminate, exactdedup, grammar, langid, sharding, warc, wordbpe
+from . import brown, decontaminate, exactdedup, grammar, jaccard, langid, sharding, warc, wordbpe
 
-_MODULES = (brown, exactdedup, sharding, langid, sharding, warc, wordbpe, grammar, decontaminate)
+_MODULES = (brown, exactdedup, sharding, langid, sharding, warc, wordbpe, grammar, jaccard, decontaminate)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
