@@ -8,6 +8,8 @@ symbol of its own, and expansions have known lengths, any id can be reached with
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -26,11 +28,17 @@ MAGIC = b"SKLRPAIR"
 HEADER = struct.Struct("<8sIIQQQ")  # magic, first nonterminal, bits of a symbol, documents, rules, symbols
 SHARD_IDS = 1_000_000
 #: Rounds of replacement, most pairs replaced in a round, and how often a pair must occur at least.
-ROUNDS, ROUND_PAIRS, LEAST = 8, 4096, 8
+ROUNDS, ROUND_PAIRS, LEAST = 4, 8192, 8
+#: Slots in which a round looks up its chosen pairs; of pairs that fall into one slot the most frequent stays, the others wait.
+SLOT_BITS = 18
 BATCH_BYTES = 2 << 20
 NO_ID = np.iinfo(np.int64).min
 
 
+def _slot(code: np.ndarray) -> np.ndarray:
+    return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
 def compress(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: symbols, whether each ends a document, rules (pairs) and their expansion lengths.
 
@@ -51,9 +59,16 @@ def compress(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray,
         if not len(often):
             break
         often = often[np.lexsort((heads[often], -counts[often]))][:ROUND_PAIRS]
-        chosen = np.sort(ordered[heads[often]])
-        at = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
-        hit = np.flatnonzero((chosen[at] == code) & inside)
+        chosen = ordered[heads[often]]
+        slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        slots[_slot(chosen[::-1])] = np.arange(len(chosen) - 1, -1, -1)
+        chosen = chosen[np.sort(slots[slots >= 0])]
+        slots[_slot(chosen)] = np.arange(len(chosen))
+        at = slots[_slot(code)]
+        hit = np.flatnonzero((at >= 0) & inside)
+        hit = hit[chosen[at[hit]] == code[hit]]
+        if not len(hit):
+            break
         run = np.concatenate(([0], np.flatnonzero(np.diff(hit) != 1) + 1))
         begin = np.repeat(hit[run], np.diff(np.concatenate((run, [len(hit)]))))
         hit = hit[(hit - begin) % 2 == 0]
@@ -83,16 +98,13 @@ def _packed(symbols: np.ndarray, bits: int) -> bytes:
 
 def _unpacked(raw: bytes, bits: int, count: int, at: int = 0) -> np.ndarray:
     """Symbols at, at + 1, ... (count of them)."""
-    skip = at * bits
-    body = np.frombuffer(raw, np.uint8, offset=skip // 8, count=-(-(skip % 8 + count * bits) // 8))
-    out = []
-    flat = np.unpackbits(body)[skip % 8 : skip % 8 + count * bits].reshape(count, bits)
-    for i in range(0, count, 1 << 18):
-        part = flat[i : i + (1 << 18)]
-        wide = np.zeros((len(part), 32), np.uint8)
-        wide[:, 32 - bits :] = part
-        out.append(np.packbits(wide).view(">u4").astype(np.int64))
-    return np.concatenate(out) if out else np.empty(0, np.int64)
+    if not count:
+        return np.empty(0, np.int64)
+    padded = raw + bytes(8)
+    words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
+    where = np.arange(at, at + count, dtype=np.int64) * bits
+    out = words[where >> 3].astype(np.uint64) >> (64 - bits - (where & 7)).view(np.uint64)
+    return (out & np.uint64((1 << bits) - 1)).view(np.int64)
 
 
 def shard_bytes(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, first: int) -> bytes:
@@ -146,24 +158,68 @@ class Shard:
         return self.expand(symbols[a : b + 1])[start - skipped : stop - skipped]
 
     def all_ids(self) -> np.ndarray:
-        return self.expand(_unpacked(self.body, self.bits, self.n_symbols))
+        """Every id: each rule is expanded once, symbols then copy their expansions."""
+        symbols = _unpacked(self.body, self.bits, self.n_symbols)
+        flat = self.expand(np.arange(self.first, len(self.lengths)))
+        flat = np.concatenate((np.arange(self.first), flat))
+        ends = np.cumsum(self.lengths)
+        counts = self.lengths[symbols]
+        where = np.repeat((ends - self.lengths)[symbols] - np.cumsum(counts) + counts, counts)
+        where += np.arange(len(where))
+        return flat[where]
 
 
 _tables: dict[str, PieceTable] = {}
+#: Pieces that may stand side by side: they begin with at most one space and end with none.
+_PLAIN = re.compile(r" ?[^\s<](?:[^<]*[^\s<])?")
+#: Bytes of one text that the library gets.
+CALL_BYTES = 20_000
 
 
 def _library(file: str) -> PieceTable:
     if file not in _tables:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(file)
-        _tables[file] = PieceTable(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        sizes = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], np.int64)
+        line = tokenizer.encode("\n", add_special_tokens=False).ids
+        _tables[file] = PieceTable(lambda pieces: _encoded(tokenizer, sizes, line, pieces))
     return _tables[file]
 
 
+def _encoded(tokenizer, sizes: np.ndarray, line: list[int], pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The library's ids of distinct pieces, many in one call: all ids in a row, and each piece's first and number.
+
+    Plain pieces are encoded side by side, a line end before those without a space: none of these places is inside a
+    token. How many bytes each token stands for (a letter of the byte-level alphabet each) tells where a piece ends.
+    """
+    plain = np.fromiter((_PLAIN.fullmatch(p) is not None for p in pieces), bool, len(pieces))
+    starts, counts, parts, used = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64), [], 0
+    odd = np.flatnonzero(~plain).tolist()
+    for k, found in zip(odd, tokenizer.encode_batch_fast([pieces[k] for k in odd], add_special_tokens=False)):
+        starts[k], counts[k] = used, len(found.ids)
+        parts.append(np.array(found.ids, np.uint32))
+        used += len(found.ids)
+    owner = np.flatnonzero(plain)
+    text = [p if p[0] == " " else "\n" + p for p in map(pieces.__getitem__, owner.tolist())]
+    size = np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in text), np.int64, len(text))
+    lines = np.fromiter((t[0] == "\n" for t in text), bool, len(text))
+    bounds = np.unique(np.concatenate((np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), CALL_BYTES)), [len(text)])))
+    calls = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+    for (a, b), found in zip(calls, tokenizer.encode_batch_fast(["".join(text[a:b]) for a, b in calls], add_special_tokens=False)):
+        flat = np.array(found.ids, np.uint32)
+        ends, wanted = np.cumsum(sizes[flat]), np.cumsum(size[a:b])
+        at = np.searchsorted(ends, wanted)
+        if (ends[at] != wanted).any():
+            raise ValueError("a token crosses from one piece to the next")
+        first = np.concatenate(([0], at[:-1] + 1)) + len(line) * lines[a:b]
+        starts[owner[a:b]], counts[owner[a:b]] = first + used, at + 1 - first
+        parts.append(flat)
+        used += len(flat)
+    return np.concatenate(parts), starts, counts
+
+
 def _writer(file: str, folder: str, end_id: int, first: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -1,4 +1,4 @@
-"""Texts cut at single spaces into pieces that tokenize by themselves, each distinct piece encoded once while it is remembered."""
+"""Texts cut, at places where no token can cross, into pieces; each distinct piece is encoded once while it is remembered."""
 
 from __future__ import annotations
 
@@ -12,7 +12,10 @@ import numpy as np
 _UNSAFE = re.compile(r"\s | \s|^ | $")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Distinct pieces that a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
+#: What a piece is like: ends with no letter or number, begins with a comma or full stop, begins with a space, is a line
+#: end, or has white space at an end (or nothing at all) so that it may not stand alone.
+ENDS_OTHER, BEGINS_STOP, BEGINS_SPACE, LINE_END, BAD = 1, 2, 4, 8, 16
 
 
 def cut(text: str) -> list[str]:
@@ -20,59 +23,99 @@ def cut(text: str) -> list[str]:
     return _SAFE_CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
 
 
+def cut_spaced(text: str) -> list[str]:
+    """Pieces that make up the text, cut before spaces, commas and full stops and around line ends.
+
+    For patterns that let a space begin a word, and part words, numbers and other signs. PieceTable.documents() finds
+    texts in which such a place is none to cut at, and cuts them by spaces alone.
+    """
+    return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").split("\0")
+
+
+def kind(piece: str) -> int:
+    if piece == "\n":
+        return LINE_END | ENDS_OTHER
+    core = piece[1:] if piece[:1] == " " else piece
+    if not core or core != core.strip():
+        return BAD
+    return ENDS_OTHER * (not core[-1].isalnum()) | BEGINS_STOP * (core[0] in ",." and core is piece) | BEGINS_SPACE * (core is not piece)
+
+
 class PieceTable:
-    """Ids of pieces: one flat array, and a slice of it for each piece."""
+    """Ids of pieces: a flat array, and a slice of it for each piece.
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], remembered: int = REMEMBERED):
+    encode: distinct pieces to ids of each, or to all ids in a row, where each piece's begin, and their numbers.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]] | tuple], remembered: int = REMEMBERED):
         self.encode, self.remembered = encode, remembered
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.starts, self.counts, self.kinds = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32), np.empty(1 << 14, np.uint8)
 
     def _room(self, pieces: int, ids: int) -> None:
         while len(self.flat) < self.used + ids:
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         while len(self.starts) < len(self.index) + pieces:
-            self.starts = np.concatenate((self.starts, np.empty_like(self.starts)))
-            self.counts = np.concatenate((self.counts, np.empty_like(self.counts)))
+            self.starts, self.counts, self.kinds = (np.concatenate((x, np.empty_like(x))) for x in (self.starts, self.counts, self.kinds))
 
     def _learn(self, new: list[str]) -> None:
         got = self.encode(new)
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(counts.sum())
-        self._room(len(new), total)
-        at, ends = len(self.index), self.used + np.cumsum(counts)
-        self.starts[at : at + len(new)], self.counts[at : at + len(new)] = ends - counts, counts
-        self.flat[self.used : self.used + total] = np.fromiter((x for y in got for x in y), np.uint32, total)
-        self.used += total
+        if isinstance(got, tuple):
+            flat, starts, counts = got
+        else:
+            counts = np.fromiter(map(len, got), np.int64, len(got))
+            starts = np.cumsum(counts) - counts
+            flat = np.fromiter((x for y in got for x in y), np.uint32, int(counts.sum()))
+        self._room(len(new), len(flat))
+        at = len(self.index)
+        self.starts[at : at + len(new)], self.counts[at : at + len(new)] = starts + self.used, counts
+        self.kinds[at : at + len(new)] = np.fromiter(map(kind, new), np.uint8, len(new))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
         self.index.update(zip(new, range(at, at + len(new))))
 
-    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in a row, and how many of them each piece has."""
-        if len(self.index) > self.remembered:
-            self._clear()
-        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int32, len(pieces))
         if len(unknown := np.flatnonzero(at < 0)):
-            self._learn(list(dict.fromkeys(pieces[i] for i in unknown)))
-            at[unknown] = [self.index[pieces[i]] for i in unknown]
-        counts = self.counts[at]
-        ends = np.cumsum(counts)
-        where = np.repeat(self.starts[at] - ends + counts, counts)
-        where += np.arange(len(where))
-        return self.flat[where], counts
+            missing = [pieces[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            at[unknown] = np.fromiter(map(self.index.__getitem__, missing), np.int32, len(missing))
+        return at
 
     def documents(self, texts: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has; spaced: the space before a piece belongs to it."""
+        if len(self.index) > self.remembered:
+            self._clear()
         pieces, per_text = [], np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
-            own = cut(text)
-            if spaced and len(own) > 1:
-                own[1:] = [" " + x for x in own[1:]]
+            own = cut_spaced(text) if spaced else cut(text)
             pieces += own
             per_text[i] = len(own)
-        flat, counts = self.ids(pieces)
-        ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(per_text)))]
-        return flat, np.diff(ends)
+        at = self.numbers(pieces)
+        if spaced and len(at):
+            at, per_text = self._recut(texts, at, per_text)
+        counts = self.counts[at]
+        ends = np.cumsum(counts, dtype=np.int64)
+        where = np.repeat(self.starts[at] - ends + counts, counts)
+        where += np.arange(len(where))
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
+        return self.flat[where], np.diff(bounds)
+
+    def _recut(self, texts: list[str], at: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts in which a piece may not stand alone, or not where it does, are cut by spaces alone."""
+        k = self.kinds[at]
+        ends = np.cumsum(per_text)
+        bad = k >= BAD
+        bad[1:] |= ((k[:-1] & ENDS_OTHER) > 0) & ((k[1:] & BEGINS_STOP) > 0) | ((k[:-1] & LINE_END) > 0) & ((k[1:] & (BEGINS_SPACE | LINE_END)) > 0)
+        again = set(np.searchsorted(ends, np.flatnonzero(bad), "right").tolist()) | {i for i, t in enumerate(texts) if "\0" in t}
+        if not again:
+            return at, per_text
+        parts = np.split(at, ends[:-1])
+        for i in again:
+            own = cut(texts[i])
+            parts[i] = self.numbers([own[0], *(" " + x for x in own[1:])])
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
