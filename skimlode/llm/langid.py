@@ -128,13 +128,44 @@ def _joined(owner, parts):
     return np.array(owner), np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1])), np.concatenate(parts)
 
 
+class _Counts:
+    """Distinct keys and their counts, merged whenever enough new ones are there."""
+
+    def __init__(self):
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.new: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, text: str) -> None:
+        codes = _codes(text)
+        for n in SIZES:
+            self.new.append(_grams(codes, n)[0])
+            self.held += len(self.new[-1])
+        if self.held > 1 << 19:
+            self.merge()
+
+    def merge(self) -> _Counts:
+        if self.new:
+            keys, counts = np.unique(np.concatenate(self.new), return_counts=True)
+            both, at = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
+            total = np.zeros(len(both), np.int64)
+            np.add.at(total, at, np.concatenate((self.counts, counts)))
+            self.keys, self.counts, self.new, self.held = both, total, [], 0
+        return self
+
+
 def fit_texts(samples: dict[str, list[str]]) -> Filters:
+    counts = {name: _Counts() for name in samples}
+    for name, texts in samples.items():
+        for t in texts:
+            counts[name].add(t)
+    return _filters(counts)
+
+
+def _filters(counts: dict[str, _Counts]) -> Filters:
     """Filters of the n-grams that are typical of each language: often there, and not much rarer than anywhere else."""
-    names = sorted(samples)
-    counted = []
-    for name in names:
-        keys = [_grams(c, n)[0] for t in samples[name] for c in (_codes(t),) for n in SIZES]
-        counted.append(np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    names = sorted(counts)
+    counted = [(c.keys, c.counts) for c in (counts[name].merge() for name in names)]
     every = np.unique(np.concatenate([k for k, _ in counted])) if names else np.empty(0, np.uint64)
     highest = np.zeros(len(every))
     for keys, n in counted:
@@ -152,8 +183,8 @@ def fit_texts(samples: dict[str, list[str]]) -> Filters:
 def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Filters:
     """Filters from a sample of the labelled rows: of each language the documents with the smallest hashes of their texts.
 
-    Rows without a label or text teach nothing, nor do texts over an eighth of sample_bytes. The driver gets
-    sample_bytes of each language at most.
+    Rows without a label or text teach nothing, nor do texts over an eighth of sample_bytes. The driver counts the
+    sample text by text, and keeps its distinct n-grams only.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= sample_bytes // 8)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
@@ -162,14 +193,15 @@ def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.3 * sample_docs / n)))])
     place = (F.xxhash64("text") / F.lit(2.0**64)) + 0.5
     sample = usable.where(place <= share[F.col("lang")]).withColumn("place", place).orderBy("place", "lang", "text")
-    taken: dict[str, list[str]] = {lang: [] for lang in counts}
-    held = dict.fromkeys(counts, 0)
+    taken = {lang: _Counts() for lang in counts}
+    docs, held = dict.fromkeys(counts, 0), dict.fromkeys(counts, 0)
     for r in sample.select("lang", "text").toLocalIterator():
         size = len(r.text.encode())
-        if len(taken[r.lang]) < sample_docs and held[r.lang] + size <= sample_bytes:
-            taken[r.lang].append(r.text)
+        if docs[r.lang] < sample_docs and held[r.lang] + size <= sample_bytes:
+            taken[r.lang].add(r.text)
+            docs[r.lang] += 1
             held[r.lang] += size
-    return fit_texts(taken)
+    return _filters(taken)
 
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
