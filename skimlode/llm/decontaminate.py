@@ -103,7 +103,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     scanned each for itself. A null item id counts as the empty string. A column `_leak` of docs is replaced.
     No shuffle. A benchmark over block_bytes is scanned in several broadcast blocks, one after the other.
     """
-    spark = docs.sparkSession
+    common.bound_batches(spark := docs.sparkSession)
     kept = docs.drop("_leak")
     leak = T.StructType().add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.LongType()))
     schema = T.StructType(kept.schema.fields + [T.StructField("_leak", leak)])

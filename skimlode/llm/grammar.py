@@ -269,6 +269,7 @@ def write(docs: DataFrame, folder: str, file: str, *, end_id: int = 0, first: in
     bounded by the number of partitions; files of lost or repeated attempts aren't in it. first: the first id that no
     token has. Memory: a shard's ids, and the longest text.
     """
+    common.bound_batches(docs.sparkSession)
     common.make_folder(docs.sparkSession, folder)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     found = sorted(rows.mapInArrow(_writer(file, folder, end_id, first), "part long, path string, n_docs long, n_ids long").collect())

@@ -36,20 +36,17 @@ _LAST = 2**63 - 1
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 300_000:
             self[word] = value
         return value
 
 
-_hashes = _WordHashes()
-
-
-def shingles(text: bytes, n_words: int = WORDS) -> np.ndarray:
+def shingles(text: bytes, n_words: int, hashes: _WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; with fewer words, of all words as one; none without words."""
     words = text.translate(FOLD).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     k = min(n_words, len(h))
     count = len(h) - k + 1
     out = np.full(count, k, np.uint64)
@@ -71,11 +68,11 @@ def _first_pass(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = np.zeros(SLOTS, np.int64)
+        table, hashes = np.zeros(SLOTS, np.int64), _WordHashes()
         names = ["_row", "doc_id", "cls", "size", "block", "node", "counts"]
         for b in batches:
             for lo, hi in common.pieces(b.column(2), BATCH_BYTES):
-                sets = [shingles(t.as_py(), n_words) for t in b.column(2)[lo:hi]]
+                sets = [shingles(t.as_py(), n_words, hashes) for t in b.column(2)[lo:hi]]
                 np.add.at(table, (np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
                 n = hi - lo
                 none = pa.nulls(n, pa.int64())
@@ -121,13 +118,13 @@ def _indexer(shared, ranges: int, n_words: int, percent: int):
     """Prefix entries of each batch, as packed runs sorted by shingle, cut by ranges of shingles; hot shingles are salted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = shared.value
+        slots, hashes = shared.value, _WordHashes()
         hot_from = HOT + int(slots.mean())
         for b in batches:
             for lo, hi in common.pieces(b.column(0), 4 * BATCH_BYTES):
                 parts, seen = [], set()
                 for t in b.column(0)[lo:hi]:
-                    own = shingles(t.as_py(), n_words)
+                    own = shingles(t.as_py(), n_words, hashes)
                     if len(own) and (cls := _class(own)) not in seen:
                         seen.add(cls)
                         first = prefix(own, slots, percent)
@@ -329,10 +326,10 @@ def similar(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_c
     text = common.texts(docs, text_col).alias("text")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = docs.select(F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), text)
-    counted = common.stored(raw.mapInArrow(_first_pass(words), "_row long, doc_id long, cls binary, size long, block long, node long, counts binary"), "shingled")
+    counted = common.stored(raw.mapInArrow(common.releasing(_first_pass(words)), "_row long, doc_id long, cls binary, size long, block long, node long, counts binary"), "shingled")
     rows = counted.where("block IS NULL").select("_row", "doc_id", "cls", "size")
     shared = spark.sparkContext.broadcast(_slot_counts(counted))
-    entries = docs.select(text).mapInArrow(_indexer(shared, ranges, words, percent), "range long, salt long, run binary")
+    entries = docs.select(text).mapInArrow(common.releasing(_indexer(shared, ranges, words, percent)), "range long, salt long, run binary")
     found = common.stored(entries.groupBy("range", "salt").applyInArrow(_buckets(percent), "a binary, b binary, bucket long, chunk long, size long"), "candidates")
     pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
     chunks = found.where("b IS NULL").select(F.col("a").alias("cls"), "bucket", "chunk", "size")
@@ -363,9 +360,10 @@ def similar(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_c
 
 def _shingled(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
         for b in batches:
             for lo, hi in common.pieces(b.column(1), BATCH_BYTES):
-                sets = [shingles(t.as_py(), n_words) for t in b.column(1)[lo:hi]]
+                sets = [shingles(t.as_py(), n_words, hashes) for t in b.column(1)[lo:hi]]
                 right = [k for k, (s, c) in enumerate(zip(sets, b.column(0)[lo:hi].to_pylist())) if _class(s) == c]  # an id may be repeated with other texts
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi].take(pa.array(right, pa.int64())), pa.array([sets[k].tobytes() for k in right], pa.binary())], ["cls", "shingles"])
 

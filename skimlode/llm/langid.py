@@ -211,6 +211,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
     letters are in no filter gets the first language, with score 0. score: the best language's share of all
     corrected counts. Only the text is looked at. No shuffle; pieces of bounded size whatever a text's length.
     """
+    common.bound_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
@@ -221,7 +222,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
                 langs, scores = shared.value.predict([t or "" for t in column[lo:hi].to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, common.with_field(common.with_field(kept.schema, "lang_pred", T.StringType()), "score", T.DoubleType()))
+    return kept.mapInArrow(common.releasing(run), common.with_field(common.with_field(kept.schema, "lang_pred", T.StringType()), "score", T.DoubleType()))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

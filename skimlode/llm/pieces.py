@@ -49,9 +49,9 @@ class PieceTable:
 
     def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]] | tuple], remembered: int = REMEMBERED):
         self.encode, self.remembered = encode, remembered
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.counts, self.kinds = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32), np.empty(1 << 14, np.uint8)
@@ -89,7 +89,7 @@ class PieceTable:
     def documents(self, texts: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has; spaced: the space before a piece belongs to it."""
         if len(self.index) > self.remembered:
-            self._clear()
+            self.clear()
         pieces, per_text = [], np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
             own = cut_spaced(text) if spaced else cut(text)

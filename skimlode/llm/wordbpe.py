@@ -23,6 +23,8 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N
 END = "</w>"
 BATCH_BYTES = 2 << 20
 NEVER = np.int64(1) << 40
+#: Distinct pieces that a worker remembers.
+REMEMBERED = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -192,13 +194,14 @@ def _model(file: str) -> tuple[WordBpe, PieceTable, list[bytes]]:
     """Loaded once in each worker."""
     if file not in _loaded:
         bpe = WordBpe(file)
-        _loaded[file] = bpe, PieceTable(bpe.encode), bpe.token_bytes()
+        _loaded[file] = bpe, PieceTable(bpe.encode, REMEMBERED), bpe.token_bytes()
     return _loaded[file]
 
 
 def _encoder(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, table, _ = _model(file)
+        table.clear()  # what an earlier task has left
         for b in batches:
             column = b.column(b.num_columns - 1)
             for lo, hi in common.pieces(column, BATCH_BYTES):
@@ -207,8 +210,9 @@ def _encoder(file: str):
                 raw = flat.astype("<u4").tobytes()
                 ids = [raw[s:e] for s, e in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[:-1]), pa.array(ids, pa.binary())], [*b.schema.names[:-1], "ids"])
+        table.clear()
 
-    return run
+    return common.releasing(run)
 
 
 def _decoder(file: str):
@@ -229,6 +233,7 @@ def encode(docs: DataFrame, file: str, text_col: str = "text") -> DataFrame:
     Null and empty texts have no ids; an empty table gives no rows. Columns `ids` and `_text` of docs are replaced.
     No shuffle; a batch holds about BATCH_BYTES of text, one text at least.
     """
+    common.bound_batches(docs.sparkSession)
     kept = docs.drop("ids", "_text")
     raw = kept.withColumn("_text", docs[text_col])
     return raw.mapInArrow(_encoder(file), common.with_field(kept.schema, "ids", T.BinaryType()))
@@ -256,6 +261,7 @@ def _digester(file: str):
 
 def token_digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, by encode() and decode()."""
+    common.bound_batches(docs.sparkSession)
     raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     return raw.mapInArrow(_digester(file), f"doc_id {raw.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
