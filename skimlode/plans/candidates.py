@@ -18,7 +18,10 @@ from ..operators.ranges import merge_adjacent
 #: Elements of a mask, and bytes of pattern elements up to which they are broadcast.
 MASK_BITS, BROADCAST_ELEMENTS = 62, 2_000_000
 Element = tuple[str, int]
-W = Window.partitionBy("file_id").orderBy("block_id")
+
+
+def _in_file():
+    return Window.partitionBy("file_id").orderBy("block_id")
 
 
 def data_tests(element: Element) -> Column:
@@ -110,8 +113,8 @@ def candidate_blocks(blocks: DataFrame, block_size: int, byte: ByteFilter | None
     masks = _Masks(wanted, test)
     wide = span(ngram.max_pattern_bytes, block_size) if ngram is not None else 2
     rows = blocks.select("file_id", "block_id", "offset", "length", *[c.alias(n) for n, c in masks.columns.items()])
-    before = lambda name: F.col(name).bitwiseOR(F.coalesce(F.lag(name).over(W), F.lit(0).cast("long")))
-    window = W.rowsBetween(-(wide - 1), 0)
+    before = lambda name: F.col(name).bitwiseOR(F.coalesce(F.lag(name).over(_in_file()), F.lit(0).cast("long")))
+    window = _in_file().rowsBetween(-(wide - 1), 0)
     many = masks.full(lambda name: F.bit_or(F.col(name)).over(window)) if wide >= 3 else F.lit(False)
     return resolve(rows.select("file_id", "block_id", "offset", "length", masks.full(F.col).alias("s"), masks.full(before).alias("p"), many.alias("m"), masks.any().alias("some")), wide)
 
@@ -121,11 +124,11 @@ def resolve(rows: DataFrame, wide: int) -> DataFrame:
     alone = ~F.col("s")
     pair = alone & F.col("p") & (F.col("block_id") >= 1)
     rows = rows.withColumn("p2", pair).withColumn("m2", alone & ~pair & F.col("m") & (F.col("block_id") >= 2))
-    base = F.col("s") | F.col("p2") | F.coalesce(F.lead("p2").over(W), F.lit(False))
+    base = F.col("s") | F.col("p2") | F.coalesce(F.lead("p2").over(_in_file()), F.lit(False))
     if wide >= 3:
-        base = base | F.max("m2").over(W.rowsBetween(0, wide - 1))
+        base = base | F.max("m2").over(_in_file().rowsBetween(0, wide - 1))
     rows = rows.withColumn("base", base)
-    found = F.col("base") | (F.coalesce(F.lead("base").over(W), F.lit(False)) & F.col("some"))
+    found = F.col("base") | (F.coalesce(F.lead("base").over(_in_file()), F.lit(False)) & F.col("some"))
     return rows.withColumn("found", found).where("found").select("file_id", "block_id", "offset", "length")
 
 
@@ -145,15 +148,15 @@ def strict_blocks(blocks: DataFrame, block_size: int, patterns: Sequence[bytes],
         match = F.lit(False)
         for k, p in enumerate(patterns):
             if w <= span(len(p), block_size):
-                first = F.col(f"_f{k}") if w == 1 else F.lag(f"_f{k}", w - 1).over(W)
+                first = F.col(f"_f{k}") if w == 1 else F.lag(f"_f{k}", w - 1).over(_in_file())
                 all_ = F.coalesce(first, F.lit(False)) & F.col(f"_l{k}")
                 for name, want in masks.shape[0][k]:
-                    all_ = all_ & (F.bit_or(F.col(name)).over(W.rowsBetween(-(w - 1), 0)) == F.lit(want))
+                    all_ = all_ & (F.bit_or(F.col(name)).over(_in_file().rowsBetween(-(w - 1), 0)) == F.lit(want))
                 match = match | all_
         rows = rows.withColumn(f"_w{w}", match)
     found = F.lit(False)
     for w in widths:
-        found = found | F.max(f"_w{w}").over(W.rowsBetween(0, w - 1))
+        found = found | F.max(f"_w{w}").over(_in_file().rowsBetween(0, w - 1))
     return rows.withColumn("found", found).where("found").select("file_id", "block_id", "offset", "length")
 
 
