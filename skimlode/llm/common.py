@@ -105,6 +105,13 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int,
     return few.unionByName(rest)
 
 
+def unique_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether ids name rows: none is null or repeated. Only the ids are read."""
+    ids = docs.select(F.col(id_col).alias("id"))
+    repeated = ids.groupBy("id").count().where("count > 1 OR id IS NULL")
+    return not repeated.limit(1).count()
+
+
 def uri_open(path: str, mode: str):
     """A binary stream to write ("wb") or a seekable file to read ("rb"), for file: and any URI that pyarrow knows."""
     if path.startswith("file:"):

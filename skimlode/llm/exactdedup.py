@@ -122,7 +122,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns. Rows are named by their ids if these are unique, else numbered and written."""
+    if common.unique_ids(docs, id_col):
+        raw = docs.select(F.lit(0).cast("long").alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        keys = common.stored(raw.mapInArrow(digests, "_row long, doc_id long, chars long, digest binary"), "digests")
+        return docs.join(classes(keys, keys.count()).select(F.col("keep_id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
     numbered = common.stored(docs.withColumn("_row_of_dedup", F.monotonically_increasing_id()), "numbered")
     raw = numbered.select(F.col("_row_of_dedup").alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keys = common.stored(raw.mapInArrow(digests, "_row long, doc_id long, chars long, digest binary"), "digests")
