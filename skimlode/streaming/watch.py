@@ -39,7 +39,7 @@ def changes(before: DataFrame, after: DataFrame, edits: bool = True) -> DataFram
 
 def index_stream(spark: SparkSession, root: str, out: str, checkpoint: str, config: WatchConfig = WatchConfig(), once: bool = True):
     """A query that appends the summaries of new files below root to Parquet at out; each file is read once."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= config.max_file_bytes)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= config.max_file_bytes)
     blocks = summarize(segment(files.select(F.col("path").alias("file_id"), F.col("content").alias("data")), config.index.block_size), config.index)
     writer = blocks.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{config.interval_seconds} seconds")).start()
