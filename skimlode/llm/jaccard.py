@@ -162,7 +162,7 @@ def _buckets(percent: int):
         e = e[new]
         heads = np.flatnonzero(np.concatenate(([True], e["shingle"][1:] != e["shingle"][:-1])))
         sizes = np.diff(np.append(heads, len(e)))
-        a, b, buckets, chunks, classes, counts = [], [], [], [], [], []
+        a, b, buckets, chunks, classes, counts, members = [], [], [], [], [], [], []
         for size in np.unique(sizes[sizes > 1]):
             if salt or size > FEW:
                 continue
@@ -180,6 +180,9 @@ def _buckets(percent: int):
                 buckets.append(own["shingle"].view(np.int64))
                 chunks.append(chunk + (salt << 32))
                 classes.append(own["cls"])
+                edges = np.concatenate(([0], np.flatnonzero(np.diff(chunk)) + 1, [size]))
+                marks = [xxhash.xxh3_64_intdigest(np.sort(np.frombuffer(own["cls"][i:j].tobytes(), "S16")).tobytes()) for i, j in zip(edges[:-1], edges[1:])]
+                members.append(np.repeat(np.array(marks, np.uint64).view(np.int64), np.diff(edges)))
                 counts.append(own["size"].astype(np.int64))
         pairs = np.unique(np.concatenate((np.frombuffer(np.concatenate(a).tobytes(), ">u8").reshape(-1, 2), np.frombuffer(np.concatenate(b).tobytes(), ">u8").reshape(-1, 2)), axis=1), axis=0) if a else np.empty((0, 4), ">u8")
         raw = pairs.astype(">u8").tobytes()
@@ -193,6 +196,7 @@ def _buckets(percent: int):
                 "bucket": pa.concat_arrays([pa.nulls(n_pairs, pa.int64()), pa.array(join(buckets), pa.int64())]),
                 "chunk": pa.concat_arrays([pa.nulls(n_pairs, pa.int64()), pa.array(join(chunks), pa.int64())]),
                 "size": pa.concat_arrays([pa.nulls(n_pairs, pa.int64()), pa.array(join(counts), pa.int64())]),
+                "members": pa.concat_arrays([pa.nulls(n_pairs, pa.int64()), pa.array(join(members), pa.int64())]),
             }
         )
 
@@ -330,9 +334,9 @@ def similar(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_c
     rows = counted.where("block IS NULL").select("_row", "doc_id", "cls", "size")
     shared = spark.sparkContext.broadcast(_slot_counts(counted))
     entries = docs.select(text).mapInArrow(common.releasing(_indexer(shared, ranges, words, percent)), "range long, salt long, run binary")
-    found = common.stored(entries.groupBy("range", "salt").applyInArrow(_buckets(percent), "a binary, b binary, bucket long, chunk long, size long"), "candidates")
+    found = common.stored(entries.groupBy("range", "salt").applyInArrow(_buckets(percent), "a binary, b binary, bucket long, chunk long, size long, members long"), "candidates")
     pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
-    chunks = found.where("b IS NULL").select(F.col("a").alias("cls"), "bucket", "chunk", "size")
+    chunks = found.where("b IS NULL").select(F.col("a").alias("cls"), "bucket", "chunk", "size", "members")
     # shingle sets of the classes in question, from the text of one document of each
     asked = found.select(F.col("a").alias("cls")).union(found.where("b IS NOT NULL").select("b")).distinct()
     wanted = rows.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
@@ -341,7 +345,8 @@ def similar(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_c
     of = lambda side: sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"of_{side}"))
     links = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(_verify(percent), "a binary, b binary")
     if chunks.limit(1).count():
-        inside = chunks.join(sets, "cls").select("bucket", "chunk", "cls", "shingles").groupBy("bucket", "chunk").applyInArrow(_block(percent, 0), "a binary, b binary")
+        # chunks of the same classes, of shingles that go together, are looked at once
+        inside = chunks.select("members", "cls").distinct().join(sets, "cls").select("members", "cls", "shingles").groupBy("members").applyInArrow(_block(percent, 0), "a binary, b binary")
         links = common.stored(links.unionByName(inside), "links")
         blocks = _apart(chunks, components(links, "first-roots"))
         across = blocks.join(sets, "cls").groupBy("bucket", "block").applyInArrow(_block(percent, 1), "a binary, b binary")
