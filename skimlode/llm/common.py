@@ -44,6 +44,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark := df.sparkSession, label)
     bound_batches(spark)
     df.write.parquet(path)
+    spark._jvm.System.gc()  # shuffle files that only this write needed go now, not when the driver happens to collect
     return spark.read.schema(df.schema).parquet(path)
 
 
