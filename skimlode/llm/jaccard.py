@@ -316,7 +316,7 @@ def _apart(chunks: DataFrame, roots: DataFrame) -> DataFrame:
     return open_.withColumn("own", own).withColumn("minor", minor).select("bucket", "cls", "root", "minor", F.explode(F.when(minor, F.concat(with_bulk, with_minor)).otherwise(of_bulk)).alias("block"))
 
 
-def similar(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", unique: bool | None = None) -> DataFrame:
     """_row, doc_id, n_shingles, component_id and first_row of each row of docs.
 
     Words are runs of other than blanks, A-Z lower-cased. A text's set holds its distinct shingles of `words` words;
@@ -324,9 +324,11 @@ def similar(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_c
     their own component. Two rows are linked if their sets' intersection is percent % of the union or more; equal sets
     are. component_id: the smallest doc_id that can be reached by links (null ids only if there is no other);
     first_row: that row's number, the smallest of repeated ones. Sets are compared by 64-bit hashes of shingles.
-    Repeated rows have the same set; an empty table gives no rows.
+    Repeated rows have the same set; an empty table gives no rows. unique: whether ids are known to name rows (None: it
+    is looked up).
     """
     spark = docs.sparkSession
+    unique = common.unique_ids(docs, id_col) if unique is None else unique
     text = common.texts(docs, text_col).alias("text")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = docs.select(F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), text)
@@ -341,7 +343,8 @@ def similar(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_c
     asked = found.select(F.col("a").alias("cls")).union(found.where("b IS NOT NULL").select("b")).distinct()
     wanted = rows.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     sources = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), text).join(wanted, "doc_id")
-    sets = common.stored(sources.select("cls", "text").mapInArrow(_shingled(words), "cls binary, shingles binary").dropDuplicates(["cls"]), "sets")
+    sets = sources.select("cls", "text").mapInArrow(_shingled(words), "cls binary, shingles binary")
+    sets = common.stored(sets if unique else sets.dropDuplicates(["cls"]), "sets")  # each class has one id, and that one row
     of = lambda side: sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"of_{side}"))
     links = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(_verify(percent), "a binary, b binary")
     if chunks.limit(1).count():
@@ -382,7 +385,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     """
     id_col = options.get("id_col", "doc_id")
     if common.unique_ids(docs, id_col):
-        stay = common.stored(similar(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)), "stay")
+        stay = common.stored(similar(docs, unique=True, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)), "stay")
         return docs.join(stay, id_col, "left_semi").select(*docs.columns)
     numbered = common.stored(docs.withColumn("_row_of_join", F.monotonically_increasing_id()), "numbered")
     found = _on_numbers(numbered, **options)
@@ -392,7 +395,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
 
 def _on_numbers(numbered: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """similar(), whose rows are named by the written numbers: these stand in for ids, in the ids' order."""
-    found = similar(numbered.withColumn("_id_of_join", F.col("_row_of_join")), id_col="_id_of_join", **options)
+    found = similar(numbered.withColumn("_id_of_join", F.col("_row_of_join")), id_col="_id_of_join", unique=True, **options)
     ids = numbered.select(F.col("_row_of_join").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("true_id"))
     named = found.join(ids, "doc_id")
     first = named.groupBy("component_id").agg(F.min(F.struct("true_id", "doc_id")).alias("first"))
