@@ -381,12 +381,13 @@ def _shingled(n_words: int):
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, of which each component keeps the first: the smallest id.
 
-    Rows are named by their ids if these are unique, else numbered and written.
+    Rows are named by their ids if these are unique, else numbered and written. Rows that go are mostly fewer than those that
+    stay; Spark broadcasts them while their size is below its threshold, so that texts aren't shuffled, and else joins by id.
     """
     id_col = options.get("id_col", "doc_id")
     if common.unique_ids(docs, id_col):
-        stay = common.stored(similar(docs, unique=True, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)), "stay")
-        return docs.join(stay, id_col, "left_semi").select(*docs.columns)
+        go = similar(docs, unique=True, **options).where("_row <> first_row").select(F.coalesce("doc_id", F.lit(_LAST)).alias(id_col))
+        return docs.join(common.stored(go, "go"), id_col, "left_anti").select(*docs.columns)
     numbered = common.stored(docs.withColumn("_row_of_join", F.monotonically_increasing_id()), "numbered")
     found = _on_numbers(numbered, **options)
     stay = found.where(F.col("_row") == F.col("first_row")).select(F.col("_row").alias("_row_of_join"))
