@@ -27,8 +27,8 @@ from .wordbpe import vocabulary
 MAGIC = b"SKLRPAIR"
 HEADER = struct.Struct("<8sIIQQQ")  # magic, first nonterminal, bits of a symbol, documents, rules, symbols
 SHARD_IDS = 1_000_000
-#: Rounds of replacement, most pairs replaced in a round, and how often a pair must occur at least.
-ROUNDS, ROUND_PAIRS, LEAST = 4, 8192, 8
+#: Most pairs replaced in a round, and how often a pair must occur at least; rounds go on until no pair does.
+ROUND_PAIRS, LEAST = 8192, 8
 #: Slots in which a round looks up its chosen pairs; of pairs that fall into one slot the most frequent stays, the others wait.
 SLOT_BITS = 18
 BATCH_BYTES = 2 << 20
@@ -43,40 +43,48 @@ def compress(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray,
     """Re-Pair: symbols, whether each ends a document, rules (pairs) and their expansion lengths.
 
     Each round counts all adjacent pairs and gives the most frequent a nonterminal each; occurrences are replaced from
-    left to right, overlapping ones left out. A pair never crosses the end of a document.
+    left to right, overlapping ones left out, until no pair is left that occurs LEAST times. A pair never crosses the
+    end of a document. Only pairs with a new symbol, or of those that occurred LEAST times before, are counted anew:
+    no others can be frequent.
     """
     symbols, rules = ids.astype(np.int64), [np.empty((0, 2), np.int64)]
     fresh = first
-    for _ in range(ROUNDS):
-        inside = ~last[:-1]
-        code = symbols[:-1] << 32 | symbols[1:]
-        ordered = np.sort(code[inside])
-        if not len(ordered):
-            break
+    live = np.flatnonzero(~last[:-1])  # where pairs begin that may be frequent
+    while len(live):
+        code = symbols[live] << 32 | symbols[live + 1]
+        ordered = np.sort(code)
         heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.concatenate((heads, [len(ordered)])))
         often = np.flatnonzero(counts >= LEAST)
         if not len(often):
             break
+        frequent = np.zeros(1 << SLOT_BITS, bool)
+        frequent[_slot(ordered[heads[often]])] = True
         often = often[np.lexsort((heads[often], -counts[often]))][:ROUND_PAIRS]
         chosen = ordered[heads[often]]
         slots = np.full(1 << SLOT_BITS, -1, np.int32)
         slots[_slot(chosen[::-1])] = np.arange(len(chosen) - 1, -1, -1)
         chosen = chosen[np.sort(slots[slots >= 0])]
         slots[_slot(chosen)] = np.arange(len(chosen))
-        at = slots[_slot(code)]
-        hit = np.flatnonzero((at >= 0) & inside)
-        hit = hit[chosen[at[hit]] == code[hit]]
-        if not len(hit):
-            break
+        slot = _slot(code)
+        at = slots[slot]
+        found = np.flatnonzero(at >= 0)
+        found = found[chosen[at[found]] == code[found]]
+        hit, at = live[found], at[found]
         run = np.concatenate(([0], np.flatnonzero(np.diff(hit) != 1) + 1))
         begin = np.repeat(hit[run], np.diff(np.concatenate((run, [len(hit)]))))
-        hit = hit[(hit - begin) % 2 == 0]
-        symbols[hit] = fresh + at[hit]
+        own = (hit - begin) % 2 == 0
+        hit, at = hit[own], at[own]
+        again = np.zeros(len(symbols), bool)
+        again[live[frequent[slot]]] = True
+        again[hit] = True
+        again[hit[hit > 0] - 1] = True
+        symbols[hit] = fresh + at
         last[hit] |= last[hit + 1]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        symbols, last, again = symbols[keep], last[keep], again[keep]
+        live = np.flatnonzero(again[:-1] & ~last[:-1])
         rules.append(np.stack((chosen >> 32, chosen & 0xFFFFFFFF), axis=1))
         fresh += len(chosen)
     table = np.concatenate(rules)

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -49,3 +50,17 @@ def test_files_hold_the_librarys_ids(spark, tmp_path):
     key = lambda r: (r[1],)
     assert sorted(map(tuple, got), key=key) == want
     assert grammar.read(spark, grammar.write(docs.limit(0), common.new_folder(spark, "none"), FILE)).count() == 0
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 50000, 500)
+    copies = [np.concatenate((passage, rng.integers(0, 50000, 20))) for _ in range(300)]
+    for ids, counts in ((np.concatenate(copies), np.full(300, 520)), (rng.integers(0, 40, 30000), np.full(300, 100)), (np.zeros(5000, np.int64), np.array([5000]))):
+        shard = grammar.Shard(grammar.shard_bytes(list(range(len(counts))), ids, counts, 50257))
+        symbols = [grammar._unpacked(shard.body, shard.bits, int(n), int(at)).tolist() for n, at in zip(shard.docs["symbols"], shard.begins)]
+        pairs = Counter()
+        for own in symbols:
+            pairs.update(zip(own, own[1:]))
+        assert max(pairs.values(), default=0) < grammar.LEAST and (shard.all_ids() == ids).all()
+    assert grammar.Shard(grammar.shard_bytes([0] * 300, np.concatenate(copies), np.full(300, 520), 50257)).lengths.max() == 500
