@@ -13,9 +13,15 @@ from skimlode.llm import common, decontaminate, exactdedup, jaccard, langid, wor
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null or have no letters, which are in no language; fitted to the labelled rows of docs."""
+    """Rejects texts that are null or have no letters, which are in no language; fitted to the labelled rows of docs.
+
+    Where these teach no language, all texts with letters stay.
+    """
     learn = common.crc_bucket(F.col("doc_id"), 4) != 2
-    found = langid.predict(docs.withColumn("_keep", F.lit(True)), langid.fit(docs.where(learn)))
+    filters = langid.fit(docs.where(learn))
+    if not filters.languages:
+        return langid.lettered(docs)
+    found = langid.predict(docs.withColumn("_keep", F.lit(True)), filters)
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 

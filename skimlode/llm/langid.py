@@ -225,6 +225,22 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
     return kept.mapInArrow(common.releasing(run), common.with_field(common.with_field(kept.schema, "lang_pred", T.StringType()), "score", T.DoubleType()))
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter; needs no filters."""
+    common.bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(b.schema.get_field_index(text_col))
+            for lo, hi in common.pieces(column, 4 * PIECE_CHARS):
+                kept = np.zeros(hi - lo, bool)
+                for owner, starts, codes in _pieces([t or "" for t in column[lo:hi].to_pylist()]):
+                    kept[owner] |= np.logical_or.reduceat(codes > 0, starts)
+                yield b.slice(lo, hi - lo).filter(pa.array(kept))
+
+    return docs.mapInArrow(common.releasing(run), docs.schema)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = common.crc_bucket(F.col("doc_id"), 4) == 2

@@ -87,3 +87,12 @@ def test_stages_take_odd_rows(spark):
             if name != "encode":
                 assert frame.columns == docs.columns
         assert frame.count() == (2 if start is docs else 0)
+
+
+def test_rows_stay_when_no_language_is_learned(spark):
+    text = "The quick brown fox jumps over the lazy dog again and again today. "
+    rows = [(1, text, None), (2, "123 !!", None), (3, None, None), (4, "", None), (None, "日本", None), (5, "1 " * (1 << 19) + "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.language(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "5", "None"]
