@@ -183,16 +183,16 @@ def _filters(counts: dict[str, _Counts]) -> Filters:
 def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Filters:
     """Filters from a sample of the labelled rows: of each language the documents with the smallest hashes of their texts.
 
-    Rows without a label or text teach nothing, nor do texts over an eighth of sample_bytes. The driver counts the
+    Each distinct text counts once. Rows without a label or text teach nothing, nor do texts over an eighth of sample_bytes. The driver counts the
     sample text by text, and keeps its distinct n-grams only.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= sample_bytes // 8)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in usable.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").count().collect()}
     if not counts:
         return fit_texts({})
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.3 * sample_docs / n)))])
     place = (F.xxhash64("text") / F.lit(2.0**64)) + 0.5
-    sample = usable.where(place <= share[F.col("lang")]).withColumn("place", place).orderBy("place", "lang", "text")
+    sample = usable.where(place <= share[F.col("lang")]).distinct().withColumn("place", place).orderBy("place", "lang", "text")
     taken = {lang: _Counts() for lang in counts}
     docs, held = dict.fromkeys(counts, 0), dict.fromkeys(counts, 0)
     for r in sample.select("lang", "text").toLocalIterator():

@@ -42,3 +42,12 @@ def test_long_texts_are_counted_whole():
     finally:
         langid.PIECE_CHARS = old
     assert small == f.predict([text, "", "zap"]) and common.HOT_SHARE == 1000
+
+
+def test_copies_count_once_in_the_sample(spark):
+    words = [f"{a}{b}{c}o" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    texts = [" ".join(words[(i * 7 + j * (i + 1)) % len(words)] for j in range(9)) for i in range(60)]
+    rows = [("x", t) for i, t in enumerate(texts) for _ in range(50 if i % 6 == 0 else 1)]
+    fit = lambda r: langid.fit(spark.createDataFrame(r, "lang string, text string"), sample_docs=20)
+    once, copied = fit([("x", t) for t in texts]), fit(rows)
+    assert once.slots.any() and (once.slots == copied.slots).all()
