@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,12 @@ from pyspark.sql import types as T
 
 #: A key that holds at least one row in HOT_SHARE is joined by broadcast; at most HOT_SHARE keys can.
 HOT_SHARE = 1000
+#: Bits of a filter of ids: 4 MB.
+ID_BITS = 1 << 25
+#: Groups of more bytes make their worker release what it holds free.
+RELEASED_BYTES = 1 << 20
 
+_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _own_folders: dict[str, str] = {}
 
 
@@ -39,15 +46,39 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """Settings of one write: small Arrow batches, and its shuffle files go when it has ended. Then the session's own hold again."""
+    held = {k: spark.conf.get(k, None) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows, written once to the shared folder and read from there: lineage ends, and lost executors lose nothing."""
     path = new_folder(spark := df.sparkSession, label)
-    bound_batches(spark)
-    df.write.parquet(path)
-    spark._jvm.System.gc()  # shuffle files that only this write needed go now, not when the driver happens to collect
+    with _writing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> Iterator[DataFrame]:
+    """The same, dealt out to buckets by a column, so that joins on it don't shuffle these rows again; to be used inside `with`."""
+    path, name = new_folder(spark := df.sparkSession, label), f"skimlode_{label}_{uuid.uuid4().hex}"
+    with _writing(spark):
+        df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).format("parquet").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # its name only: the files stay until the driver ends
+
+
 def texts(df: DataFrame, text_col: str = "text") -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -63,21 +94,89 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def _release() -> None:
+    """What this worker holds free goes back to the system: workers are used again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def releasing(run):
-    """The same map function; when a task ends, what its worker holds free goes back to the system: workers are used again."""
+    """The same map function; when a task ends, its worker's free memory is released."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            _release()
 
     return wrapped
 
 
+def releasing_group(run):
+    """The same for a function of a key and a group; small groups leave nothing worth releasing."""
+
+    def wrapped(key, table):
+        out = run(key, table)
+        if table.nbytes > RELEASED_BYTES:
+            _release()
+        return out
+
+    return wrapped
+
+
+def id_bits(ids: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of ID_BITS bits, whatever the number of ids: tasks' filters are united along a tree."""
+
+    def own(batches):
+        from pyspark import TaskContext
+
+        flags = np.zeros(ID_BITS, bool)
+        for b in batches:
+            for at in _id_places(np.asarray(b.column(0))):
+                flags[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([zlib.compress(np.packbits(flags).tobytes(), 1)], pa.binary())], ["node", "bits"])
+
+    def unite(key, table):
+        out = np.zeros(ID_BITS // 8, np.uint8)
+        for x in table.column("bits").to_pylist():
+            out |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pa.table({"node": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+
+    ids = ids.select(F.col(column).cast("long"))
+    parts, left = ids.mapInArrow(releasing(own), "node long, bits binary"), ids.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // 16)
+        parts = parts.withColumn("node", F.lit(0).cast("long") if left <= 1 else F.floor(F.col("node") / 16)).groupBy("node").applyInArrow(releasing_group(unite), "node long, bits binary")
+    found = parts.collect()  # one row, or none
+    return np.frombuffer(zlib.decompress(bytes(found[0].bits)), np.uint8) if found else np.zeros(ID_BITS // 8, np.uint8)
+
+
+def _id_places(ids: np.ndarray) -> list[np.ndarray]:
+    mixed = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    shift = np.uint64(64 - ID_BITS.bit_length() + 1)
+    return [(mixed >> shift).astype(np.int64), ((mixed << np.uint64(27)) >> shift).astype(np.int64)]
+
+
+def in_bits(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each id may be among those of the filter; those that are surely may."""
+    out = np.ones(len(ids), bool)
+    for at in _id_places(ids):
+        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    return out
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(name, kind)])
 

@@ -32,9 +32,9 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), chars.cast(pa.int64()), pa.array(out, pa.binary())], ["_row", "doc_id", "chars", "digest"])
 
 
-def merged(runs: list[np.ndarray]) -> np.ndarray:
-    """Multiway merge of sorted runs: of entries whose whole digests agree, that with most characters, then the smallest id, then row, stays and counts all rows."""
-    all_ = np.concatenate(runs) if len(runs) > 1 else runs[0]
+def sorted_run(parts: list[np.ndarray]) -> np.ndarray:
+    """Entries in any order as a sorted run: of those whose whole digests agree, that with most characters, then the smallest id, then row, stays and counts all rows."""
+    all_ = np.concatenate(parts).astype(ENTRY, copy=False)  # joining makes the byte order the machine's
     d = all_["digest"].astype(np.uint64)
     order = np.lexsort((all_["row"], all_["doc_id"], -all_["chars"], d[:, 3], d[:, 2], d[:, 1], d[:, 0]))
     all_, d = all_[order], d[order]
@@ -44,6 +44,27 @@ def merged(runs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _merged_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two sorted runs as one: the places of b's entries are searched in a, and where whole digests agree the better one stays."""
+    left, right = (np.ascontiguousarray(x["digest"]).view("S32").ravel() for x in (a, b))
+    at = np.searchsorted(left, right)
+    same = at < len(a)
+    same[same] = left[at[same]] == right[same]
+    out, i, y = a.copy(), at[same], b[same]
+    x = a[i]
+    better = (y["chars"] > x["chars"]) | (y["chars"] == x["chars"]) & ((y["doc_id"] < x["doc_id"]) | (y["doc_id"] == x["doc_id"]) & (y["row"] < x["row"]))
+    out[i[better]] = y[better]
+    out["rows"][i] = x["rows"] + y["rows"]
+    return np.insert(out, at[~same], b[~same]).astype(ENTRY, copy=False)
+
+
+def merged(runs: list[np.ndarray]) -> np.ndarray:
+    """Multiway merge of sorted runs, without sorting them again: neighbours meet in rounds until one is left."""
+    while len(runs) > 1:
+        runs = [_merged_two(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return runs[0]
+
+
 def _first_runs(ranges: int):
     """Each partition's sorted run, cut at the bounds of the digest ranges."""
 
@@ -58,10 +79,10 @@ def _first_runs(ranges: int):
             parts.append(e)
             held += len(e)
             if held > 2_000_000:  # bounded memory whatever the partition holds: a run ends here
-                yield from _cut(merged(parts), ranges, node)
+                yield from _cut(sorted_run(parts), ranges, node)
                 parts, held = [], 0
         if held:
-            yield from _cut(merged(parts), ranges, node)
+            yield from _cut(sorted_run(parts), ranges, node)
 
     return run
 
@@ -74,12 +95,9 @@ def _cut(run: np.ndarray, ranges: int, node: int) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _meet(bits: int):
-    def meet(key, table):
-        run = merged([np.frombuffer(x, ENTRY) for x in table.column("run").to_pylist()])
-        return pa.table({"range": [key[0].as_py()], "node": pa.array([key[1].as_py()], pa.int64()), "run": pa.array([run.tobytes()], pa.binary())})
-
-    return meet
+def _meet(key, table):
+    run = merged([np.frombuffer(x, ENTRY) for x in table.column("run").to_pylist()])
+    return pa.table({"range": [key[0].as_py()], "node": pa.array([key[1].as_py()], pa.int64()), "run": pa.array([run.tobytes()], pa.binary())})
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,13 +115,13 @@ def classes(keys: DataFrame, total: int) -> DataFrame:
     A hot text is one entry of each run from the first level on, so no task ever gathers its copies.
     """
     ranges = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
-    runs, left = keys.mapInArrow(_first_runs(ranges), "range long, node long, run binary"), keys.rdd.getNumPartitions()
+    runs, left = keys.mapInArrow(common.releasing(_first_runs(ranges)), "range long, node long, run binary"), keys.rdd.getNumPartitions()
     while True:
         left = -(-left // (1 << ROUND_BITS))
         last = left <= 1
-        runs = runs.withColumn("node", F.lit(0).cast("long") if last else F.shiftright("node", ROUND_BITS)).groupBy("range", "node").applyInArrow(_meet(ROUND_BITS), "range long, node long, run binary")
+        runs = runs.withColumn("node", F.lit(0).cast("long") if last else F.shiftright("node", ROUND_BITS)).groupBy("range", "node").applyInArrow(common.releasing_group(_meet), "range long, node long, run binary")
         if last:
-            return runs.mapInArrow(_entries, "digest binary, keep_id long, keep_row long, group_size long")
+            return runs.mapInArrow(common.releasing(_entries), "digest binary, keep_id long, keep_row long, group_size long")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,23 +133,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives no rows; other columns of docs aren't read.
     """
     raw = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keys = common.stored(raw.mapInArrow(digests, "_row long, doc_id long, chars long, digest binary"), "digests")
+    keys = common.stored(raw.mapInArrow(common.releasing(digests), "_row long, doc_id long, chars long, digest binary"), "digests")
     total = keys.count()
     groups = common.stored(classes(keys, total), "classes")
     return common.join_hot(keys.drop("chars"), groups, "digest", "group_size", total).withColumn("kept", F.col("_row") == F.col("keep_row"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows are named by their ids if these are unique, else numbered and written."""
+    """The rows of docs that stay, with all their columns, whatever these are called; see exact_groups() for which stay.
+
+    Rows are named by their ids if these are unique, else (null or repeated ids) numbered and written, so that just one
+    of repeated rows stays. Null, empty and blank texts are one group, of which one row stays; an empty table stays empty.
+    """
     if common.unique_ids(docs, id_col):
         raw = docs.select(F.lit(0).cast("long").alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        keys = common.stored(raw.mapInArrow(digests, "_row long, doc_id long, chars long, digest binary"), "digests")
+        keys = common.stored(raw.mapInArrow(common.releasing(digests), "_row long, doc_id long, chars long, digest binary"), "digests")
         return docs.join(classes(keys, keys.count()).select(F.col("keep_id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
-    numbered = common.stored(docs.withColumn("_row_of_dedup", F.monotonically_increasing_id()), "numbered")
-    raw = numbered.select(F.col("_row_of_dedup").alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keys = common.stored(raw.mapInArrow(digests, "_row long, doc_id long, chars long, digest binary"), "digests")
-    stay = classes(keys, keys.count()).select(F.col("keep_row").alias("_row_of_dedup"))
-    return numbered.join(stay, "_row_of_dedup", "left_semi").select(*docs.columns)
+    row = common.fresh(docs, "_row_of_dedup")
+    numbered = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    raw = numbered.select(F.col(row).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keys = common.stored(raw.mapInArrow(common.releasing(digests), "_row long, doc_id long, chars long, digest binary"), "digests")
+    stay = classes(keys, keys.count()).select(F.col("keep_row").alias(row))
+    return numbered.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
