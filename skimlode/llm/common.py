@@ -29,9 +29,11 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The folder that all executors see (spark.checkpoint.dir); one of this machine only where that is the whole cluster, as in tests."""
     if folder := spark.conf.get("spark.checkpoint.dir", ""):
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="skimlode-")

@@ -93,23 +93,23 @@ def _word_bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> list[tuple
     return [(bounds[a][0], bounds[b - 1][1]) for a, b in zip(starts, ends)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All rows and columns of docs, and a struct column `_leak`.
+def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, leak_col: str = "_leak") -> DataFrame:
+    """All rows and columns of docs, and a struct column `leak_col`.
 
     Its fields: n_words, n_hit (words inside any occurrence of a benchmark window), items (ids of the items whose
     windows occur, as sorted strings) and spans (byte runs of the hit words, as start and end in turn).
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
     Null and empty texts have no words and no hits; so has any text if the benchmark is empty. Repeated rows are
-    scanned each for itself. A null item id counts as the empty string. A column `_leak` of docs is replaced.
+    scanned each for itself. A null item id counts as the empty string. A column of docs with that name is replaced.
     No shuffle. A benchmark over block_bytes is scanned in several broadcast blocks, one after the other.
     """
     common.bound_batches(spark := docs.sparkSession)
-    kept = docs.drop("_leak")
+    kept = docs.drop(leak_col)
     leak = T.StructType().add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.LongType()))
-    schema = T.StructType(kept.schema.fields + [T.StructField("_leak", leak)])
-    out = kept.withColumn("_leak", F.lit(None).cast(leak))
+    schema = T.StructType(kept.schema.fields + [T.StructField(leak_col, leak)])
+    out = kept.withColumn(leak_col, F.lit(None).cast(leak))
     for block in _blocks(benchmark, item_id_col, item_text_col, window, block_bytes) or [Windows([], window)]:
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(block), text_col), schema)
+        out = out.mapInArrow(common.releasing(_scanner(spark.sparkContext.broadcast(block), text_col)), schema)
     return out
 
 
@@ -165,14 +165,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, most_share: float =
     A document of whose words most_share or more are hit goes; of others, the hit spans are cut out of the text.
     Documents without a hit stay as they are, null and empty texts too. Options: those of scan().
     """
-    found = scan(docs, benchmark, text_col=text_col, **options)
-    leak = F.col("_leak")
+    name = common.fresh(docs, "_leak")
+    found = scan(docs, benchmark, text_col=text_col, leak_col=name, **options)
+    leak = F.col(name)
     stays = (leak.n_hit == 0) | (leak.n_hit < leak.n_words * F.lit(float(most_share)))
     return cut_spans(found.where(stays), text_col).select(*docs.columns)
 
 
 def cut_spans(found: DataFrame, text_col: str) -> DataFrame:
-    """The text without the spans of `_leak`; texts without spans don't leave the JVM's rows unchanged."""
+    """The text without the spans of the last column; texts without spans don't leave the JVM's rows unchanged."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +189,7 @@ def cut_spans(found: DataFrame, text_col: str) -> DataFrame:
                 batch = batch.set_column(i, batch.schema.field(i), new)
             yield batch
 
-    return found.mapInArrow(cut, found.schema)
+    return found.mapInArrow(common.releasing(cut), found.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,7 +280,7 @@ def write(docs: DataFrame, folder: str, file: str, *, end_id: int = 0, first: in
     common.bound_batches(docs.sparkSession)
     common.make_folder(docs.sparkSession, folder)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    found = sorted(rows.mapInArrow(_writer(file, folder, end_id, first), "part long, path string, n_docs long, n_ids long").collect())
+    found = sorted(rows.mapInArrow(common.releasing(_writer(file, folder, end_id, first)), "part long, path string, n_docs long, n_ids long").collect())
     start, manifest = 0, []
     for r in found:
         manifest.append((r.part, r.path, r.n_docs, r.n_ids, start))

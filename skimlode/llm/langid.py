@@ -204,15 +204,15 @@ def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
     return _filters(taken)
 
 
-def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs, with lang_pred and score; columns of docs with these names are replaced.
+def predict(docs: DataFrame, filters: Filters, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """All rows and columns of docs, with lang_pred and score, by the names given; columns of docs with these names are replaced.
 
     lang_pred is `und`, with score 0, for null texts, texts without a letter and if nothing was learned; a text whose
     letters are in no filter gets the first language, with score 0. score: the best language's share of all
     corrected counts. Only the text is looked at. No shuffle; pieces of bounded size whatever a text's length.
     """
     common.bound_batches(docs.sparkSession)
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(pred_col, score_col)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +220,9 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
             column = b.column(b.schema.get_field_index(text_col))
             for lo, hi in common.pieces(column, 4 * PIECE_CHARS):
                 langs, scores = shared.value.predict([t or "" for t in column[lo:hi].to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, pred_col, score_col])
 
-    return kept.mapInArrow(common.releasing(run), common.with_field(common.with_field(kept.schema, "lang_pred", T.StringType()), "score", T.DoubleType()))
+    return kept.mapInArrow(common.releasing(run), common.with_field(common.with_field(kept.schema, pred_col, T.StringType()), score_col, T.DoubleType()))
 
 
 def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:

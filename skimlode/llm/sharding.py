@@ -212,7 +212,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BYTES, id_
     joined = common.join_hot(keys, groups, "sha", "rows", keys.count())
     order = ["first", "sha", "doc_id"]
     rows = joined.select("doc_id", "text_crc32", "size", "first", "sha").repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = common.stored(rows.mapInArrow(_running, "doc_id long, text_crc32 long, size long, first long, sha binary, part long, bytes_in long, rows_in long"), "ordered")
+    rows = common.stored(rows.mapInArrow(common.releasing(_running), "doc_id long, text_crc32 long, size long, first long, sha binary, part long, bytes_in long, rows_in long"), "ordered")
     bytes_before, rows_before, total = {}, {}, 0
     n_rows = 0
     for r in rows.groupBy("part").agg(F.max("bytes_in").alias("b"), F.max("rows_in").alias("r")).orderBy("part").collect():

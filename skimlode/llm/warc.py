@@ -302,7 +302,7 @@ def plan_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id"
     revisits = common.join_hot(keys.select("id", "sha"), groups, "sha", "copies", keys.count()).select("id", "sha", "first").distinct()
     rows = pages.select(F.coalesce(F.col(id_col), F.lit(last)).cast("long").alias("id"), F.unhex(F.sha2(html, 256)).alias("sha"), F.col(uri_col).alias("target_uri"), html.alias("payload"))
     joined = rows.join(revisits, ["id", "sha"], "left").sortWithinPartitions("id", "sha")
-    return joined.select("id", "first", "target_uri", "payload").mapInArrow(_records(last), ROW)
+    return joined.select("id", "first", "target_uri", "payload").mapInArrow(common.releasing(_records(last)), ROW)
 
 
 def _records(last: int):

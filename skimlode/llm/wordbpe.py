@@ -230,12 +230,12 @@ def _decoder(file: str):
 def encode(docs: DataFrame, file: str, text_col: str = "text") -> DataFrame:
     """All columns of docs and `ids`: the text's token ids as little-endian unsigned 32-bit integers.
 
-    Null and empty texts have no ids; an empty table gives no rows. Columns `ids` and `_text` of docs are replaced.
+    Null and empty texts have no ids; an empty table gives no rows. A column `ids` of docs is replaced.
     No shuffle; a batch holds about BATCH_BYTES of text, one text at least.
     """
     common.bound_batches(docs.sparkSession)
-    kept = docs.drop("ids", "_text")
-    raw = kept.withColumn("_text", docs[text_col])
+    kept = docs.drop("ids")
+    raw = kept.withColumn(common.fresh(docs, "_text"), docs[text_col])
     return raw.mapInArrow(_encoder(file), common.with_field(kept.schema, "ids", T.BinaryType()))
 
 
@@ -259,6 +259,19 @@ def _digester(file: str):
     return run
 
 
+def round_trip(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, n_tokens and decoded_sha256 (SHA-256 of the decoded text) of each row: encoded and decoded in one pass."""
+    common.bound_batches(docs.sparkSession)
+    raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _decoder(file)(_encoder(file)(batches)):
+            sha = [hashlib.sha256(x.as_py()).hexdigest() for x in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x.as_py()) // 4 for x in b.column(1)], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "ids", "n_tokens", "decoded_sha256"])
+
+    return raw.mapInArrow(run, f"doc_id {raw.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens long, decoded_sha256 string")
+
+
 def token_digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, by encode() and decode()."""
     common.bound_batches(docs.sparkSession)
