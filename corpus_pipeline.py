@@ -13,39 +13,56 @@ from skimlode.llm import common, decontaminate, exactdedup, jaccard, langid, wor
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null or have no letters, which are in no language; fitted to the labelled rows of docs.
+    """Rejects texts that are in no language; fitted to the labelled rows of docs.
 
-    Where these teach no language, all texts with letters stay.
+    These are null texts, those without letters, and those of SURE_CHARS or more none of whose n-grams are in any
+    language's filter. Where no language is learned, all texts with letters stay. Repeated rows are judged each for
+    itself; columns may have any names; an empty table stays empty.
     """
     learn = common.crc_bucket(F.col("doc_id"), 4) != 2
     filters = langid.fit(docs.where(learn))
     if not filters.languages:
         return langid.lettered(docs)
-    found = langid.predict(docs.withColumn("_keep", F.lit(True)), filters)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    pred, score = common.fresh(docs, "lang_pred"), common.fresh(docs, "score")
+    found = langid.predict(docs, filters, pred_col=pred, score_col=score)
+    placed = (F.col(score) > 0) | (F.length("text") < SURE_CHARS)
+    return found.where((F.col(pred) != langid.UNKNOWN) & placed).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that are equal but for white space."""
+    """One row of each group of texts that are equal but for white space: the longest text, then the smallest id.
+
+    Null and blank texts are one group. Null ids come last; of repeated rows one stays; an empty table stays empty.
+    """
     return exactdedup.dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: linked by five-word shingles with a similarity of 0.8 or more."""
+    """One row of each group of near copies, that with the smallest id: linked by five-word shingles with a similarity of 0.8 or more.
+
+    Null and blank texts have no copies and stay; null ids come last; an empty table stays empty.
+    """
     return jaccard.dedup(docs, words=5, percent=80)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that are largely benchmark passages, and without such passages in others."""
+    """Without the documents of whose words a twentieth or more are benchmark passages, and without such passages in others.
+
+    Null and empty texts, and all texts where the benchmark is empty, stay as they are; repeated rows are treated alike.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token ids (little-endian unsigned 32-bit) and their number."""
-    out = wordbpe.encode(docs.select("doc_id", "text"), wordbpe.vocabulary("word_bpe_49k.json"))
-    return out.select("doc_id", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"))
+    """doc_id, token ids (little-endian unsigned 32-bit), their number, and the SHA-256 of the text decoded from them.
+
+    Null and empty texts have no ids, and decode to the empty text. A row for each row; an empty table has none.
+    """
+    return wordbpe.round_trip(docs, wordbpe.vocabulary("word_bpe_49k.json"))
 
 
+#: Characters from which on a text without any learned n-gram is in no learned language.
+SURE_CHARS = 64
 STAGES = [("language", language), ("exact", exact), ("near", near), ("clean", clean), ("encode", encode)]
 #: SQL can't express the first and the last stage.
 ORACLE_SQL = None
