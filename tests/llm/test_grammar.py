@@ -64,3 +64,14 @@ def test_no_frequent_pair_is_left():
             pairs.update(zip(own, own[1:]))
         assert max(pairs.values(), default=0) < grammar.LEAST and (shard.all_ids() == ids).all()
     assert grammar.Shard(grammar.shard_bytes([0] * 300, np.concatenate(copies), np.full(300, 520), 50257)).lengths.max() == 500
+
+
+def test_query_against_the_library(spark):
+    sf, library, at = "/root/testdata/sf0.001", Tokenizer.from_file(FILE), 0
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in grammar.op7_grammar_ids(spark, sf).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want[r.doc_id] = at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+        at += len(ids)
+    assert got == want

@@ -58,16 +58,15 @@ def _rows(seed):
 
 @pytest.mark.parametrize("few, chunk, hot", [(32, 512, 200_000), (1, 3, 200_000), (2, 2, 5)])
 def test_components_against_all_pairs(spark, monkeypatch, few, chunk, hot):
-    monkeypatch.setattr(jaccard, "HOT", hot)
-    run = jaccard._buckets
+    import types
 
-    def forced(percent):  # tests reach workers by value
-        import types
+    def forced(f):  # what tests set reaches workers by value
+        values = f.__globals__ | {"FEW": few, "CHUNK_CLASSES": chunk, "HOT": hot, "RUN_ENTRIES": 40, "BLOCK_SHINGLES": 300}
+        return types.FunctionType(f.__code__, values, f.__name__, f.__defaults__, f.__closure__)
 
-        f = run(percent)
-        return types.FunctionType(f.__code__, f.__globals__ | {"FEW": few, "CHUNK_CLASSES": chunk}, f.__name__, f.__defaults__, f.__closure__)
-
-    monkeypatch.setattr(jaccard, "_buckets", forced)
+    of_group, of_map = jaccard.common.releasing_group, jaccard.common.releasing
+    monkeypatch.setattr(jaccard.common, "releasing_group", lambda f: of_group(forced(f)))
+    monkeypatch.setattr(jaccard.common, "releasing", lambda f: of_map(forced(f)) if f.__module__ == jaccard.__name__ else of_map(f))
     monkeypatch.setattr(jaccard, "CHUNK_CLASSES", chunk)
     rows = _rows(few)
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, size double").repartition(3)

@@ -51,3 +51,33 @@ def test_copies_count_once_in_the_sample(spark):
     fit = lambda r: langid.fit(spark.createDataFrame(r, "lang string, text string"), sample_docs=20)
     once, copied = fit([("x", t) for t in texts]), fit(rows)
     assert once.slots.any() and (once.slots == copied.slots).all()
+
+
+def test_against_sets_of_ngrams():
+    """The same rule with sets of strings: typical n-grams of each language, and how many of them a text has."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    make = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randrange(1, 7))) for _ in range(30))
+    kinds = {"a": "abcdeé", "b": "cdefgß", "c": "fghijñ"}
+    samples = {name: [make(letters) for _ in range(20)] for name, letters in kinds.items()}
+
+    def grams(text):
+        out = []
+        for word in text.lower().split():
+            whole = f"\0{word}\0"
+            out += [whole[i : i + n] for n in langid.SIZES for i in range(len(whole) - n + 1) if n > 2 or whole[i : i + 2].strip("\0")]
+        return out
+
+    counts = {name: Counter(g for t in texts for g in grams(t)) for name, texts in samples.items()}
+    rate = {name: {g: n / sum(c.values()) for g, n in c.items()} for name, c in counts.items()}
+    typical = {name: {g for g, n in c.items() if n >= langid.LEAST and rate[name][g] >= langid.SHARE * max(r.get(g, 0) for r in rate.values())} for name, c in counts.items()}
+    filters = langid.fit_texts(samples)
+    for letters in [*kinds.values(), "abcdefgh", "ghij"]:
+        for _ in range(20):
+            text = make(letters)
+            hits = {name: sum(g in typical[name] for g in grams(text)) for name in kinds}
+            best = max(hits.values())
+            found, score = filters.predict([text])
+            assert hits[found[0]] >= best - 1 and abs(score[0] - best / max(1, sum(hits.values()))) < 0.05

@@ -61,3 +61,23 @@ def test_query_rows(spark):
         assert r.decoded == library.decode(ids, skip_special_tokens=False)
     assert wordbpe.token_digests(docs.limit(0), FILE).count() == 0
     assert {r.n_tokens for r in wordbpe.token_digests(docs, FILE).collect() if r.doc_id == 3} >= {1}
+
+
+def test_query_against_the_library(spark, model):
+    import hashlib
+
+    sf, library = "/root/testdata/sf0.001", model[1]
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in wordbpe.op6_word_bpe(spark, sf).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        raw, back = b"".join(i.to_bytes(4, "little") for i in ids), library.decode(ids, skip_special_tokens=False)
+        want[r.doc_id] = len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+    assert got == want
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "some text", "mine", "old"), (1, None, "too", None)], "doc_id long, text string, _text string, ids string")
+    out = wordbpe.encode(docs, FILE)
+    assert out.columns == ["doc_id", "text", "_text", "ids"] and [(r.doc_id, r["_text"], len(r.ids) > 0) for r in out.collect()] == [(1, "mine", True), (1, "too", False)]
+    assert [r.n_tokens for r in wordbpe.round_trip(docs, FILE).collect()] == [2, 0] and wordbpe.round_trip(docs.limit(0), FILE).count() == 0
