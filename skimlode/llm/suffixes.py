@@ -5,6 +5,9 @@ whose hash is least among the places at which a window's seed may start. So suff
 of these only at anchors whose seed occurs again. Tasks sort their suffixes, exchange them as front-coded runs, and
 merge them with loser trees whose nodes keep how much of the last winner each loser shares; known prefixes are never
 compared again. Neighbours' common prefixes and the bytes before the anchors then tell exactly what occurs twice.
+
+Anchors are chosen for strings of SHORT bytes, so that besides what is removed (strings of LENGTH bytes) the same pass
+reports repeated passages that are shorter: sixty words of prose are often less than LENGTH bytes.
 """
 
 from __future__ import annotations
@@ -20,9 +23,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LENGTH, SEED = 400, 256
+#: Bytes of a string that is removed if it starts anywhere else too, and of one that is reported.
+LENGTH, SHORT, SEED = 400, 256, 160
 #: How far a window may begin before its anchor.
-REACH = LENGTH - SEED
+REACH = SHORT - SEED
+#: Bytes of text in whose seeds a range of seeds has its share, and suffixes of a range, on average at most.
+RANGE_BYTES, RANGE_SUFFIXES = 64 << 20, 50_000
 SEGMENT = 1 << 18
 BATCH_BYTES = 8 << 20
 #: Runs that one task merges at once, and suffixes of a run at most.
@@ -58,11 +64,11 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(text: bytes) -> np.ndarray:
-    """Of each window of LENGTH bytes, the place with the least hash (the first of equal ones) at which its seed may start."""
+    """Of each window of SHORT bytes, the place with the least hash (the first of equal ones) at which its seed may start."""
     found = []
-    windows = len(text) - LENGTH + 1
+    windows = len(text) - SHORT + 1
     for at in range(0, max(0, windows), SEGMENT):
-        part = text[at : min(len(text), at + SEGMENT + LENGTH - 1)]
+        part = text[at : min(len(text), at + SEGMENT + SHORT - 1)]
         places = len(part) - SEED + 1
         keys = (_grams(part)[:places] & ~np.uint64(0xFFFFF)) | np.arange(places, dtype=np.uint64)
         least = _least(keys, REACH + 1)
@@ -87,7 +93,7 @@ def _seeds(ranges: int):
                 parts, done = [], set()
                 for t in b.column(0)[lo:hi]:
                     text = t.as_py()
-                    if len(text) < LENGTH or (cls := hashlib.sha256(text).digest()[:16]) in done:
+                    if len(text) < SHORT or (cls := hashlib.sha256(text).digest()[:16]) in done:
                         continue
                     done.add(cls)
                     at = anchors(text)
@@ -240,7 +246,7 @@ def collapse(ordered: Iterator[tuple[int, tuple]]) -> tuple[list[tuple], list[in
         if not entries or carried < len(e[0]) or len(entries[-1][0]) != len(e[0]):
             alike, told = {}, set()
         if (twin := alike.get(e[1])) is not None:
-            if (twin[2], twin[3]) != (e[2], e[3]) and len(e[0]) + len(e[1]) >= LENGTH:
+            if (twin[2], twin[3]) != (e[2], e[3]) and len(e[0]) + len(e[1]) >= SHORT:
                 for one in (e,) if e[1] in told else (twin, e):
                     done.append((one[2], one[3] - len(e[1]), one[3] + len(e[0])))
                 told.add(e[1])
@@ -261,7 +267,7 @@ def _common_end(x: bytes, y: bytes) -> int:
 
 
 def repeats(entries: list[tuple], lcps: list[int]) -> list[tuple[bytes, int, int]]:
-    """Spans covered by windows that occur twice, of distinct suffixes in order."""
+    """Spans that occur twice, of SHORT bytes or more, of distinct suffixes in order."""
     out: list[tuple[bytes, int, int]] = []
     at = 0
     while at < len(entries):
@@ -269,23 +275,24 @@ def repeats(entries: list[tuple], lcps: list[int]) -> list[tuple[bytes, int, int
         while to < len(entries) and lcps[to] >= SEED:
             to += 1
         if to - at > PAIRWISE:
-            out += _by_classes(entries[at:to], lcps[at:to])
+            for length in (LENGTH, SHORT):
+                out += _by_classes(entries[at:to], lcps[at:to], length)
         else:
             for i in range(at, to):
                 right = LENGTH
                 for j in range(i + 1, to):
                     right = min(right, lcps[j])
                     left = _common_end(entries[i][1], entries[j][1])
-                    if left + right >= LENGTH:
+                    if left + right >= SHORT:
                         out += [(e[2], e[3] - left, e[3] + right) for e in (entries[i], entries[j])]
         at = to
     return out
 
 
-def _by_classes(entries: list[tuple], lcps: list[int]) -> list[tuple[bytes, int, int]]:
-    """The same for many suffixes: for each way to place a window, those that agree on both of its sides.
+def _by_classes(entries: list[tuple], lcps: list[int], length: int) -> list[tuple[bytes, int, int]]:
+    """The same for many suffixes and windows of `length`: for each way to place a window, those that agree on both of its sides.
 
-    Classes of equal sides change only where some neighbours' common length is passed, so few placements are looked at.
+    The spans of shorter windows are all shorter than a longer window. Classes of equal sides change only where some neighbours' common length is passed, so few placements are looked at.
     """
     n = len(entries)
     right = np.array(lcps)
@@ -295,19 +302,19 @@ def _by_classes(entries: list[tuple], lcps: list[int]) -> list[tuple[bytes, int,
     left = np.array([0, *(common_prefix(backward[i], backward[j], 0) for i, j in zip(order[:-1], order[1:]))])
     left_size, right_size = np.array([len(b) for b in backward]), np.array([len(e[0]) for e in entries])
     # before = bytes of the window before the anchor; classes are constant for before in (low, high]
-    marks = np.unique(np.concatenate(([-1, REACH], left, left_size, LENGTH - 1 - right, LENGTH - 1 - right_size)))
+    marks = np.unique(np.concatenate(([-1, REACH], left, left_size, length - 1 - right, length - 1 - right_size)))
     marks = marks[(marks >= -1) & (marks <= REACH)]
     out = []
     for low, high in zip(marks[:-1].tolist(), marks[1:].tolist()):
         before = low + 1
-        of_right = np.cumsum(right < LENGTH - before)
+        of_right = np.cumsum(right < length - before)
         of_left = np.empty(n, np.int64)
         of_left[order] = np.cumsum(left < before)
-        fits = np.flatnonzero((left_size >= before) & (right_size >= LENGTH - before))
+        fits = np.flatnonzero((left_size >= before) & (right_size >= length - before))
         code = of_right[fits] * (n + 1) + of_left[fits]
         _, inverse, count = np.unique(code, return_inverse=True, return_counts=True)
         for k in fits[count[inverse] > 1].tolist():
-            out.append((entries[k][2], entries[k][3] - high, entries[k][3] - before + LENGTH))
+            out.append((entries[k][2], entries[k][3] - high, entries[k][3] - before + length))
     return out
 
 
@@ -371,8 +378,17 @@ def _resolved(key, table):
     spans: dict[bytes, list[tuple[int, int]]] = {}
     for c, a, b in zip(cls, lo, hi):
         spans.setdefault(c, []).append((a, b))
-    merged_ = [(c, union(s)) for c, s in spans.items()]
-    return pa.table({"cls": pa.array([c for c, _ in merged_], pa.binary()), "spans": pa.array([[x for y in s for x in y] for _, s in merged_], pa.list_(pa.int64()))})
+    kind = pa.list_(pa.int64())
+    removed, every = ([_flat(union([x for x in s if x[1] - x[0] >= least])) for s in spans.values()] for least in (LENGTH, SHORT))
+    return pa.table({"cls": pa.array(list(spans), pa.binary()), "spans": pa.array(removed, kind), "every": pa.array(every, kind)})
+
+
+def _flat(spans: list[tuple[int, int]]) -> list[int]:
+    return [x for s in spans for x in s]
+
+
+def _joined(lists: list[list[int]]) -> list[tuple[int, int]]:
+    return union([(x[k], x[k + 1]) for x in lists for k in range(0, len(x), 2)])
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -387,62 +403,98 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each class with its text and lists of spans: the runs removed, and the hash of what is left."""
+    """Of each class with its text and lists of spans: the runs removed, the hash of what is left, and all bytes that are repeated."""
     for b in batches:
-        spans_out, sha, removed = [], [], []
-        for text, lists in zip(b.column(1), b.column(2)):
+        spans_out, sha, removed, every = [], [], [], []
+        for text, lists, all_lists in zip(b.column(1), b.column(2), b.column(3)):
             t = text.as_py()
-            spans = union([(x[k], x[k + 1]) for x in lists.as_py() for k in range(0, len(x), 2)])
+            spans = _joined(lists.as_py())
+            every.append(sum(j - i for i, j in _joined(all_lists.as_py())))
             keep = zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(t)])
             sha.append(hashlib.sha256(b"".join(t[i:j] for i, j in keep)).hexdigest())
             removed.append(sum(j - i for i, j in spans))
-            spans_out.append([x for s in spans for x in s])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(spans_out, pa.list_(pa.int64())), pa.array(sha, pa.string())], ["cls", "removed", "spans", "kept_sha"])
+            spans_out.append(_flat(spans))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(every, pa.int64()), pa.array(spans_out, pa.list_(pa.int64())), pa.array(sha, pa.string())], ["cls", "removed", "every", "spans", "kept_sha"])
+
+
+def _picked(shared):
+    """The rows whose ids may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(common.in_bits(shared.value, np.asarray(b.column(0)))))
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans and kept_sha256 of each row of docs.
+    """doc_id, n_bytes, n_removed, n_repeated, spans and kept_sha256 of each row of docs.
 
     spans: start and end in turn of the maximal runs of bytes that are covered by strings of LENGTH bytes which start
-    anywhere else too, in the same text or another; matches never cross texts. Null counts as empty; shorter texts
-    keep all. Rows of equal texts (repeated rows too) are removed whole if they have LENGTH bytes. What is removed
+    anywhere else too, in the same text or another; matches never cross texts. n_repeated: the bytes that are covered by
+    such strings of SHORT bytes; those beyond n_removed are only reported. Null counts as empty; shorter texts keep all. Rows of equal texts (repeated rows too) are removed whole if they have LENGTH bytes. What is removed
     depends on the texts alone, never on ids. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = common.texts(docs, text_col).alias("text")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id")
-    rows = common.stored(docs.select(ids, text).mapInArrow(_classes, "doc_id long, cls binary, sha string, n_bytes long"), "texts")
-    seeds = docs.select(text).mapInArrow(_seeds(ranges), "range long, seeds binary, sure binary")
-    places = seeds.groupBy("range").applyInArrow(_repeated, "cls binary, at long").groupBy("cls").agg(F.array_sort(F.collect_set("at")).alias("places"))
+    rows = common.stored(docs.select(ids, text).mapInArrow(common.releasing(_classes), "doc_id long, cls binary, sha string, n_bytes long"), "texts")
+    n_rows, held = rows.agg(F.count("*"), F.sum("n_bytes")).first()
+    seeds = docs.select(text).mapInArrow(common.releasing(_seeds(max(least_ranges, (held or 0) // RANGE_BYTES))), "range long, seeds binary, sure binary")
+    places = seeds.groupBy("range").applyInArrow(common.releasing_group(_repeated), "cls binary, at long").groupBy("cls").agg(F.array_sort(F.collect_set("at")).alias("places"))
     wanted = common.stored(places.join(rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "cls"), "places")
     # the text of one document of each class in question; an id may be repeated with other texts
-    sources = docs.select(ids, text).join(wanted, "doc_id").where(F.substring(F.unhex(F.sha2("text", 256)), 1, 16) == F.col("cls"))
+    shared = spark.sparkContext.broadcast(common.id_bits(wanted, "doc_id"))
+    sources = docs.select(ids, text).mapInArrow(common.releasing(_picked(shared)), "doc_id long, text binary")
+    sources = sources.join(wanted, "doc_id").where(F.substring(F.unhex(F.sha2("text", 256)), 1, 16) == F.col("cls"))
     sources = common.stored(sources.select("cls", "text", "places").dropDuplicates(["cls"]), "sources")
+    ranges = max(least_ranges, (wanted.agg(F.sum(F.size("places"))).first()[0] or 0) // RANGE_SUFFIXES)
     kind = "range long, node long, run binary"
-    runs, left = sources.mapInArrow(_runs(ranges), kind), sources.rdd.getNumPartitions()
+    runs, left = sources.mapInArrow(common.releasing(_runs(ranges)), kind), sources.rdd.getNumPartitions()
     while (left := -(-left // FAN_IN)) > 1:
-        runs = runs.withColumn("node", F.floor(F.col("node") / FAN_IN)).groupBy("range", "node").applyInArrow(_meet, kind)
-    found = runs.groupBy("range").applyInArrow(_resolved, "cls binary, spans array<long>")
-    lists = found.groupBy("cls").agg(F.collect_list("spans").alias("lists"))
-    cut = sources.select("cls", "text").join(lists, "cls").select("cls", "text", "lists").mapInArrow(_kept, "cls binary, removed long, spans array<long>, kept_sha string")
+        runs = runs.withColumn("node", F.floor(F.col("node") / FAN_IN)).groupBy("range", "node").applyInArrow(common.releasing_group(_meet), kind)
+    found = runs.groupBy("range").applyInArrow(common.releasing_group(_resolved), "cls binary, spans array<long>, every array<long>")
+    lists = found.groupBy("cls").agg(F.collect_list("spans").alias("lists"), F.collect_list("every").alias("all_lists"))
+    cut = sources.select("cls", "text").join(lists, "cls").select("cls", "text", "lists", "all_lists").mapInArrow(common.releasing(_kept), "cls binary, removed long, every long, spans array<long>, kept_sha string")
     classes = rows.groupBy("cls").agg(F.count("*").alias("copies"), F.min("sha").alias("sha"), F.min("n_bytes").alias("n_bytes")).join(cut, "cls", "left")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    copied = lambda least: (F.col("copies") > 1) & (F.col("n_bytes") >= least)
+    whole = copied(LENGTH)
     result = common.stored(
         classes.select(
             "cls", "copies", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
+            F.when(copied(SHORT), F.col("n_bytes")).otherwise(F.coalesce("every", F.lit(0))).alias("n_repeated"),
             F.when(whole, F.array(F.lit(0).cast("long"), F.col("n_bytes"))).otherwise(F.coalesce("spans", F.array().cast("array<long>"))).alias("spans"),
             F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
         ), "spans"
     )
-    out = common.join_hot(rows.drop("sha"), result, "cls", "copies", rows.count())
-    return out.select(F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "spans", "kept_sha256")
+    out = common.join_hot(rows.drop("sha"), result, "cls", "copies", n_rows)
+    return out.select(F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_repeated", "spans", "kept_sha256")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
-
-
+    return out.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256", "n_repeated")
+
+
+def _sql_spans(name: str, length: int) -> str:
+    """Maximal runs of bytes that are covered by strings of so many bytes which start twice."""
+    return f"""{name}_at AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * length})) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {length - 1})) AS i FROM d WHERE length(h) >= {2 * length})),
+{name}_hit AS (SELECT doc_id, i FROM {name}_at WHERE k IN (SELECT k FROM {name}_at GROUP BY k HAVING count(*) > 1)),
+{name}_run AS (SELECT *, sum(CASE WHEN i <= before + {length} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM {name}_hit)),
+{name} AS (SELECT doc_id, run, min(i) AS a, max(i) + {length} AS b FROM {name}_run GROUP BY doc_id, run)"""
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+{_sql_spans("cut", LENGTH)},
+{_sql_spans("near", SHORT)},
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS lo, a AS hi FROM cut WINDOW w AS (PARTITION BY doc_id ORDER BY a) UNION ALL SELECT doc_id, max(b), NULL FROM cut GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, length(h)) - lo)), '' ORDER BY lo) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+removed AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS spans FROM cut GROUP BY doc_id),
+repeated AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n FROM near GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(r.n, 0) AS n_removed, coalesce(r.spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256, coalesce(s.n, 0) AS n_repeated
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN removed AS r USING (doc_id) LEFT JOIN repeated AS s USING (doc_id)
+"""
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_suffix_dedup": OP10_SQL}

@@ -1,4 +1,4 @@
-"""Repeated passages against counting every string of 400 bytes; the merge against sorting."""
+"""Repeated passages against counting every string of 400 and of 256 bytes; the merge against sorting."""
 
 import hashlib
 import random
@@ -7,17 +7,22 @@ from collections import Counter
 from skimlode.llm import suffixes
 
 
+def _covered(raw, n):
+    seen = Counter(r[i : i + n] for r in raw for i in range(len(r) - n + 1))
+    for r in raw:
+        hit = bytearray(len(r))
+        for i in range(len(r) - n + 1):
+            if seen[r[i : i + n]] > 1:
+                hit[i : i + n] = b"\1" * n
+        yield hit
+
+
 def _expected(texts):
     raw = [(t or "").encode() for t in texts]
-    seen = Counter(r[i : i + 400] for r in raw for i in range(len(r) - 399))
     out = []
-    for r in raw:
-        hit = bytearray(len(r))
-        for i in range(len(r) - 399):
-            if seen[r[i : i + 400]] > 1:
-                hit[i : i + 400] = b"\1" * 400
+    for r, hit, short in zip(raw, _covered(raw, 400), _covered(raw, 256)):
         spans = sum(1 for i in range(len(r)) if hit[i] and not (i and hit[i - 1]))
-        out.append((len(r), sum(hit), spans, hashlib.sha256(bytes(c for c, h in zip(r, hit) if not h)).hexdigest()))
+        out.append((len(r), sum(hit), sum(short), spans, hashlib.sha256(bytes(c for c, h in zip(r, hit) if not h)).hexdigest()))
     return out
 
 
@@ -34,7 +39,7 @@ def _texts(seed):
             cut = rng.randrange(3)
             parts += [p if cut == 0 else p[rng.randrange(40) :] if cut == 1 else p[: len(p) - rng.randrange(60)], make(rng.randrange(30))]
         texts.append(" ".join(parts))
-    texts += [texts[0], texts[1], None, "", "short", "short", "x" * 3000, "x" * 400, "y" * 400, "y" * 400, "ab" * 500, passages[3] * 3, "z" * 399, "z" * 399]
+    texts += [texts[0], texts[1], None, "", "short", "short", "x" * 3000, "x" * 400, "y" * 400, "y" * 400, "ab" * 500, passages[3] * 3, "z" * 399, "z" * 399, "w" * 256, "w" * 255, "v" * 256, "v" * 256]
     return texts
 
 
@@ -43,7 +48,7 @@ def test_rows_against_counting(spark):
     docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)] + [(None, "null id " * 60, "old"), (5, "same id, another text " * 30, "old")], "doc_id long, text string, spans string").repartition(4)
     all_texts = [*texts, "null id " * 60, "same id, another text " * 30]
     out = suffixes.repeated_spans(docs).collect()
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans) // 2, r.kept_sha256) for r in out)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_repeated, len(r.spans) // 2, r.kept_sha256) for r in out)
     ids = [*range(len(texts)), None, 5]
     assert got == Counter((i, *e) for i, e in zip(ids, _expected(all_texts)))
     assert suffixes.repeated_spans(docs.limit(0)).count() == 0
@@ -52,7 +57,7 @@ def test_rows_against_counting(spark):
 def test_query_on_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
-    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.op10_suffix_dedup(spark, sf).collect()}
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_repeated, r.n_spans, r.kept_sha256) for r in suffixes.op10_suffix_dedup(spark, sf).collect()}
     assert out == {r.doc_id: e for r, e in zip(rows, _expected([r.text for r in rows]))}
 
 
@@ -62,7 +67,7 @@ def test_many_merge_levels(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
     stored = suffixes.common.stored
     monkeypatch.setattr(suffixes.common, "stored", lambda df, label: stored(df, label).repartition(7) if label == "sources" else stored(df, label))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans) // 2, r.kept_sha256) for r in suffixes.repeated_spans(docs).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_repeated, len(r.spans) // 2, r.kept_sha256) for r in suffixes.repeated_spans(docs).collect()}
     assert got == dict(enumerate(_expected(texts)))
 
 
@@ -88,14 +93,18 @@ def test_large_groups_agree_with_pairs(monkeypatch):
         t = bytearray(base)
         for _ in range(rng.randrange(3)):
             t[rng.choice([*range(0, 140), *range(410, 560)])] = 120
-        entries.add((bytes(t[150 : 150 + rng.choice([400, 400, 300])]), bytes(t[rng.choice([6, 6, 60]) : 150]), i.to_bytes(16, "big"), 144 + rng.randrange(5)))
+        entries.add((bytes(t[150 : 150 + rng.choice([400, 400, 300])]), bytes(t[rng.choice([54, 54, 110]) : 150]), i.to_bytes(16, "big"), 144 + rng.randrange(5)))
     ordered = sorted(entries)
     lcps = [0, *(suffixes.common_prefix(x[0], y[0], 0) for x, y in zip(ordered[:-1], ordered[1:]))]
 
+    places = {e[2]: e[3] for e in ordered}
+
     def covered(found):
         out = {}
         for c, a, b in found:
-            out.setdefault(c, []).append((a, b))
+            for least in (256, 400):
+                if b - a >= least:  # strings that begin after an anchor are found at others
+                    out.setdefault((c, least), []).append((a, min(b, places[c] + least)))
         return {c: suffixes.union(s) for c, s in out.items()}
 
     many = covered(suffixes.repeats(ordered, lcps))
