@@ -7,40 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import EmptyBloomUnion
-from .hashing import position_columns, positions
+from ..config import LINE_BITS, EmptyBloomUnion, IncompatibleIndexConfiguration
+from .hashing import line_positions, positions
 
 
-def pairs_of(ext: Column) -> Column:
-    """Distinct codes (first << 8 | second) of all pairs of adjacent bytes."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(ext) - 1), lambda i: F.conv(F.hex(F.substring(ext, i, 2)), 16, 10).cast("int"))
-    return F.when(F.length(ext) > 1, F.array_distinct(codes)).otherwise(F.array().cast("array<int>"))
-
-
-def bytes_of(own: Column) -> Column:
-    codes = F.transform(F.sequence(F.lit(1), F.length(own)), lambda i: F.conv(F.hex(F.substring(own, i, 1)), 16, 10).cast("int"))
-    return F.when(F.length(own) > 0, F.array_distinct(codes)).otherwise(F.array().cast("array<int>"))
-
-
-def set_bits(pairs: Column, bits: int) -> Column:
-    """Distinct bit positions of a bloom that holds the pairs."""
-    return F.array_distinct(F.flatten(F.transform(pairs, lambda p: position_columns(p, bits))))
-
-
-def union_words(blooms: Sequence[Column]) -> Column:
-    """Blooms or-ed word by word; the union has no exact pairs."""
+def union_words(blooms: Sequence[Column], bits: Sequence[int] = ()) -> Column:
+    """Blooms or-ed word by word; the union has no exact pairs. bits: the blooms' sizes, which must be equal."""
     if not blooms:
         raise EmptyBloomUnion("no bloom to unite")
+    if len(set(bits)) > 1:
+        raise IncompatibleIndexConfiguration(f"blooms of {sorted(set(bits))} bits can't be united")
     out = blooms[0]
     for b in blooms[1:]:
         out = F.zip_with(out, b, lambda x, y: x.bitwiseOR(y))
     return out
 
 
-def bloom_has(words: Column, pair: int, bits: int) -> Column:
-    """Whether all of a pair's bits are set; constant words and masks, no function of Python."""
+def _has_bits(words: Column, at: Sequence[int]) -> Column:
     masks: dict[int, int] = {}
-    for p in positions(pair, bits):
+    for p in at:
         masks[p // 64] = masks.get(p // 64, 0) | 1 << p % 64
     test = F.lit(True)
     for w, m in sorted(masks.items()):
@@ -49,6 +34,23 @@ def bloom_has(words: Column, pair: int, bits: int) -> Column:
     return test
 
 
+def bloom_has(words: Column, pair: int, bits: int) -> Column:
+    """Whether all of a pair's bits are set; constant words and masks, no function of Python."""
+    return _has_bits(words, positions(pair, bits))
+
+
+def blocked_has(words: Column, exact: Column | None, pair: int, lines: int) -> Column:
+    """The same in a line-blocked bloom (summary.blocked_words), by the exact pairs if there are any."""
+    line, at = line_positions(pair, lines)
+    probe = _has_bits(words, [line * LINE_BITS + b for b in at])
+    return probe if exact is None else F.when(exact.isNotNull(), F.array_contains(exact, pair)).otherwise(probe)
+
+
+def blocked_has_all(words: Column, exact: Column | None, pairs: Sequence[int], lines: int) -> Column:
+    """All of the pairs; true for none."""
+    return contains_all([blocked_has(words, exact, p, lines) for p in dict.fromkeys(pairs)])
+
+
 def maybe_contains(words: Column, exact: Column | None, pair: int, bits: int) -> Column:
     """By the exact pairs if there are any, else by the bloom."""
     probe = bloom_has(words, pair, bits)

@@ -5,28 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import positions
+from ..config import EmptyBlockIndex
+from ..functions import blooms
 from ..plans.candidates import candidate_blocks, data_tests
 from .filters import ByteFilter, NgramFilter
-from .summary import file_bits
-
-
-def matching_files(bits_of_files: DataFrame, bits: int, ngram: NgramFilter) -> DataFrame:
-    """file_id of files whose united bloom may hold a pattern. bits_of_files: file_id, bit. Files without blocks have no row."""
-    wanted = sorted({p for r in ngram.requirements for q in r for p in positions(q, bits)})
-    place = {p: k for k, p in enumerate(wanted)}
-    few = bits_of_files.where(F.col("bit").isin(wanted)) if wanted else bits_of_files.limit(0)
-    masks = few.groupBy("file_id").agg(F.collect_set("bit").alias("found"))  # of the wanted bits only
-    tests = F.lit(False)
-    for r in ngram.requirements:
-        need = sorted({p for q in r for p in positions(q, bits)}, key=place.__getitem__)
-        tests = tests | (F.size(F.array_intersect("found", F.array(*[F.lit(p).cast("long") for p in need]))) == len(need) if need else F.lit(True))
-    if any(not r for r in ngram.requirements):
-        return bits_of_files.select("file_id").distinct()
-    return masks.where(tests).select("file_id")
-
-
-def pruned_candidates(blocks: DataFrame, block_size: int, bits: int, byte: ByteFilter | None, ngram: NgramFilter, test=data_tests) -> DataFrame:
-    """candidate_blocks() of the files that the united bloom leaves."""
-    files = matching_files(file_bits(blocks, bits), bits, ngram)
+from .summary import file_words
+
+
+def file_index(blocks: DataFrame, bits: int) -> DataFrame:
+    """file_words(), of an index that has blocks."""
+    if not blocks.limit(1).count():
+        raise EmptyBlockIndex("an index without blocks has no bloom to unite")
+    return file_words(blocks, bits)
+
+
+def matching_files(words_of_files: DataFrame, bits: int, ngram: NgramFilter) -> DataFrame:
+    """file_id of files whose united bloom may hold a pattern. words_of_files: file_id, words. Files without blocks have no row."""
+    words = F.col("words")
+    return words_of_files.where(ngram.matches(lambda p: blooms.bloom_has(words, p, bits))).select("file_id")
+
+
+def pruned_candidates(blocks: DataFrame, block_size: int, bits: int, byte: ByteFilter | None, ngram: NgramFilter, test=data_tests, words_of_files: DataFrame | None = None) -> DataFrame:
+    """candidate_blocks() of the files that the united bloom leaves; words_of_files: the stored unions, if there are any."""
+    files = matching_files(file_words(blocks, bits) if words_of_files is None else words_of_files, bits, ngram)
     return candidate_blocks(blocks.join(files, "file_id", "left_semi"), block_size, byte, ngram, test)

@@ -40,9 +40,6 @@ class ByteFilter:
         """has: whether a byte is in the block, or in any of the blocks that are looked at together."""
         return blooms.contains_any([blooms.contains_all([has(b) for b in r]) for r in self.requirements])
 
-    def any_byte(self, has: Test) -> Column:
-        return blooms.contains_any([has(b) for b in sorted({b for r in self.requirements for b in r})])
-
 
 @dataclass(frozen=True)
 class NgramFilter:
@@ -58,9 +55,6 @@ class NgramFilter:
     def matches(self, has: Test) -> Column:
         return blooms.contains_any([blooms.contains_all([has(p) for p in r]) for r in self.requirements])
 
-    def any_pair(self, has: Test) -> Column:
-        return blooms.contains_any([has(p) for p in sorted({p for r in self.requirements for p in r})])
-
     def quick_reject(self, data: Column) -> Column:
         """Whether the data's first bytes may match (so true means: don't reject); false without patterns."""
         head = F.substring(data, 1, QUICK_BYTES)

@@ -8,12 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import IncompatibleIndexConfiguration, IndexConfig, InvalidBlockId, NonSuffixBlockRemoval, TrailingPartialBlock
-from ..functions import blooms
+from ..config import IncompatibleIndexConfiguration, IndexConfig, InvalidBlockId, NonSuffixBlockRemoval, TrailingPartialBlock, ZeroBloomBits
+from ..functions.hashing import position_columns
 from .segment import metadata, segment
 from .summary import summarize
 
 
+BLOCK_COLUMNS = ("file_id", "block_id", "offset", "length", "bytes_present", "pairs", "words")
+FILE_COLUMNS = ("file_id", "total_len", "n_blocks", "first_byte", "last_byte")
+
+
 @dataclass(frozen=True)
 class BlockIndex:
     """Summaries (summary.summarize) and a row for each file: total_len, n_blocks, first_byte, last_byte."""
@@ -28,7 +32,21 @@ class BlockIndex:
 
     @classmethod
     def load(cls, spark, path: str, config: IndexConfig) -> BlockIndex:
-        return cls(config, spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/files"))
+        return cls.assemble(config, spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/files"))
+
+    @classmethod
+    def assemble(cls, config: IndexConfig, blocks: DataFrame, files: DataFrame) -> BlockIndex:
+        """An index from its parts, whose columns are checked, and the blooms' size by the first block."""
+        config.validate()
+        for df, names in ((blocks, BLOCK_COLUMNS), (files, FILE_COLUMNS)):
+            if lacking := [c for c in names if c not in df.columns]:
+                raise IncompatibleIndexConfiguration(f"no column {', '.join(lacking)}")
+        first = blocks.select(F.size("words").alias("n")).first()
+        if first is not None and first.n <= 0:
+            raise ZeroBloomBits("blooms without words")
+        if first is not None and first.n * 64 != config.bits:
+            raise IncompatibleIndexConfiguration(f"blooms of {first.n * 64} bits, {config.bits} are configured")
+        return cls(config, blocks, files)
 
 
 def build(files: DataFrame, config: IndexConfig, id_col: str = "file_id", data_col: str = "data") -> BlockIndex:
@@ -63,20 +81,28 @@ def append(index: BlockIndex, more: DataFrame, id_col: str = "file_id", data_col
     return BlockIndex(index.config, index.blocks.unionByName(summarize(blocks, index.config)), files)
 
 
-def merge(a: BlockIndex, b: BlockIndex, boundary: bool = True) -> BlockIndex:
-    """b's blocks after a's, file by file. boundary: with the pair across the seam, as building from all bytes has it."""
+def merge(a: BlockIndex, b: BlockIndex, boundary: bool = True, strict: bool = True) -> BlockIndex:
+    """b's blocks after a's, file by file. boundary: with the pair across the seam, as building from all bytes has it.
+
+    Files must end with full blocks; not strict: only those of a that b goes on.
+    """
     if a.config != b.config:
         raise IncompatibleIndexConfiguration(f"{a.config} and {b.config}")
     size, bits = a.config.block_size, a.config.bits
     seam = a.files.select("file_id", F.col("n_blocks").alias("n0"), F.col("total_len").alias("t0"), F.col("last_byte").alias("l0")).join(b.files.select("file_id", "first_byte"), "file_id")
     _aligned(a.files.join(b.files.where("n_blocks > 0"), "file_id", "left_semi"), size)
+    if strict:
+        _aligned(b.files, size)
     moved = b.blocks.join(seam, "file_id", "left")
     code = F.conv(F.hex(F.concat("l0", "first_byte")), 16, 10).cast("int")
     at_seam = (F.col("block_id") == 0) & code.isNotNull() & F.lit(boundary)
     pairs = F.when(at_seam, F.array_sort(F.array_union("pairs", F.array(code)))).otherwise(F.col("pairs"))
-    set_ = F.when(at_seam, F.array_sort(F.array_union("bits", blooms.set_bits(F.array(code), bits)))).otherwise(F.col("bits"))
+    at = position_columns(code, bits)
+    one = lambda k, i: F.when(F.shiftright(at[k], 6) == i, F.call_function("shiftleft", F.lit(1).cast("long"), at[k].bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    seamed = F.transform("words", lambda w, i: w.bitwiseOR(one(0, i)).bitwiseOR(one(1, i)).bitwiseOR(one(2, i)))
+    set_ = F.when(at_seam, seamed).otherwise(F.col("words"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    moved = moved.select("file_id", (F.col("block_id") + zero("n0")).alias("block_id"), (F.col("offset") + zero("t0")).alias("offset"), "length", "bytes_present", pairs.alias("pairs"), set_.alias("bits"))
+    moved = moved.select("file_id", (F.col("block_id") + zero("n0")).alias("block_id"), (F.col("offset") + zero("t0")).alias("offset"), "length", "bytes_present", pairs.alias("pairs"), set_.alias("words"))
     joined = a.files.alias("a").join(b.files.alias("b"), "file_id", "full")
     files = joined.select("file_id", (zero("a.total_len") + zero("b.total_len")).alias("total_len"), (zero("a.n_blocks") + zero("b.n_blocks")).alias("n_blocks"), F.coalesce("a.first_byte", "b.first_byte").alias("first_byte"), F.coalesce("b.last_byte", "a.last_byte").alias("last_byte"))
     return BlockIndex(a.config, a.blocks.unionByName(moved), files)

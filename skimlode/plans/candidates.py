@@ -1,27 +1,42 @@
 """Which blocks might hold a pattern: masks of elements per block, and windows over a file's blocks.
 
 A block's mask says which elements (bytes and pairs) of a pattern it has; the rest is window functions of one
-partitioning, so one shuffle of narrow rows by file, whatever the number of patterns or the block size.
+partitioning, so one shuffle of narrow rows, whatever the number of patterns or the block size. Files are cut into
+stretches of blocks, with a few of the neighbours' blocks at either end, so that a large file isn't one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.hashing import positions
+from ..functions import blooms, vectors
 from ..operators.filters import ByteFilter, NgramFilter, byte_in, pair_in
 from ..operators.ranges import merge_adjacent
 
-#: Elements of a mask, and bytes of pattern elements up to which they are broadcast.
-MASK_BITS, BROADCAST_ELEMENTS = 62, 2_000_000
+#: Elements of a mask, bytes of patterns that are broadcast at once, and blocks of a stretch.
+MASK_BITS, PATTERN_BYTES, STRETCH = 62, 8 << 20, 4096
+#: Cells of a table of flags that is held at once.
+CELLS = 1 << 25
 Element = tuple[str, int]
 
 
 def _in_file():
-    return Window.partitionBy("file_id").orderBy("block_id")
+    return Window.partitionBy("file_id", "stretch").orderBy("block_id")
+
+
+def stretched(rows: DataFrame, before: int, after: int) -> DataFrame:
+    """rows with their stretch, and again in stretches that need them: `before` blocks ahead of a stretch and `after` behind it."""
+    size = max(STRETCH, 4 * (before + after))
+    own, place = F.floor(F.col("block_id") / size), F.pmod("block_id", F.lit(size))
+    earlier = F.when((place < after) & (own > 0), F.array(own - 1)).otherwise(F.array().cast("array<long>"))
+    later = F.when(place >= size - before, F.array(own + 1)).otherwise(F.array().cast("array<long>"))
+    return rows.withColumn("stretch", F.explode(F.concat(F.array(own), earlier, later))).withColumn("whole", F.col("stretch") == F.floor(F.col("block_id") / size))
 
 
 def data_tests(element: Element) -> Column:
@@ -37,10 +52,7 @@ def index_tests(bits: int | None = None):
             return F.array_contains("bytes_present", element[1])
         if bits is None:
             return F.array_contains("pairs", element[1])
-        out = F.lit(True)
-        for p in dict.fromkeys(positions(element[1], bits)):
-            out = out & F.array_contains("bits", F.lit(p).cast("long"))
-        return out
+        return blooms.bloom_has(F.col("words"), element[1], bits)
 
     return test
 
@@ -112,11 +124,11 @@ def candidate_blocks(blocks: DataFrame, block_size: int, byte: ByteFilter | None
     wanted = clauses(byte, ngram)
     masks = _Masks(wanted, test)
     wide = span(ngram.max_pattern_bytes, block_size) if ngram is not None else 2
-    rows = blocks.select("file_id", "block_id", "offset", "length", *[c.alias(n) for n, c in masks.columns.items()])
+    rows = stretched(blocks.select("file_id", "block_id", "offset", "length", *[c.alias(n) for n, c in masks.columns.items()]), wide - 1, wide)
     before = lambda name: F.col(name).bitwiseOR(F.coalesce(F.lag(name).over(_in_file()), F.lit(0).cast("long")))
     window = _in_file().rowsBetween(-(wide - 1), 0)
     many = masks.full(lambda name: F.bit_or(F.col(name)).over(window)) if wide >= 3 else F.lit(False)
-    return resolve(rows.select("file_id", "block_id", "offset", "length", masks.full(F.col).alias("s"), masks.full(before).alias("p"), many.alias("m"), masks.any().alias("some")), wide)
+    return resolve(rows.select("file_id", "stretch", "whole", "block_id", "offset", "length", masks.full(F.col).alias("s"), masks.full(before).alias("p"), many.alias("m"), masks.any().alias("some")), wide)
 
 
 def resolve(rows: DataFrame, wide: int) -> DataFrame:
@@ -129,7 +141,7 @@ def resolve(rows: DataFrame, wide: int) -> DataFrame:
         base = base | F.max("m2").over(_in_file().rowsBetween(0, wide - 1))
     rows = rows.withColumn("base", base)
     found = F.col("base") | (F.coalesce(F.lead("base").over(_in_file()), F.lit(False)) & F.col("some"))
-    return rows.withColumn("found", found).where("found").select("file_id", "block_id", "offset", "length")
+    return rows.withColumn("found", found).where("found AND whole").select("file_id", "block_id", "offset", "length")
 
 
 def strict_blocks(blocks: DataFrame, block_size: int, patterns: Sequence[bytes], test=data_tests) -> DataFrame:
@@ -142,8 +154,9 @@ def strict_blocks(blocks: DataFrame, block_size: int, patterns: Sequence[bytes],
     elements = [[("byte", b) for b in sorted(set(p))] + [("pair", a << 8 | b) for a, b in sorted(set(zip(p[:-1], p[1:])))] for p in patterns]
     masks = _Masks([elements], test)
     ends = {f"_f{k}": test(("byte", p[0])) for k, p in enumerate(patterns)} | {f"_l{k}": test(("byte", p[-1])) for k, p in enumerate(patterns)}
-    rows = blocks.select("file_id", "block_id", "offset", "length", *[c.alias(n) for n, c in (masks.columns | ends).items()])
     widths = sorted({w for p in patterns for w in range(1, span(len(p), block_size) + 1)})
+    most = max(widths, default=1)
+    rows = stretched(blocks.select("file_id", "block_id", "offset", "length", *[c.alias(n) for n, c in (masks.columns | ends).items()]), most - 1, most)
     for w in widths:
         match = F.lit(False)
         for k, p in enumerate(patterns):
@@ -157,36 +170,112 @@ def strict_blocks(blocks: DataFrame, block_size: int, patterns: Sequence[bytes],
     found = F.lit(False)
     for w in widths:
         found = found | F.max(f"_w{w}").over(_in_file().rowsBetween(0, w - 1))
-    return rows.withColumn("found", found).where("found").select("file_id", "block_id", "offset", "length")
-
-
-def candidate_blocks_long(blocks: DataFrame, block_size: int, patterns: DataFrame) -> DataFrame:
-    """The paired query for many patterns, given as rows (pattern_id, pattern): a join on elements instead of masks.
+    return rows.withColumn("found", found).where("found AND whole").select("file_id", "block_id", "offset", "length")
+
+
+class _Patterns:
+    """Some patterns' elements, numbered: bytes by themselves, pairs by their code and 256."""
+
+    def __init__(self, patterns: Sequence[bytes]):
+        needs = [sorted(set(p) | {256 + q for q in blooms.pattern_pairs(p)}) for p in dict.fromkeys(patterns)]
+        self.elements = np.array(sorted({e for n in needs for e in n}), np.int64)
+        self.number = np.full(256 + 65_536, -1, np.int64)
+        self.number[self.elements] = np.arange(len(self.elements))
+        self.needs = [self.number[n] for n in needs]
+
+    def present(self, ext: pa.Array, length: np.ndarray) -> np.ndarray:
+        """Elements by blocks: what each block has. ext: its bytes after the one before it, if there is one."""
+        data, starts = vectors.raw_bytes(ext)
+        rows = np.repeat(np.arange(len(ext)), np.diff(starts))
+        own = np.ones(len(data), bool)
+        own[starts[:-1][np.diff(starts) > length]] = False
+        out = np.zeros((len(self.elements), len(ext)), bool)
+        inside = rows[1:] == rows[:-1]
+        for codes, at in ((data[own].astype(np.int64), rows[own]), (256 + (data[:-1].astype(np.int64) << 8 | data[1:])[inside], rows[:-1][inside])):
+            number = self.number[codes]
+            out[number[number >= 0], at[number >= 0]] = True
+        return out
 
-    Blocks' distinct elements meet the patterns' by an equi-join (broadcast if these are few), and are counted for
-    each block at which a match could end; elements of a block are counted once for each pattern before the shuffle.
+    def flags(self, present: np.ndarray, known: np.ndarray, wide: int) -> tuple[np.ndarray, ...]:
+        """Of each block: whether a pattern is all in it, in it and the one before, in `wide` blocks that end in it; and any element.
+
+        known: how many blocks before each are of its stretch. Only blocks with a pattern's rarest element are looked at.
+        """
+        n = present.shape[1]
+        unions = [present]
+        for k in range(1, wide):
+            united = unions[-1].copy()
+            united[:, k:] |= present[:, : n - k] & (known[k:] >= k)
+            unions.append(united)
+        often = unions[-1].sum(axis=1)
+        found = [np.zeros(n, bool) for _ in range(3)]
+        for need in self.needs:
+            at = np.flatnonzero(unions[-1][need[often[need].argmin()]])
+            for out, union in zip(found[::-1], (unions[-1], unions[min(1, wide - 1)], present)):
+                at = at[union[np.ix_(need, at)].all(axis=0)]
+                out[at] = True
+        return (*found, present.any(axis=0))
+
+
+def _flagger(shared, wide: int):
+    """Rows in order of file, stretch and block: s, p, m and some, besides those of earlier patterns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns: _Patterns = shared.value
+        step = max(64, CELLS // max(1, len(patterns.elements)))
+        held: pa.Table | None = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = pa.Table.from_batches([batch.slice(lo, step)])
+                old = 0 if held is None else held.num_rows
+                both = (part if held is None else pa.concat_tables([held, part])).combine_chunks()
+                group = both.column("group").to_numpy()
+                heads = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(len(group)), 0))
+                ext = both.column("ext").combine_chunks()
+                ext = ext.chunk(0) if isinstance(ext, pa.ChunkedArray) else ext
+                present = patterns.present(ext, both.column("length").to_numpy())
+                found = patterns.flags(present, np.arange(len(group)) - heads, wide)
+                out = part
+                for name, f in zip(("s", "p", "m", "some"), found):
+                    before = part.column(name).to_numpy(zero_copy_only=False)
+                    out = out.set_column(out.schema.get_field_index(name), name, pa.array(f[old:] | before))
+                yield from out.combine_chunks().to_batches()
+                held = both.slice(max(0, both.num_rows - wide + 1))
+
+    return run
+
+
+def _parts_of(patterns: DataFrame, most: int) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for r in patterns.toLocalIterator():
+        if held and size + len(r.pattern) > most:
+            yield held
+            held, size = [], 0
+        held.append(bytes(r.pattern))
+        size += len(r.pattern)
+    if held:
+        yield held
+
+
+def candidate_blocks_long(blocks: DataFrame, block_size: int, patterns: DataFrame, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """The paired query for many patterns, given as rows (pattern_id, pattern).
+
+    Blocks are shuffled once, by file and stretch, and each batch of them is held against all patterns: a pattern's
+    rarest element in the batch says which blocks can have it, and only these are tested for the rest. Patterns are
+    broadcast in parts of pattern_bytes, one pass after the other. No row is made for an element or a pattern.
     """
-    rows = patterns.where(F.length("pattern") > 0).select("pattern_id", F.col("pattern").cast("binary").alias("pattern"))
-    code = lambda c, i, n: F.conv(F.hex(F.substring(c, i, F.lit(n))), 16, 10).cast("int")
-    singles = lambda c: F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: code(c, i, 1))).otherwise(F.array().cast("array<int>"))
-    doubles = lambda c: F.when(F.length(c) > 1, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: code(c, i, 2) + 256)).otherwise(F.array().cast("array<int>"))
-    wanted = rows.select("pattern_id", F.array_distinct(F.concat(singles(F.col("pattern")), doubles(F.col("pattern")))).alias("e"))
-    needs = wanted.select("pattern_id", F.size("e").alias("need"), F.explode("e").alias("element"))
-    total, longest = rows.agg(F.sum(2 * F.length("pattern")), F.max(F.length("pattern"))).first()
-    wide = span(longest or 0, block_size)
-    if (total or 0) <= BROADCAST_ELEMENTS:
-        needs = F.broadcast(needs)
-    has = blocks.select("file_id", "block_id", F.explode(F.array_distinct(F.concat(singles(F.col("own")), doubles(F.col("ext"))))).alias("element"))
-    hits = has.join(needs, "element")
-    ends = hits.select("file_id", "pattern_id", "need", "element", "block_id", F.explode(F.sequence(F.col("block_id"), F.col("block_id") + wide - 1)).alias("end"))
-    nearest = ends.groupBy("file_id", "pattern_id", "need", "end", "element").agg(F.max("block_id").alias("near"))
-    counts = nearest.groupBy("file_id", "pattern_id", "need", "end").agg(F.count_if(F.col("near") == F.col("end")).alias("n1"), F.count_if(F.col("near") >= F.col("end") - 1).alias("n2"), F.count("*").alias("n3"))
-    flags = counts.groupBy("file_id", "end").agg(F.bool_or(F.col("n1") == F.col("need")).alias("s"), F.bool_or(F.col("n2") == F.col("need")).alias("p"), F.bool_or((F.col("n3") == F.col("need")) & F.lit(wide >= 3)).alias("m"), F.bool_or(F.col("n1") > 0).alias("some")).withColumnRenamed("end", "block_id")
-    keys = blocks.select("file_id", "block_id", "offset", "length").join(flags, ["file_id", "block_id"], "left")
-    no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    return resolve(keys.select("file_id", "block_id", "offset", "length", no("s"), no("p"), no("m"), no("some")), wide)
+    rows = patterns.where(F.length("pattern") > 0).select(F.col("pattern").cast("binary").alias("pattern")).distinct()
+    longest = rows.agg(F.max(F.length("pattern"))).first()[0] or 0
+    wide = span(longest, block_size)
+    no = [F.lit(False).alias(c) for c in ("s", "p", "m", "some")]
+    out = stretched(blocks.select("file_id", "block_id", "offset", F.col("length").cast("long").alias("length"), "ext", *no), wide - 1, wide)
+    out = out.withColumn("group", F.xxhash64("file_id", "stretch")).repartition("file_id", "stretch").sortWithinPartitions("file_id", "stretch", "block_id")
+    spark, schema = blocks.sparkSession, T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
+    for part in _parts_of(rows, pattern_bytes):
+        out = out.mapInArrow(_flagger(spark.sparkContext.broadcast(_Patterns(part)), wide), schema)
+    return resolve(out.select("file_id", "stretch", "whole", "block_id", "offset", "length", "s", "p", (F.col("m") & F.lit(wide >= 3)).alias("m"), "some"), wide)
 
 
 def candidate_ranges(*args, **options) -> DataFrame:
-    """candidate_blocks(), with adjacent ranges merged: the partitioning by file is used again."""
+    """candidate_blocks(), with adjacent ranges merged."""
     return merge_adjacent(candidate_blocks(*args, **options))

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .config import IndexConfig, compact_size, line_count, size_for_rate
 from .functions import blooms
-from .functions.hashing import line_columns, low_hashes, position_columns, positions
+from .functions.hashing import line_columns, line_positions, low_hashes, position_columns, positions
 from .operators import maintain, summary
-from .operators.fileindex import matching_files, pruned_candidates
+from .operators.fileindex import file_index, matching_files, pruned_candidates
 from .operators.filters import ByteFilter, CompositeFilter, FilterOp, NgramFilter, byte_in, pair_in
 from .operators.ranges import merge_adjacent, selectivity
 from .operators.segment import candidate_of, from_blocks, metadata, segment
@@ -41,6 +41,15 @@ def query(sql: str | None = None):
     return add
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see; one of this machine only where that is the whole cluster."""
+    if folder := spark.conf.get("spark.checkpoint.dir", ""):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="skimlode-")
+
+
 def files(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     key, text = {"documents": ("doc_id", "text"), "pages": ("page_id", "html")}[table]
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("file_id"), F.col(text).cast("binary").alias("data"))
@@ -167,9 +176,9 @@ def bloom_words(spark, sf_dir):
     return summary.bloom_words(blocks(spark, sf_dir), 1024)
 
 
-@query(f"WITH {_blocks_sql()}, {_PAIRS}, {_bits_sql(1024)} SELECT file_id, block_id, round((count(*) / 1024.0::DOUBLE) * (count(*) / 1024.0::DOUBLE) * (count(*) / 1024.0::DOUBLE), 9) AS fpr FROM bt GROUP BY ALL")
+@query(f"WITH {_blocks_sql()}, {_PAIRS}, {_bits_sql(1024)}, n AS (SELECT blk.file_id, blk.block_id, count(bit) / 1024.0::DOUBLE AS fill FROM blk LEFT JOIN bt USING (file_id, block_id) GROUP BY ALL) SELECT file_id, block_id, round(fill * fill * fill, 9) AS fpr FROM n")
 def bloom_fpr(spark, sf_dir):
-    return summary.word_arrays(summary.bloom_words(blocks(spark, sf_dir), 1024), 1024).select("file_id", "block_id", F.round(blooms.false_positive_rate(F.col("words"), 1024), 9).alias("fpr"))
+    return summary.block_words(blocks(spark, sf_dir), 1024).select("file_id", "block_id", F.round(blooms.false_positive_rate(F.col("words"), 1024), 9).alias("fpr"))
 
 
 @query(f"WITH {_blocks_sql()}, {_PAIRS}, {_HASH.format('pr')} SELECT DISTINCT file_id, block_id, l1 & 7 AS line, (l1 + k * (l2 + 21)) & 511 AS bit FROM hs, (SELECT unnest([0, 1, 2]) AS k)")
@@ -177,13 +186,32 @@ def blocked_bloom_bits(spark, sf_dir):
     return summary.blocked_bits(blocks(spark, sf_dir), 4096)
 
 
-@query(f"WITH {_blocks_sql()}, {_PAIRS}, {_bits_sql(1024)}, probe(e, bit) AS (VALUES {', '.join(f'({p}, {b})' for p in (0x7468, 0x7A7A) for b in positions(p, 1024))}) SELECT file_id, block_id, count(*) FILTER (e = {0x7468}) = 3 AS has_th, count(*) FILTER (e = {0x7A7A}) = 3 AS has_zz FROM bt LEFT JOIN probe USING (bit) GROUP BY ALL")
+@query(f"WITH {_blocks_sql()}, {_PAIRS}, {_bits_sql(1024)}, probe(e, bit) AS (VALUES {', '.join(f'({p}, {b})' for p in (0x7468, 0x7A7A) for b in positions(p, 1024))}) SELECT blk.file_id, blk.block_id, count(*) FILTER (e = {0x7468}) = 3 AS has_th, count(*) FILTER (e = {0x7A7A}) = 3 AS has_zz FROM blk LEFT JOIN bt USING (file_id, block_id) LEFT JOIN probe USING (bit) GROUP BY ALL")
 def bloom_membership(spark, sf_dir):
     words = F.col("words")
-    filled = summary.word_arrays(summary.bloom_words(blocks(spark, sf_dir), 1024), 1024)
+    filled = summary.block_words(blocks(spark, sf_dir), 1024)
     return filled.select("file_id", "block_id", blooms.bloom_has(words, 0x7468, 1024).alias("has_th"), blooms.bloom_has(words, 0x7A7A, 1024).alias("has_zz"))
 
 
+_LINED = f"{_PAIRS}, {_HASH.format('pr')}, lb AS (SELECT DISTINCT file_id, block_id, (l1 & 7) * 512 + ((l1 + k * (l2 + 21)) & 511) AS bit FROM hs, (SELECT unnest([0, 1, 2]) AS k))"
+LINED = [b"th", b"e ", b"zz"]
+
+
+def _lined(p: bytes) -> list[int]:
+    line, at = line_positions(blooms.pattern_pairs(p)[0], 8)
+    return sorted({line * 512 + b for b in at})
+
+
+_LINED_HAS = [f"count(DISTINCT bit) FILTER (bit IN ({', '.join(map(str, _lined(p)))})) = {len(_lined(p))}" for p in LINED]
+
+
+@query(f"WITH {_blocks_sql()}, {_LINED} SELECT blk.file_id, blk.block_id, {_LINED_HAS[0]} AS has_th, {_LINED_HAS[2]} AS has_zz, {_LINED_HAS[0]} AND {_LINED_HAS[1]} AS has_all FROM blk LEFT JOIN lb USING (file_id, block_id) GROUP BY ALL")
+def blocked_membership(spark, sf_dir):
+    words, pair = F.col("words"), lambda p: blooms.pattern_pairs(p)[0]
+    found = summary.blocked_words(blocks(spark, sf_dir), 4095)
+    return found.select("file_id", "block_id", blooms.blocked_has(words, None, pair(LINED[0]), 8).alias("has_th"), blooms.blocked_has(words, None, pair(LINED[2]), 8).alias("has_zz"), blooms.blocked_has_all(words, None, [pair(p) for p in LINED[:2]], 8).alias("has_all"))
+
+
 def _power(x: str) -> str:
     return f"CAST(pow(2, ceil(log2({x}))) AS BIGINT)"
 
@@ -201,9 +229,10 @@ def target_fpr_sizing(spark, sf_dir):
 # --- files
 
 
-@query(f"WITH {_blocks_sql()}, {_PAIRS}, {_bits_sql(65536)} SELECT file_id, count(DISTINCT bit) AS n_bits FROM bt GROUP BY ALL")
+@query(f"WITH {_blocks_sql()}, {_PAIRS}, {_bits_sql(65536)} SELECT blk.file_id, count(DISTINCT bit) AS n_bits FROM blk LEFT JOIN bt USING (file_id, block_id) GROUP BY ALL")
 def file_bloom_union(spark, sf_dir):
-    return summary.file_bits(blocks(spark, sf_dir), 65_536).groupBy("file_id").agg(F.count("*").alias("n_bits"))
+    n_bits = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
+    return file_index(blocks(spark, sf_dir), 65_536).select("file_id", n_bits.alias("n_bits"))
 
 
 def _file_prune_sql(table: str) -> str:
@@ -214,12 +243,12 @@ def _file_prune_sql(table: str) -> str:
 
 @query(_file_prune_sql("documents"))
 def file_prune(spark, sf_dir):
-    return matching_files(summary.file_bits(blocks(spark, sf_dir), 65_536), 65_536, NGRAM)
+    return matching_files(summary.file_words(blocks(spark, sf_dir), 65_536), 65_536, NGRAM)
 
 
 @query(_file_prune_sql("pages"))
 def file_prune_pages(spark, sf_dir):
-    return matching_files(summary.file_bits(blocks(spark, sf_dir, "pages"), 65_536), 65_536, NGRAM)
+    return matching_files(summary.file_words(blocks(spark, sf_dir, "pages"), 65_536), 65_536, NGRAM)
 
 
 @query(_candidates_sql(BYTE, NGRAM) + _RANGES)
@@ -373,19 +402,30 @@ def verify_no_false_negative(spark, sf_dir):
     return true.join(found, F.col("file_id") == F.col("f"), "left").select("file_id", F.col("f").isNotNull().alias("covered"))
 
 
-_SNIPPETS = "SELECT item_id AS r, hex(encode(substr(text, 1, 12))) AS h FROM benchmark WHERE length(text) > 0"
-_MANY_NEED = f"sn AS ({_SNIPPETS}), need AS (SELECT DISTINCT 0 AS c, r, CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER) AS e FROM (SELECT r, h, unnest(range(0, length(h) // 2)) AS i FROM sn) UNION SELECT DISTINCT 0, r, CAST('0x' || substr(h, 2 * i + 1, 4) AS INTEGER) + 256 FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 1)) AS i FROM sn))"
+#: Whole items as patterns: every element of one must be in a block, in two, or in as many as the longest item can touch.
+_ITEMS = """it AS (SELECT item_id AS r, hex(encode(text)) AS h FROM benchmark WHERE length(text) > 0),
+    wd AS (SELECT greatest(CAST(ceil(max(length(h) // 2) / 256.0) AS BIGINT), 1) + 1 AS wide FROM it),
+    need AS (SELECT r, list(DISTINCT e) AS need FROM (SELECT r, CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER) AS e FROM (SELECT r, h, unnest(range(0, length(h) // 2)) AS i FROM it) UNION ALL SELECT r, CAST('0x' || substr(h, 2 * i + 1, 4) AS INTEGER) + 256 FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 1)) AS i FROM it)) GROUP BY r),
+    wanted AS (SELECT DISTINCT unnest(need) AS e FROM need),
+    el AS (SELECT file_id, block_id, list(e) AS l FROM (SELECT file_id, block_id, byte AS e FROM byt UNION SELECT file_id, block_id, CAST(pair + 256 AS INTEGER) FROM pr) JOIN wanted USING (e) GROUP BY ALL),
+    un AS (SELECT a.file_id, a.block_id AS i, flatten(list(b.l) FILTER (b.block_id = a.block_id)) AS l1, flatten(list(b.l) FILTER (b.block_id >= a.block_id - 1)) AS l2, flatten(list(b.l)) AS l3 FROM blk a JOIN el b ON b.file_id = a.file_id AND b.block_id BETWEEN a.block_id - (SELECT wide FROM wd) + 1 AND a.block_id GROUP BY ALL),
+    fl AS (SELECT file_id, i, bool_or(coalesce(list_has_all(l1, need), false)) AS s, bool_or(coalesce(list_has_all(l2, need), false)) AS p, bool_or(list_has_all(l3, need)) AND (SELECT wide FROM wd) >= 3 AS m FROM un, need GROUP BY ALL),
+    st AS (SELECT blk.file_id, blk.block_id, "offset", "length", coalesce(s, false) AS s, coalesce(p, false) AS p, coalesce(m, false) AS m, (blk.file_id, blk.block_id) IN (SELECT (file_id, block_id) FROM el) AS near FROM blk LEFT JOIN fl ON blk.file_id = fl.file_id AND blk.block_id = fl.i),
+    s2 AS (SELECT *, NOT s AND p AND block_id >= 1 AS p2, NOT s AND NOT (p AND block_id >= 1) AND m AND block_id >= 2 AS m2 FROM st),
+    s3 AS (SELECT *, s OR p2 OR coalesce(lead(p2) OVER (PARTITION BY file_id ORDER BY block_id), false) OR EXISTS (SELECT 1 FROM s2 x WHERE x.file_id = s2.file_id AND x.m2 AND x.block_id BETWEEN s2.block_id AND s2.block_id + (SELECT wide FROM wd) - 1) AS base FROM s2),
+    found AS (SELECT file_id, block_id, "offset", "length" FROM (SELECT *, base OR (coalesce(lead(base) OVER (PARTITION BY file_id ORDER BY block_id), false) AND near) AS ok FROM s3) WHERE ok)"""
 
 
-@query(f"WITH {_blocks_sql()}, {_MANY_NEED}, {_EXACT_HITS}, {_flags_sql(2)}, {_MERGE} {_RANGES}")
+@query(f"WITH {_blocks_sql()}, {_PAIRS}, {_BYTES}, {_ITEMS}, {_MERGE} {_RANGES}")
 def many_patterns(spark, sf_dir):
-    snippets = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pattern_id"), F.substring("text", 1, 12).cast("binary").alias("pattern"))
-    return merge_adjacent(plan.candidate_blocks_long(blocks(spark, sf_dir), BLOCK, snippets))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pattern_id"), F.col("text").cast("binary").alias("pattern"))
+    return merge_adjacent(plan.candidate_blocks_long(blocks(spark, sf_dir), BLOCK, items))
 
 
-@query(f'WITH {_blocks_sql()}, found AS (SELECT * FROM blk WHERE block_id % 3 < 2), {_MERGE} {_RANGES}')
+@query(f"WITH {_blocks_sql()}, {_SETS}, found AS (SELECT blk.* FROM blk JOIN sets USING (file_id, block_id) WHERE {_contains([b'@'], True)}), {_MERGE} {_RANGES}")
 def merge_adjacent_ranges(spark, sf_dir):
-    return merge_adjacent(blocks(spark, sf_dir).where("block_id % 3 < 2"))
+    """Blocks that may hold an address, each a range, merged."""
+    return merge_adjacent(blocks(spark, sf_dir).where(byte_in(F.col("own"), b"@"[0])).select("file_id", "offset", "length"))
 
 
 @query(_candidates_sql(BYTE, NGRAM) + 'SELECT f.file_id, round(coalesce(sum("length"), 0) / greatest(1, max(length(f.h) // 2))::DOUBLE, 9) AS selectivity FROM f LEFT JOIN merged USING (file_id) GROUP BY f.file_id')
@@ -407,7 +447,10 @@ _STATE = f"WITH {_blocks_sql()}, {_PAIRS} SELECT blk.file_id, blk.block_id, any_
 
 
 def _halves(spark, sf_dir):
-    rows = files(spark, sf_dir)
+    return _halves_of(files(spark, sf_dir))
+
+
+def _halves_of(rows: DataFrame):
     at = (F.floor(F.length("data") / 512) * BLOCK).cast("int")
     return rows.select("file_id", F.substring(F.col("data"), F.lit(1), at).alias("data")), rows.select("file_id", F.substring(F.col("data"), at + 1, F.length("data") - at).alias("data"))
 
@@ -425,7 +468,7 @@ def append_equals_rebuild(spark, sf_dir):
 @query(_STATE)
 def merge_indexes(spark, sf_dir):
     first, rest = _halves(spark, sf_dir)
-    return _state(maintain.merge(maintain.build(first, EXACT), maintain.build(rest, EXACT)))
+    return _state(maintain.merge(maintain.build(first, EXACT), maintain.build(rest, EXACT), strict=False))
 
 
 _AT = "(length(h) // 2 // 512)"
@@ -435,7 +478,7 @@ _AT = "(length(h) // 2 // 512)"
 def merge_without_boundary(spark, sf_dir):
     """Without the pair across the seam."""
     first, rest = _halves(spark, sf_dir)
-    return _state(maintain.merge(maintain.build(first, EXACT), maintain.build(rest, EXACT), boundary=False))
+    return _state(maintain.merge(maintain.build(first, EXACT), maintain.build(rest, EXACT), boundary=False, strict=False))
 
 
 @query(f'WITH {_blocks_sql()}, n AS (SELECT max(block_id) + 1 AS n FROM blk WHERE file_id = 0) SELECT file_id, block_id, "offset", "length" FROM blk, n WHERE file_id <> 0 OR block_id < n - 1')
@@ -457,11 +500,91 @@ def change_set(spark, sf_dir):
     return watch.changes(paths.where("doc_id % 2 = 0").select("path"), paths.where("doc_id % 3 = 0").select("path"))
 
 
-@query()
+_CRC = """tb AS (SELECT list(t ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS t FROM (SELECT unnest(range(0, 256)) AS n)))"""
+
+
+@query(f"""WITH {_blocks_sql()}, {_CRC}
+    SELECT file_id, block_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(own) // 2), lambda i: CAST('0x' || substr(own, 2 * i + 1, 2) AS BIGINT))), lambda a, b: xor(a // 256, t[CAST(xor(a & 255, b) AS INTEGER) + 1])), 4294967295) AS crc FROM blk, tb""")
 def crc_of_block(spark, sf_dir):
     return blocks(spark, sf_dir).select("file_id", "block_id", F.crc32("own").alias("crc"))
 
 
+# --- an index that is stored, and opened again
+
+
+def _kept(spark, sf_dir, config: IndexConfig):
+    """The index of documents, saved to the shared folder and loaded from there."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    maintain.build(files(spark, sf_dir), config).save(path)
+    return maintain.BlockIndex.load(spark, path, config)
+
+
+@query(_candidates_sql(BYTE, NGRAM) + _RANGES)
+def cand_stored(spark, sf_dir):
+    """Without the documents: only the stored summaries are read."""
+    return plan.candidate_ranges(_kept(spark, sf_dir, EXACT).blocks, BLOCK, BYTE, NGRAM, test=plan.index_tests())
+
+
+@query(_candidates_sql(BYTE, NGRAM, hits=_bloom_hits(1024, [p for r in NGRAM.requirements for p in r])) + _RANGES)
+def cand_stored_hash(spark, sf_dir):
+    return plan.candidate_ranges(_kept(spark, sf_dir, CONFIG).blocks, BLOCK, BYTE, NGRAM, test=plan.index_tests(1024))
+
+
+@query(f"WITH {_blocks_sql()}, {_PAIRS} SELECT file_id, block_id, count(*) AS n_pairs FROM pr WHERE file_id = 2 AND block_id = 0 GROUP BY ALL")
+def point_stored(spark, sf_dir):
+    return summary.point(_kept(spark, sf_dir, EXACT).blocks, 2, 0).select("file_id", "block_id", F.size("pairs").cast("long").alias("n_pairs"))
+
+
+def _stored_unions(spark, sf_dir):
+    path = f"{shared_folder(spark)}/unions-{uuid.uuid4().hex}"
+    file_index(blocks(spark, sf_dir), 65_536).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(_candidates_sql(BYTE, NGRAM) + _RANGES)
+def file_candidates_stored(spark, sf_dir):
+    """Files by their stored unions, then blocks of these only."""
+    return merge_adjacent(pruned_candidates(blocks(spark, sf_dir), BLOCK, 65_536, BYTE, NGRAM, words_of_files=_stored_unions(spark, sf_dir)))
+
+
+@query(_candidates_sql(None, NGRAM) + _RANGES)
+def file_candidates_ngram(spark, sf_dir):
+    return merge_adjacent(pruned_candidates(blocks(spark, sf_dir), BLOCK, 65_536, None, NGRAM))
+
+
+@query(f"WITH {_blocks_sql()}, {_SETS} SELECT file_id, block_id, {_contains([b'token'])} AS exact_token, {_contains([b'th'])} AS exact_th FROM sets")
+def exact_membership(spark, sf_dir):
+    """By exact pairs where there are any."""
+    words, pairs = F.col("words"), F.col("pairs")
+    found = summary.summarize(blocks(spark, sf_dir), EXACT)
+    return found.select("file_id", "block_id", blooms.maybe_contains_pattern(words, pairs, b"token", EXACT.bits).alias("exact_token"), blooms.maybe_contains(words, pairs, blooms.pattern_pairs(b"th")[0], EXACT.bits).alias("exact_th"))
+
+
+@query("SELECT doc_id AS file_id, octet_length(encode(text)) // 256 * 256 AS total_len, octet_length(encode(text)) // 256 * 256 AS total_after, octet_length(encode(text)) // 256 AS n_blocks FROM documents WHERE octet_length(encode(text)) >= 512")
+def append_records(spark, sf_dir):
+    """Records of first halves, with the second halves appended to the bytes: equal to the whole files' records.
+
+    Records grow by full blocks only, so files are taken without a last block that isn't full.
+    """
+    rows = files(spark, sf_dir).where(F.length("data") >= 2 * BLOCK)
+    rows = rows.select("file_id", F.substring("data", F.lit(1), (F.floor(F.length("data") / BLOCK) * BLOCK).cast("int")).alias("data"))
+    first, rest = _halves_of(rows)
+    joined = codec.append_files(codec.encode_files(first, EXACT), rest)
+    same = joined.join(codec.encode_files(rows, EXACT).withColumnRenamed("record", "whole"), "file_id").where("record = whole")
+    n = codec.decode_files(same.select("file_id", "record")).groupBy("file_id").agg(F.count("*").alias("n_blocks"), F.max("total_len").alias("total_after"))
+    return n.join(rows.select("file_id", F.length("data").cast("long").alias("total_len")), "file_id").select("file_id", "total_len", "total_after", "n_blocks")
+
+
+@query(f"WITH {_blocks_sql()}, {_PAIRS} SELECT CAST(blk.file_id AS VARCHAR) AS file_id, blk.block_id, count(pair) AS n_pairs FROM blk LEFT JOIN pr USING (file_id, block_id) WHERE blk.file_id % 3 = 0 GROUP BY ALL")
+def index_of_changes(spark, sf_dir):
+    """An index of even documents, brought to those that three divides by their change set."""
+    rows = files(spark, sf_dir).select(F.col("file_id").cast("string").alias("file_id"), F.col("file_id").alias("n"), "data")
+    before, after = rows.where("n % 2 = 0").select("file_id", "data"), rows.where("n % 3 = 0").select("file_id", "data")
+    changed = watch.changes(before.select(F.col("file_id").alias("path")), after.select(F.col("file_id").alias("path")))
+    index = watch.apply_changes(maintain.build(before, EXACT), changed, after)
+    return index.blocks.select("file_id", "block_id", F.size("pairs").cast("long").alias("n_pairs"))
+
+
 def _decoded(transport: bool):
     return lambda spark, sf_dir: codec.decode_files(codec.encode_files(files(spark, sf_dir), EXACT, transport), transport).select("file_id", "block_id", "block_size", F.size("pairs").cast("long").alias("n_pairs"), F.aggregate("pairs", F.lit(0).cast("long"), lambda a, p: a + p).alias("pair_sum"))
 
@@ -474,8 +597,7 @@ for _name, _transport in (("codec_roundtrip", False), ("transport_roundtrip", Tr
 @query(_STATE)
 def stream_blocks(spark, sf_dir):
     """Blocks of a stream of document files, summarized as they come."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="skimlode-stream-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema("doc_id long, text string").parquet(f"{sf_dir}/documents.parque*").select(F.col("doc_id").alias("file_id"), F.col("text").cast("binary").alias("data"))
     out = summary.summarize(segment(source, BLOCK), EXACT)
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()

@@ -56,18 +56,26 @@ def exact_words(pairs: np.ndarray) -> np.ndarray:
 def encode(data: bytes, config: c.IndexConfig) -> bytes:
     """The record of all blocks of the data."""
     config.validate()
-    raw, size = np.frombuffer(data, np.uint8), config.block_size
-    out = [MAGIC, struct.pack("<IQQQB", VERSION, size, len(data), -(-len(data) // size), data[-1] if data else 0xFF)]
+    size = config.block_size
+    head = struct.pack("<IQQQB", VERSION, size, len(data), -(-len(data) // size), data[-1] if data else 0xFF)
+    body = b"".join([MAGIC, head, *_blocks(data, size, config.bits, config.exact, None)])
+    return body + struct.pack("<I", zlib.crc32(body))
+
+
+def _blocks(data: bytes, size: int, bits: int, exact: bool, before: int | None) -> list[bytes]:
+    """The blocks' parts of a record; before: the byte ahead of the data, if any."""
+    raw, out = np.frombuffer(data, np.uint8), []
     for at in range(0, len(data), size):
         own = raw[at : at + size]
         ext = raw[max(0, at - 1) : at + size].astype(np.int64)
+        if at == 0 and before is not None:
+            ext = np.concatenate(([before], ext))
         pairs = np.unique(ext[:-1] << 8 | ext[1:])
-        words = bloom_words(pairs, config.bits)
-        out += [np.bincount(own, minlength=256).astype("<u4").tobytes(), struct.pack("<QQ", config.bits | (FLAG if config.exact else 0), len(words)), words.tobytes()]
-        if config.exact:
+        words = bloom_words(pairs, bits)
+        out += [np.bincount(own, minlength=256).astype("<u4").tobytes(), struct.pack("<QQ", bits | (FLAG if exact else 0), len(words)), words.tobytes()]
+        if exact:
             out += [struct.pack("<Q", MARKER), exact_words(pairs).tobytes()]
-    body = b"".join(out)
-    return body + struct.pack("<I", zlib.crc32(body))
+    return out
 
 
 def decode(raw: bytes) -> Decoded:
@@ -117,6 +125,38 @@ def decode(raw: bytes) -> Decoded:
     return out
 
 
+def bloom_from_parts(bits: int, words: np.ndarray) -> np.ndarray:
+    """The words of a bloom of `bits`, checked: some bits, a power of two, and enough words."""
+    if bits == 0:
+        raise c.ZeroBloomBits("a bloom needs at least one bit")
+    if bits & (bits - 1):
+        raise c.InvalidBlockSize(f"{bits} bits are no power of two")
+    if len(words) < -(-bits // 64):
+        raise c.TruncatedBlock(f"{len(words)} words for {bits} bits")
+    return words
+
+
+def append_record(raw: bytes, more: bytes, last_byte: int | None = None) -> bytes:
+    """The record with further full blocks, without the bytes that it was built from.
+
+    last_byte: the byte that the indexed data ended with, for the pair across the seam; by default the record's own.
+    """
+    old = decode(raw)
+    if old.total_len % old.block_size:
+        raise c.TrailingPartialBlock("the last block isn't full: nothing can follow it")
+    if len(more) % old.block_size:
+        raise c.UnalignedData(f"{len(more)} bytes are no blocks of {old.block_size}")
+    if not old.words:
+        raise c.ZeroBloomBits("a record without blocks doesn't say how large blooms are")
+    seam = old.last_byte if last_byte is None else last_byte
+    new = _blocks(more, old.block_size, old.bits, old.exact[0] is not None, seam)
+    head = struct.pack("<IQQQB", VERSION, old.block_size, old.total_len + len(more), len(old.words) + len(more) // old.block_size, more[-1] if more else 0xFF if old.last_byte is None else old.last_byte)
+    first = HEAD3 if struct.unpack_from("<I", raw, 4)[0] >= 3 else HEAD
+    end = len(raw) - 4 if struct.unpack_from("<I", raw, 4)[0] >= 2 else len(raw)
+    body = b"".join([MAGIC, head, raw[first:end], *new])
+    return body + struct.pack("<I", zlib.crc32(body))
+
+
 def compress(raw: bytes) -> bytes:
     """Runs of four or more of a byte, and every 0xFE and 0xFF, become 0xFF, length (16 bits, high first), byte."""
 
@@ -185,6 +225,18 @@ def encode_files(files: DataFrame, config: c.IndexConfig, transport: bool = Fals
     return rows.mapInArrow(run, f"file_id {rows.schema['file_id'].dataType.simpleString()}, record binary")
 
 
+def append_files(records: DataFrame, more: DataFrame, id_col: str = "file_id", data_col: str = "data") -> DataFrame:
+    """file_id, record: each record with the further full blocks that `more` has for it, if any."""
+    rows = records.select("file_id", "record").join(more.select(F.col(id_col).alias("file_id"), F.col(data_col).cast("binary").alias("data")), "file_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            joined = [append_record(r.as_py(), x.as_py()) if x.as_py() else r.as_py() for r, x in zip(b.column(1), b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(joined, pa.binary())], ["file_id", "record"])
+
+    return rows.mapInArrow(run, f"file_id {rows.schema['file_id'].dataType.simpleString()}, record binary")
+
+
 def decode_files(records: DataFrame, transport: bool = False) -> DataFrame:
     """file_id, block_id, block_size, total_len, bytes_present, words, pairs (null without exact ones) of each block."""
 

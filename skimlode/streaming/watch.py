@@ -7,11 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import IndexConfig
+from ..config import DataTooLarge, IndexConfig
+from ..operators.maintain import BlockIndex, build
 from ..operators.segment import segment
 from ..operators.summary import summarize
 
 
+#: Bytes of changed files that are indexed at once: fixed value.
+MAX_CHANGED = 16 << 30
+
+
 @dataclass(frozen=True)
 class WatchConfig:
     """Defaults are fixed values of the directory watcher."""
@@ -37,6 +42,26 @@ def changes(before: DataFrame, after: DataFrame, edits: bool = True) -> DataFram
     return parts
 
 
+def read_files(spark: SparkSession, paths: DataFrame, config: WatchConfig = WatchConfig(), most: int = MAX_CHANGED) -> DataFrame:
+    """file_id (the path) and data of the files named in `paths`; too many bytes together are an error. Absent files are left out."""
+    names = [r.path for r in paths.select("path").distinct().toLocalIterator()]
+    if not names:
+        return spark.createDataFrame([], "file_id string, data binary")
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(names).where(F.col("length") <= config.max_file_bytes)
+    if (files.agg(F.sum("length")).first()[0] or 0) > most:
+        raise DataTooLarge(f"more than {most} bytes have changed")
+    return files.select(F.col("path").alias("file_id"), F.col("content").alias("data"))
+
+
+def apply_changes(index: BlockIndex, changed: DataFrame, files: DataFrame) -> BlockIndex:
+    """The index after a change set: removed and edited files go, added and edited ones come as `files` has them."""
+    gone = changed.where(F.col("change").isin("removed", "edited")).select(F.col("path").alias("file_id"))
+    come = changed.where(F.col("change").isin("added", "edited")).select(F.col("path").alias("file_id"))
+    new = build(files.join(come, "file_id", "left_semi"), index.config)
+    keep = lambda df: df.join(gone, "file_id", "left_anti")
+    return BlockIndex(index.config, keep(index.blocks).unionByName(new.blocks), keep(index.files).unionByName(new.files))
+
+
 def index_stream(spark: SparkSession, root: str, out: str, checkpoint: str, config: WatchConfig = WatchConfig(), once: bool = True):
     """A query that appends the summaries of new files below root to Parquet at out; each file is read once."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= config.max_file_bytes)

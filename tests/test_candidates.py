@@ -65,8 +65,25 @@ def test_plans_agree_with_the_loop(spark, patterns):
         got = {(r.file_id, r.block_id) for r in plan.candidate_blocks(blocks, BLOCK, b, n).collect()}
         assert got == {(k, i) for k, d in files for i in _loop(d, b, n)}
     rows = spark.createDataFrame(list(enumerate(patterns)), "pattern_id int, pattern binary")
-    long = {(r.file_id, r.block_id) for r in plan.candidate_blocks_long(blocks, BLOCK, rows).collect()}
-    assert long == {(k, i) for k, d in files for i in _loop(d, byte, ngram)}
+    for pattern_bytes in (plan.PATTERN_BYTES, 3):  # at once, and one after the other
+        long = {(r.file_id, r.block_id) for r in plan.candidate_blocks_long(blocks, BLOCK, rows, pattern_bytes).collect()}
+        assert long == {(k, i) for k, d in files for i in _loop(d, byte, ngram)}
+
+
+@pytest.mark.parametrize("stretch", [1, 5])
+def test_stretches_change_nothing(spark, monkeypatch, stretch):
+    data = bytearray(random.Random(8).choices(b"ab", k=40_000))
+    p = [b"QZ", b"Q" + b"a" * 600 + b"Z"]
+    for at in range(200, 39_000, 1790):
+        data[at : at + len(p[at % 2])] = p[at % 2]
+    files = [(1, bytes(data)), (2, bytes(data[3000:9000]))]
+    blocks = segment(spark.createDataFrame(files, "file_id long, data binary"), BLOCK)
+    rows = spark.createDataFrame(list(enumerate(p)), "pattern_id int, pattern binary")
+    byte, ngram = ByteFilter.from_patterns(p), NgramFilter.from_patterns(p)
+    every = lambda: [{(r.file_id, r.block_id) for r in x.collect()} for x in (plan.candidate_blocks(blocks, BLOCK, byte, ngram), plan.candidate_blocks_long(blocks, BLOCK, rows), plan.strict_blocks(blocks, BLOCK, p))]
+    whole = every()
+    monkeypatch.setattr(plan, "STRETCH", stretch)
+    assert every() == whole and whole[0] == whole[1] == {(k, i) for k, d in files for i in _loop(d, byte, ngram)}
 
 
 @pytest.mark.parametrize("patterns", [s for s in SETS if any(s)])
@@ -87,8 +104,9 @@ def test_ranges_merge(spark):
     assert sorted(map(tuple, merge_adjacent(rows).collect())) == [(1, 0, 512), (1, 1024, 256), (2, 0, 10), (3, 0, 100), (3, 50, 100)]
 
 
-def test_one_shuffle(spark):
+def test_shuffles(spark):
+    """One of narrow rows, and one of what was found."""
     blocks = segment(spark.createDataFrame([(1, b"x" * 900)], "file_id long, data binary"), BLOCK)
     p = [b"ab", b"cd"]
     text = plan.candidate_ranges(blocks, BLOCK, ByteFilter.from_patterns(p), NgramFilter.from_patterns(p))._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange hashpartitioning") == 1 and "Python" not in text
+    assert text.count("Exchange hashpartitioning") == 2 and "Python" not in text

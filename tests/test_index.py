@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from skimlode import config as c
 from skimlode.functions import blooms
-from skimlode.functions.hashing import pair_hash, positions
+from skimlode.functions.hashing import line_positions, pair_hash, positions
 from skimlode.operators import maintain, summary
+from skimlode.operators.fileindex import file_index
 from skimlode.operators.filters import ByteFilter, NgramFilter
 from skimlode.operators.segment import from_blocks, segment
 from skimlode.sources import codec
@@ -35,6 +36,12 @@ def test_sizes():
     assert pair_hash(0) == (0, 1) and len(positions(5, 64)) == 3
     with pytest.raises(c.EmptyBloomUnion):
         blooms.union_words([])
+    with pytest.raises(c.IncompatibleIndexConfiguration):
+        blooms.union_words([None, None], [64, 128])
+    for bits, words, error in ((0, 1, c.ZeroBloomBits), (96, 2, c.InvalidBlockSize), (128, 1, c.TruncatedBlock)):
+        with pytest.raises(error):
+            codec.bloom_from_parts(bits, codec.np.zeros(words, "<u8"))
+    assert len(codec.bloom_from_parts(128, codec.np.zeros(2, "<u8"))) == 2
 
 
 def test_filters():
@@ -47,7 +54,7 @@ def test_filters():
 def test_every_pair_is_found_in_blooms(spark):
     data = bytes(random.Random(1).choices(range(256), k=3000))
     blocks = segment(spark.createDataFrame([(1, data)], "file_id int, data binary"), 256)
-    words = summary.word_arrays(summary.bloom_words(blocks, 1024), 1024)
+    words = summary.block_words(blocks, 1024)
     probes = [p for p in set(blooms.pattern_pairs(data[:256]))]
     assert words.where("block_id = 0").select(blooms.contains_all([blooms.bloom_has(F.col("words"), p, 1024) for p in probes[:100]])).first()[0]
     got = {r.block_id: [x & (1 << 64) - 1 for x in r.words] for r in words.collect()}
@@ -86,8 +93,55 @@ def test_codec():
             codec.decompress(codec.compress(b"a" * 99), 98)
 
 
+@pytest.mark.parametrize("config", [SMALL, EXACT])
+def test_records_grow(config):
+    data = bytes(random.Random(5).choices(range(256), k=1536))
+    assert codec.append_record(codec.encode(data[:512], config), data[512:]) == codec.encode(data, config)
+    ends_high = data[:511] + b"\xff"  # such a last byte isn't in the record
+    assert codec.append_record(codec.encode(ends_high, config), data[512:], 0xFF) == codec.encode(ends_high + data[512:], config)
+    for raw, more, error in ((codec.encode(data[:500], config), data[:256], c.TrailingPartialBlock), (codec.encode(data[:512], config), b"short", c.UnalignedData), (codec.encode(b"", config), data[:256], c.ZeroBloomBits)):
+        with pytest.raises(error):
+            codec.append_record(raw, more)
+
+
+def test_blooms_of_batches_against_one_pair_at_a_time(spark):
+    rng = random.Random(6)
+    files = [(k, bytes(rng.choices(range(256), k=n))) for k, n in enumerate((0, 1, 2, 255, 257, 1000, 70_000))]
+    blocks = segment(spark.createDataFrame(files, "file_id int, data binary").repartition(3), 256)
+    got = {(r.file_id, r.block_id): r for r in summary.summarize(blocks, EXACT).collect()}
+    lined = {(r.file_id, r.block_id): r.words for r in summary.blocked_words(blocks, 1024).collect()}
+    united: dict = {}
+    for k, data in files:
+        for i in range(-(-len(data) // 256)):
+            own, ext = data[256 * i : 256 * i + 256], data[max(0, 256 * i - 1) : 256 * i + 256]
+            pairs = sorted({a << 8 | b for a, b in zip(ext[:-1], ext[1:])})
+            bits = {p for q in pairs for p in positions(q, 4096)}
+            united.setdefault(k, set()).update(p for q in pairs for p in positions(q, 1024))
+            r = got[k, i]
+            assert (r.bytes_present, r.pairs, {64 * w + b for w, x in enumerate(r.words) for b in range(64) if x >> b & 1}) == (sorted(set(own)), pairs, bits)
+            spots = {512 * line + p for line, at in (line_positions(q, 2) for q in pairs) for p in at}
+            assert {64 * w + b for w, x in enumerate(lined[k, i]) for b in range(64) if x >> b & 1} == spots
+    assert len(got) == sum(-(-len(d) // 256) for _, d in files)
+    found = {r.file_id: {64 * w + b for w, x in enumerate(r.words) for b in range(64) if x >> b & 1} for r in file_index(blocks, 1024).collect()}
+    assert found == united
+    with pytest.raises(c.EmptyBlockIndex):
+        file_index(blocks.limit(0), 1024)
+
+
+def test_a_stored_index_is_opened_and_checked(spark, tmp_path):
+    files = spark.createDataFrame([(1, b"secret" * 100), (2, b"x")], "file_id int, data binary")
+    built = maintain.build(files, SMALL)
+    built.save(str(tmp_path / "i"))
+    assert _state(maintain.BlockIndex.load(spark, str(tmp_path / "i"), SMALL)) == _state(built)
+    for config, blocks in ((EXACT, built.blocks), (SMALL, built.blocks.drop("pairs"))):
+        with pytest.raises(c.IncompatibleIndexConfiguration):
+            maintain.BlockIndex.assemble(config, blocks, built.files)
+    with pytest.raises(c.ZeroBloomBits):
+        maintain.BlockIndex.assemble(SMALL, built.blocks.withColumn("words", F.array().cast("array<long>")), built.files)
+
+
 def _state(index):
-    return sorted(map(str, index.blocks.select("file_id", "block_id", "offset", "length", "bytes_present", "pairs", "bits").collect())), sorted(map(str, index.files.select("file_id", "total_len", "n_blocks", "first_byte", "last_byte").collect()))
+    return sorted(map(str, index.blocks.select("file_id", "block_id", "offset", "length", "bytes_present", "pairs", "words").collect())), sorted(map(str, index.files.select("file_id", "total_len", "n_blocks", "first_byte", "last_byte").collect()))
 
 
 @pytest.mark.parametrize("config", [SMALL, EXACT])
@@ -101,9 +155,11 @@ def test_append_and_merge_equal_rebuild(spark, config):
         whole[k] = whole.get(k, b"") + d
     want = _state(maintain.build(df(list(whole.items())), config))
     a, b = maintain.build(df(first), config), maintain.build(df(rest), config)
-    assert _state(maintain.append(a, df(rest))) == want and _state(maintain.merge(a, b)) == want
+    assert _state(maintain.append(a, df(rest))) == want and _state(maintain.merge(a, b, strict=False)) == want
     with pytest.raises(c.TrailingPartialBlock):
         maintain.append(a, df([(4, b"more")]))
+    with pytest.raises(c.TrailingPartialBlock):
+        maintain.merge(a, b)
     with pytest.raises(c.IncompatibleIndexConfiguration):
         maintain.merge(a, maintain.build(df(rest), c.IndexConfig(512, 512)))
     for ids, error in (([0], c.NonSuffixBlockRemoval), ([7], c.InvalidBlockId)):
@@ -125,6 +181,15 @@ def test_watch(spark, tmp_path):
     (tmp_path / "in" / "sub" / "b").unlink()
     after = watch.listing(spark, str(tmp_path / "in"))
     assert sorted((r.path.rpartition("/")[2], r.change) for r in watch.changes(before, after).collect()) == [("a", "edited"), ("b", "removed"), ("c", "added")]
+    changed = watch.changes(before, after)
+    come = watch.read_files(spark, changed.where("change <> 'removed'"))
+    old = spark.createDataFrame([(r.path, b"a" * 5000 if r.path.endswith("a") else b"b") for r in before.collect()], "file_id string, data binary")
+    index = watch.apply_changes(maintain.build(old, EXACT), changed, come)
+    assert sorted((r.file_id.rpartition("/")[2], r.total_len) for r in index.files.collect()) == [("a", 6), ("c", 1)]
+    assert sorted(r.file_id.rpartition("/")[2] for r in index.blocks.collect()) == ["a", "c"]
+    with pytest.raises(c.DataTooLarge):
+        watch.read_files(spark, changed.where("change <> 'removed'"), most=6)
+    assert watch.read_files(spark, changed.limit(0)).count() == 0
     q = watch.index_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
