@@ -580,8 +580,8 @@ OP8_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh AS x JOIN sh AS y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
-links AS (SELECT a, b FROM both JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh AS x JOIN sh AS y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM met JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
 reach AS (SELECT doc_id AS d, doc_id AS r FROM t UNION SELECT reach.d, links.b FROM reach JOIN links ON links.a = reach.r)
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, min(r) AS component_id FROM t LEFT JOIN n USING (doc_id) JOIN reach ON d = t.doc_id GROUP BY t.doc_id, n.n
 """
