@@ -19,7 +19,7 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 o
 WORD = re.compile(rb"[^ ]+")
 WINDOW = 13
 #: Bytes of benchmark text that one broadcast may hold; a larger benchmark is scanned in so many blocks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 PIECE = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,41 +37,58 @@ def word_ids(text: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a bounded block of items: by length, their sorted hashes, and the items of each exact window."""
+    """The windows of a bounded block of items: by length, their sorted distinct hashes, where one with each hash is, and its items."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, dict[bytes, set[str]]] = {}
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        parts, by_length, at = [np.empty(0, np.int32)], {}, 0
         for name, text in items:
             words = text.translate(FOLD).split()
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int32)
-            if n := min(window, len(ids)):
-                exact = by_length.setdefault(n, {})
-                for i in range(len(ids) - n + 1):
-                    exact.setdefault(ids[i : i + n].tobytes(), set()).add(name)
-        self.by_length = {}
-        for n, exact in by_length.items():
-            keys = np.frombuffer(b"".join(exact), np.int32).reshape(-1, n)
-            self.by_length[n] = np.unique(_hashes(keys.ravel(), np.arange(len(keys)) * n, n)), exact
+            parts.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int32))
+            if n := min(window, len(words)):
+                by_length.setdefault(n, []).append((at, len(words) - n + 1, number[name]))
+            at += len(words)
+        self.ids = np.concatenate(parts)
+        self.by_length = {n: self._indexed(own, n) for n, own in by_length.items()}
+
+    def _indexed(self, own: list[tuple[int, int, int]], n: int) -> tuple:
+        starts = np.concatenate([np.arange(at, at + k) for at, k, _ in own])
+        owner = np.repeat(np.array([x for _, _, x in own], np.int32), [k for _, k, _ in own])
+        for seed in range(1 << 30):  # the first one does, but for a chance of two windows with the same hash
+            hashes = _hashes(self.ids, starts, n, seed)
+            order = np.lexsort((owner, hashes))
+            hashes, at, of = hashes[order], starts[order], owner[order]
+            head = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+            place = np.cumsum(head) - 1
+            one = at[head]
+            if all((self.ids[at + j] == self.ids[one[place] + j]).all() for j in range(n)):
+                break
+        keep = head | np.concatenate(([True], of[1:] != of[:-1]))
+        return seed, hashes[head], one, np.concatenate((np.flatnonzero(head[keep]), [np.count_nonzero(keep)])), of[keep]
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
         """Start, length and items of each window that occurs; ids may hold many documents, -1 between them."""
         known = np.concatenate(([0], np.cumsum(ids >= 0)))
-        for n, (hashes, exact) in self.by_length.items():
+        for n, (seed, hashes, one, bounds, owners) in self.by_length.items():
             if len(ids) < n:
                 continue
             at = np.flatnonzero(known[n:] - known[:-n] == n)
             if not len(at):
                 continue
-            found = _hashes(ids, at, n)
+            found = _hashes(ids, at, n, seed)
             place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-            for i in at[hashes[place] == found]:
-                if (names := exact.get(ids[i : i + n].tobytes())) is not None:
-                    yield int(i), n, names
+            met = np.flatnonzero(hashes[place] == found)
+            for j in range(n):
+                met = met[self.ids[one[place[met]] + j] == ids[at[met] + j]]
+            for k in met:
+                own = owners[bounds[place[k]] : bounds[place[k] + 1]]
+                yield int(at[k]), n, {self.names[x] for x in own}
 
 
-def _hashes(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(len(at), np.uint64)
+def _hashes(ids: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    out = np.full(len(at), seed, np.uint64)
     for j in range(n):
         out = (out ^ (ids[at + j].astype(np.uint64) + np.uint64(1))) * _MULTIPLIER
         out ^= out >> np.uint64(29)
