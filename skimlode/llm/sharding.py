@@ -226,8 +226,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BYTES, id_
     ends = common.stored(rows.groupBy("first", "sha").agg(F.max("end").alias("end"), F.max("row").alias("last_row")).select("end", "last_row"), "ends")
 
     def fetch(stretches: list[tuple[int, int]], buckets: int) -> list[tuple[int, int, int, int, int]]:
-        table = spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in enumerate(stretches)], "k long, lo long, hi long")
-        inside = ends.join(F.broadcast(table), (F.col("end") > F.col("lo")) & (F.col("end") <= F.col("hi"))) if len(stretches) <= 2000 else _placed(ends, stretches)
+        inside = _placed(ends, stretches)
         bucket = F.least(F.lit(buckets - 1), F.floor((F.col("end") - F.col("lo") - 1) / F.greatest(F.lit(1.0), (F.col("hi") - F.col("lo")) / F.lit(float(buckets)))))
         return [tuple(r) for r in inside.groupBy("k", bucket.alias("bucket")).agg(F.min("end"), F.max("end"), F.count("*")).collect()]
 
@@ -252,7 +251,7 @@ def _placed(ends: DataFrame, stretches: list[tuple[int, int]]) -> DataFrame:
             ok = (k >= 0) & (x <= highs[k])
             yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(k[ok]), pa.array(lows[k[ok]]), pa.array(highs[k[ok]])], ["end", "k", "lo", "hi"])
 
-    return ends.select("end").mapInArrow(place, "end long, k long, lo long, hi long")
+    return ends.select("end").mapInArrow(common.releasing(place), "end long, k long, lo long, hi long")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
