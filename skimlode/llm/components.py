@@ -18,8 +18,10 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     """node, root: of each node that has a link, the least node reachable. links: columns a, b of any orderable type.
 
     Large-star: each node's larger neighbours get its least neighbour; small-star: its smaller ones do. Both keep
-    connectivity and shorten paths; when nothing changes every node hangs on its root. Nodes' edges are never gathered
-    in a task: only minima are, and a join spreads them. Each round is written to the shared folder.
+    connectivity and shorten paths; when nothing changes every node hangs on its root. Minima are combined before the
+    shuffle. The join that gives them to a node's edges streams these, so a hub needs no memory, but time: its edges are
+    one partition's, unless adaptive execution splits it. Loops and repeated links change nothing; no links, no rows.
+    Each round is written to the shared folder.
     """
     edges = common.stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     before = None

@@ -1,7 +1,9 @@
 """The pipeline against a brute-force version of each stage, and with odd rows."""
 
+import hashlib
 import re
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -74,6 +76,7 @@ def test_run_against_brute_force(spark):
     assert set(got) == set(want)
     for d, ids in want.items():
         assert bytes(got[d].ids) == b"".join(i.to_bytes(4, "little") for i in ids) and got[d].n_tokens == len(ids)
+        assert got[d].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_stages_take_odd_rows(spark):
@@ -96,3 +99,28 @@ def test_rows_stay_when_no_language_is_learned(spark):
     out = corpus_pipeline.language(spark, docs, SF)
     assert out.columns == docs.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "5", "None"]
+
+
+def test_texts_in_no_learned_language_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    more = [(9001, "日本語の文章です" * 20, "ja"), (9002, "日本", None), (9003, "the and of to in " * 9, None), (9004, "the and of to in " * 9, "en")]
+    rows = docs.unionByName(spark.createDataFrame(more, docs.schema)).selectExpr("*", "7.5 AS score", "'mine' AS LANG_PRED", "doc_id AS _keep")
+    labelled = rows.withColumn("lang", F.expr("CASE WHEN lang <> 'ja' THEN lang END"))
+    out = corpus_pipeline.language(spark, labelled, SF)
+    assert out.columns == labelled.columns
+    kept = {r.doc_id: r for r in out.collect()}
+    assert {k for k in kept if k > 9000} == {9002, 9003, 9004}
+    assert all((float(r.score), r.LANG_PRED, r["_keep"]) == (7.5, "mine", k) for k, r in kept.items())
+    assert set(kept) - {x[0] for x in more} == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    text = "The quick brown fox jumps over the lazy dog again and again today. "
+    names = ["_row_of_dedup", "_row_of_join", "_leak", "_text", "ids", "cls", "first", "_keep"]
+    rows = [(i, text * i, "en", *[f"{n} {i}" for n in names]) for i in (1, 30)] + [(1, text, "en", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for start in (docs, docs.where("ids <> 'ids'")):
+            out = stage(spark, start, SF)
+            assert out.columns == docs.columns, name
+            assert all(tuple(r) in rows for r in out.collect()), name
