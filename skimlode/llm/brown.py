@@ -14,6 +14,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +23,9 @@ from . import common
 
 #: A-Z lower-cased, the blanks that part words made spaces.
 FOLD = bytes(32 if c in b" \t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: A word is clustered if it is one token in so many or more often, whatever the size of the corpus. So there are no more
-#: such words than that, and all together they have no more bytes than as many tokens of mean length: broadcasts are
-#: bounded. All other words share one class, and their counts are joined.
+#: A word is in the lexicon, which is broadcast, if it is one token in so many or more often, whatever the size of the
+#: corpus. So there are no more such words than that, and all together they have no more bytes than as many tokens of mean
+#: length. All other words choose their classes in tasks, and these and their counts are joined.
 LEAST_SHARE = 1 << 20
 #: The most frequent words are clustered first, by exchange one after the other; then all words choose again, so many times.
 FIRST, CLASSES, SWEEPS, ROUNDS = 2048, 96, 4, 2
@@ -33,6 +34,8 @@ DENSE, BLOCK_CELLS, HELD = 1 << 23, 1 << 21, 3_000_000
 #: Weight of the class's overall share in transitions.
 PRIOR = 50.0
 PIECE = 1 << 20
+#: Neighbours of rarer words that are looked at together.
+NEAR_HELD = 1 << 15
 FAN_IN = 16
 BLOCKS = 16
 END = b""
@@ -66,17 +69,41 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _ids(texts: list[bytes], lexicon: dict[bytes, int], end: int, rest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of all texts, an end before the first and after each, and where each text's own ids start."""
-    parts, lengths, ending = [np.array([end], np.int32)], [], np.array([end], np.int32)
-    for t in texts:
-        n = 1
-        for part in words(t):
-            parts.append(np.fromiter(map(lexicon.get, part, repeat(rest)), np.int32, len(part)))
-            n += len(part)
-        parts.append(ending)
-        lengths.append(n)
-    return np.concatenate(parts), np.concatenate(([1], 1 + np.cumsum(lengths)))
+def _coder(shared):
+    """All columns but the text, its last; then its word numbers, those of its words out of the lexicon after the lexicon's; and these words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
+        other, end = len(lexicon), np.zeros(1, "<i4").tobytes()
+        for b in batches:
+            column = b.column(b.num_columns - 1)
+            for lo, hi in common.pieces(column, 4 * PIECE):
+                coded, rest = [], []
+                for t in column[lo:hi].to_pylist():
+                    own: dict[bytes, int] = {}
+                    raw = []
+                    for part in words(t):
+                        ids = np.fromiter(map(lexicon.get, part, repeat(-1)), "<i4", len(part))
+                        out = np.flatnonzero(ids < 0)
+                        ids[out] = [other + own.setdefault(part[i], len(own)) for i in out.tolist()]
+                        raw.append(ids.tobytes())
+                    coded.append(b"".join((*raw, end)))
+                    rest.append(list(own))
+                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[:-1]), pa.array(coded, pa.binary()), pa.array(rest, pa.list_(pa.binary()))], [*b.schema.names[:-1], "ids", "rest"])
+
+    return common.releasing(run)
+
+
+def _coded(docs: DataFrame, lexicon: dict[bytes, int]) -> DataFrame:
+    """docs, their last column a text, as word numbers: they are read once, all that follows goes by numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    kind = T.StructType([*docs.schema.fields[:-1]]).add("ids", "binary").add("rest", T.ArrayType(T.BinaryType()))
+    return common.stored(docs.mapInArrow(_coder(shared), kind).withColumn("row", F.monotonically_increasing_id()), "coded")
+
+
+def _ids(texts: list[bytes], most: int) -> np.ndarray:
+    """Word numbers of all texts, an end before the first; most stands for all words out of the lexicon."""
+    return np.minimum(np.frombuffer(b"".join((bytes(4), *texts)), "<i4"), most)
 
 
 class _Tally:
@@ -190,25 +217,28 @@ def _count_pairs(train: DataFrame, model, rows: int, columns: int, pairs) -> np.
     return table.reshape(rows, columns)
 
 
-def _word_pairs(lexicon, texts, columns):
-    ids, _ = _ids(texts, lexicon, 0, columns - 1)
+def _word_pairs(model, texts, columns):
+    ids = _ids(texts, columns - 1)
     yield ids[:-1].astype(np.int64) * columns + ids[1:]
 
 
-def _neighbours(model, texts, columns):
+def _neighbours(classes, texts, columns):
     """(word, class of the next) and (word, class of the one before) of all words; the classes are those so far."""
-    lexicon, classes = model
-    ids, _ = _ids(texts, lexicon, 0, len(classes) - 1)
+    ids = _ids(texts, len(classes) - 1)
     known = classes[ids]
     half = columns // 2
     for own, near, shift in ((ids[:-1], known[1:], 0), (ids[1:], known[:-1], half)):
         yield own.astype(np.int64) * columns + near + shift
 
 
-def _class_pairs(model, texts, columns):
-    lexicon, classes = model
-    ids, _ = _ids(texts, lexicon, 0, len(classes) - 1)
-    known = classes[ids].astype(np.int64)
+def _class_pairs(classes, texts, columns):
+    known = classes[_ids(texts, len(classes) - 1)].astype(np.int64)
+    yield known[:-1] * columns + known[1:]
+
+
+def _listed_pairs(kind, texts, columns):
+    """The same of texts that are lists of classes already."""
+    known = np.concatenate(([columns - 2], np.frombuffer(b"".join(texts), kind).astype(np.int64)))
     yield known[:-1] * columns + known[1:]
 
 
@@ -275,6 +305,7 @@ class Model:
     log_next: np.ndarray  # log10 P(class | previous class)
     log_word: np.ndarray  # log10 P(word | its class) of lexicon words
     rest: float  # what is taken off log10(count + 1) of another word, unseen ones too
+    log_size: np.ndarray  # log10 of each class's tokens and words: what is taken off log10(count + 1) of its words
     log_base: np.ndarray  # log10(count + 1) of lexicon words
     tokens: int  # N
     types: int  # V
@@ -320,30 +351,39 @@ def _likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
 
 
+def _lexicon(counts: DataFrame, least_share: int) -> tuple[list[bytes], np.ndarray, int, int]:
+    """The end and all words that are one token in least_share or more often, the most frequent first; their counts; N and V."""
+    total, types = counts.agg(F.sum("n"), F.count("*")).first()
+    total = total or 0
+    top = counts.where((F.col("n") >= -(-total // least_share)) & (F.length("word") > 0)).orderBy(F.desc("n"), "word").collect()
+    n_end = counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
+    return [END, *(bytes(r.word) for r in top)], np.array([n_end, *(r.n for r in top)], np.float64), total, types or 0
+
+
 def fit(train: DataFrame, counts: DataFrame, *, least_share: int = LEAST_SHARE, first: int = FIRST, classes: int = CLASSES, sweeps: int = SWEEPS, rounds: int = ROUNDS) -> Model:
     """The model of `train` (one column of text bytes); counts: its words, with the end as the empty word.
 
     The lexicon holds the words that are one token in least_share or more often. The `first` most frequent of them are
     clustered by exchange, to begin with; then all choose a class by the words around them, in `rounds` rounds: each by
     the same table of the classes so far, so that blocks of words choose side by side. Of the clusterings met the most
-    likely one stays. All words count, in or out of the lexicon. The driver gets the lexicon, its classes, and tables
-    of fixed sizes: `first` squared, and classes squared for each block of words (a hundred blocks at most).
+    likely one stays. All words count, in or out of the lexicon; those out of it share a class here, and score() gives
+    them classes of their own. The driver gets the lexicon, its classes, and tables of fixed sizes: `first` squared, and
+    classes squared for each block of words (a hundred blocks at most).
     """
-    total, types = counts.agg(F.sum("n"), F.count("*")).first()
-    total = total or 0
-    top = counts.where((F.col("n") >= -(-total // least_share)) & (F.length("word") > 0)).orderBy(F.desc("n"), "word").collect()
-    n_end = counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    names = [END, *(bytes(r.word) for r in top)]
-    n = np.array([n_end, *(r.n for r in top)], np.float64)
-    first = min(first, len(names))
-    number = {w: i for i, w in enumerate(names)}
+    found = _lexicon(counts, least_share)
+    return _fitted(_coded(train, {w: i for i, w in enumerate(found[0])}), *found, first, classes, sweeps, rounds)[0]
+
+
+def _fitted(coded: DataFrame, names: list[bytes], n: np.ndarray, total: int, types: int, first: int, classes: int, sweeps: int, rounds: int) -> tuple[Model, np.ndarray]:
+    """fit() of texts as word numbers, and the table of pairs of classes."""
+    train, first = coded.select("ids"), min(first, len(names))
     k, rows = classes + 2, len(names) + 1
-    pairs = _count_pairs(train, {w: i for w, i in number.items() if i < first}, first + 1, first + 1, _word_pairs)
+    pairs = _count_pairs(train, None, first + 1, first + 1, _word_pairs)
     of = np.full(rows, classes + 1, np.int32)
     of[:first] = exchange(pairs, classes, sweeps)[:-1]
     likely, spans = (-np.inf, of, np.zeros((k, k))), _spans(rows, 2 * k)
     for _ in range(rounds):
-        near = common.stored(_added_up(train, (number, of), rows, 2 * k, _neighbours), "neighbours").repartition(len(spans), "block")
+        near = common.stored(_added_up(train, of, rows, 2 * k, _neighbours), "neighbours").repartition(len(spans), "block")
         table = sum((np.frombuffer(bytes(r.pairs)).reshape(k, k) for r in near.mapInArrow(_tables(2 * k, spans, of), "pairs binary").collect()), np.zeros((k, k)))
         likely = max(likely, (_likelihood(table), of, table), key=lambda x: x[0])
         chosen = of.copy()
@@ -352,16 +392,101 @@ def fit(train: DataFrame, counts: DataFrame, *, least_share: int = LEAST_SHARE,
             chosen[spans[r.block].start // (2 * k) :][: len(best)] = best
         chosen[0], chosen[-1] = classes, classes + 1
         of = chosen
-    table = _count_pairs(train, (number, of), k, k, _class_pairs).astype(np.float64)
+    table = _count_pairs(train, of, k, k, _class_pairs).astype(np.float64)
     _, of, table = max(likely, (_likelihood(table), of, table), key=lambda x: x[0])
-    rest_tokens, rest_types = total - n.sum(), (types or 0) - np.count_nonzero(n) + 1
     size = np.bincount(of[:-1], weights=n, minlength=k)
     members = np.bincount(of[:-1], minlength=k).astype(np.float64)
-    size[classes + 1], members[classes + 1] = rest_tokens, rest_types
+    size[classes + 1], members[classes + 1] = total - n.sum(), types - np.count_nonzero(n) + 1
+    log_next, log_size = _estimated(table, size, members)
+    log_base = np.log10(n + 1)
+    return Model({w: i for i, w in enumerate(names)}, of, log_next, log_base - log_size[of[:-1]], float(log_size[-1]), log_size, log_base, total, types), table
+
+
+def _estimated(table: np.ndarray, size: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 P(class | previous class), and of each class's tokens and words.
+
+    Where the last class has unseen words only, it gets its share after every class: nothing tells where they follow.
+    """
     share = (size + members) / (size + members).sum()
-    log_next = np.log10(np.maximum((table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR), 1e-300))  # 0 only for classes without words
-    log_word = np.log10((n + 1) / (size + members)[of[:-1]])
-    return Model(number, of, log_next, log_word, float(np.log10(rest_tokens + rest_types)), np.log10(n + 1), total, types or 0)
+    unseen = 0.0 if size[-1] else share[-1]
+    if unseen:
+        share = np.append(share[:-1] / max(share[:-1].sum(), 1e-300), 0.0)
+    following = (1 - unseen) * (table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR)
+    following[:, -1] += unseen
+    return np.log10(np.maximum(following, 1e-300)), np.log10(np.maximum(size + members, 1))  # 0 only for classes without words
+
+
+def _around(shared):
+    """Of each word out of the lexicon in each text: the classes before and after it, as pairs of 16-bit codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, k = shared.value
+        other = len(classes) - 1
+        for b in batches:
+            for lo, hi in common.pieces(b.column(0), 4 * PIECE):
+                column, rest = b.column(0)[lo:hi], b.column(1)[lo:hi]
+                ids = np.frombuffer(b"".join((bytes(4), *column.to_pylist())), "<i4")
+                of = classes[np.minimum(ids, other)]
+                many = np.asarray(pc.list_value_length(rest), np.int64)
+                at = np.flatnonzero(ids >= other)
+                owner = np.searchsorted(np.cumsum(np.asarray(pc.binary_length(column), np.int64) // 4), at - 1, "right")
+                word = (np.cumsum(many) - many)[owner] + ids[at] - other
+                order = np.argsort(word, kind="stable")
+                at = at[order]
+                near = np.stack((of[at - 1], k + of[at + 1]), axis=1).astype("<u2")
+                ends = np.cumsum(np.bincount(word, minlength=int(many.sum())))
+                offsets = np.concatenate(([0], ends * 4)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rest.flatten(), pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(near.tobytes())])], ["word", "near"])
+
+    return common.releasing(run)
+
+
+def _best(table: np.ndarray, near: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The classes that fit words best, all by the same table. near: their neighbours' codes, in a row; counts: how many are each word's."""
+    k = len(table)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    key, times = np.unique(owner * (2 * k) + near, return_counts=True)
+    owner, code = np.divmod(key, 2 * k)
+    kinds, which = np.unique(code * (1 << 40) + times, return_inverse=True)
+    code, times = np.divmod(kinds, 1 << 40)
+    cells = np.where(code[:, None] < k, table[np.minimum(code, k - 1)], table.T[np.maximum(code, k) - k])
+    gains = _xlogx(cells + times[:, None]) - _xlogx(cells)
+    first, n = np.searchsorted(owner, np.arange(len(counts))), counts[:, None] / 2
+    out = np.empty(len(counts), np.int64)
+    left, right = table.sum(axis=1), table.sum(axis=0)
+    a = 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + NEAR_HELD)))
+        own = np.add.reduceat(gains[which[first[a] : first[b] if b < len(first) else None]], first[a:b] - first[a])
+        for side in (left, right):
+            own -= _xlogx(side + n[a:b]) - _xlogx(side)
+        out[a:b] = own[:, : k - 2].argmax(axis=1)
+        a = b
+    return out
+
+
+def _placing(table: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            parts = lists.flatten()
+            near = np.frombuffer(b"".join(parts.to_pylist()), "<u2").astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(parts), np.int64) // 2)))
+            counts = np.diff(ends[np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts // 2), pa.array(_best(table, near, counts))], ["word", "n", "cls"])
+
+    return common.releasing(run)
+
+
+def _placed(coded: DataFrame, model: Model, table: np.ndarray) -> DataFrame:
+    """word, n and cls of every training word out of the lexicon: the class that fits the words around it best.
+
+    The table is that of the lexicon's classes, with all of these words in the last. None of them is frequent, so that
+    a word's neighbours are few enough for a row.
+    """
+    shared = coded.sparkSession.sparkContext.broadcast((model.classes, len(table)))
+    near = coded.where(F.size("rest") > 0).select("ids", "rest").mapInArrow(_around(shared), "word binary, near binary")
+    return common.stored(near.groupBy("word").agg(F.collect_list("near").alias("near")).mapInArrow(_placing(table), "word binary, n long, cls long"), "rare")
 
 
 def _choose(table, left, right, after, before, own: int) -> np.ndarray:
@@ -381,65 +506,92 @@ def _choose(table, left, right, after, before, own: int) -> np.ndarray:
     return gain - (_xlogx(left + after.sum()) - _xlogx(left)) - (_xlogx(right + before.sum()) - _xlogx(right))
 
 
-def _scorer(shared):
+def _classer(shared):
+    """Each text's tokens, those known, the sum of their log10(count + 1), and their classes; unseen words are in the last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        other = len(m.classes) - 1
-        log_base, log_word = np.append(m.log_base, 0.0), np.append(m.log_word, 0.0)
-        known = np.append(m.log_base > 0, False)
+        classes, log_base, k, kind = shared.value
+        other = len(classes) - 1
         for b in batches:
-            column = b.column(1)
-            for lo, hi in common.pieces(column, 4 * PIECE):
-                texts = column[lo:hi].to_pylist()
-                ids, starts = _ids(texts, m.lexicon, 0, other)
-                classes = m.classes[ids]
-                at = starts[:-1]
-                own = ids[1:]
-                sums = lambda x: np.add.reduceat(x, at - 1) if len(at) else x  # noqa: E731,B023
-                score = sums(m.log_next[classes[:-1], classes[1:]] + log_word[own] - m.rest * (own == other))
-                rest_words, rest_counts = [], []
-                for t, (s, e) in zip(texts, zip(starts[:-1], starts[1:])):
-                    where, seen = np.flatnonzero(ids[s:e] == other), Counter()
-                    if len(where):
-                        base = 0
-                        for part in words(t):
-                            inside = where[np.searchsorted(where, base) : np.searchsorted(where, base + len(part))] - base
-                            seen.update(part[i] for i in inside)
-                            base += len(part)
-                    rest_words.append(list(seen.keys()))
-                    rest_counts.append(list(seen.values()))
+            for lo, hi in common.pieces(b.column(2), 4 * PIECE):
+                column, found = b.column(2)[lo:hi], b.column(3)[lo:hi]
+                ids = np.frombuffer(b"".join(column.to_pylist()), "<i4")
+                lengths = np.asarray(pc.binary_length(column), np.int64) // 4
+                at = np.cumsum(lengths) - lengths
+                many = np.maximum(np.maximum.reduceat(ids, at) - other + 1, 0).astype(np.int64)
+                before = np.cumsum(many) - many
+                rare_n, rare_of = np.zeros(many.sum(), np.int64), np.full(many.sum(), k - 1)
+                x = found.flatten()
+                where = np.repeat(before, np.asarray(pc.list_value_length(found).fill_null(0), np.int64)) + np.asarray(x.field("j"))
+                rare_n[where], rare_of[where] = np.asarray(x.field("n")), np.asarray(x.field("cls"))
+                inside = np.minimum(ids, other)
+                of, log_n = classes[inside].astype(np.int64), np.append(log_base, 0.0)[inside]
+                rare = np.flatnonzero(ids >= other)
+                word = np.repeat(before, lengths)[rare] + ids[rare] - other
+                of[rare], log_n[rare] = rare_of[word], np.log10(rare_n + 1.0)[word]
+                raw, width = of.astype(kind).tobytes(), np.dtype(kind).itemsize
+                own = [raw[s:e] for s, e in zip((at * width).tolist(), ((at + lengths) * width).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo:hi], pa.array(np.diff(starts)), pa.array(sums(known[own].astype(np.int64))), pa.array(sums(log_base[own])), pa.array(score), pa.array(rest_words, pa.list_(pa.binary())), pa.array(rest_counts, pa.list_(pa.int64()))],
-                    ["doc_id", "n_tokens", "known", "base", "score", "words", "counts"],
+                    [b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(lengths), pa.array(np.add.reduceat((log_n > 0).astype(np.int64), at)), pa.array(np.add.reduceat(log_n, at)), pa.array(own, pa.binary())],
+                    ["doc_id", "train", "n_tokens", "n_known", "base", "classes"],
                 )
 
-    return run
+    return common.releasing(run)
 
 
-def score(docs: DataFrame, is_training, *, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
+def _scorer(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_next, log_size, kind = shared.value
+        for b in batches:
+            for lo, hi in common.pieces(b.column(4), 2 * PIECE):
+                lengths = np.asarray(b.column(1)[lo:hi], np.int64)
+                of = np.concatenate(([len(log_size) - 2], np.frombuffer(b"".join(b.column(4)[lo:hi].to_pylist()), kind).astype(np.int64)))
+                sums = np.add.reduceat(log_next[of[:-1], of[1:]] - log_size[of[1:]], np.cumsum(lengths) - lengths)
+                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[:4]), pa.array(sums + np.asarray(b.column(3)[lo:hi]))], ["doc_id", "n_tokens", "n_known", "base", "score"])
+
+    return common.releasing(run)
+
+
+def score(docs: DataFrame, is_training, *, id_col: str = "doc_id", text_col: str = "text", least_share: int | None = None, first: int = FIRST, classes: int = CLASSES, sweeps: int = SWEEPS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
 
     is_training: a condition on docs that tells which rows the model learns from; a null counts as false. Words are
     runs of other than blanks, A-Z lower-cased; each text ends with a token of its own, so null and empty texts have
     one token. Repeated rows each count and are each scored. Without training rows all words are unseen.
+
+    Every training word has one of the classes: after fit(), the words out of its lexicon choose by the words around
+    them too, in tasks, and the table of classes is counted anew. Only where least_share is given, words rarer than
+    one token in so many share one class, as in fit().
     """
-    text = common.texts(docs, text_col).alias("text")
-    train = docs.where(F.coalesce(is_training, F.lit(False))).select(text)
-    counts = common.stored(train.mapInArrow(common.releasing(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    model = fit(train, counts, **sizes)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    raw = docs.select(F.col(id_col).alias("doc_id"), text)
-    kind = T.StructType([raw.schema["doc_id"]]).add("n_tokens", "long").add("known", "long").add("base", "double").add("score", "double").add("words", T.ArrayType(T.BinaryType())).add("counts", T.ArrayType(T.LongType()))
-    own = common.stored(raw.mapInArrow(common.releasing(_scorer(shared)), kind).withColumn("row", F.monotonically_increasing_id()), "scored")
-    # words out of the lexicon, rarer than any in it, find their counts by a join
-    rest = own.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
-    found = rest.join(counts, "word").groupBy("row").agg(F.sum("times").alias("rest_known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("rest_log"))
-    unit = float(np.log10(max(1, model.tokens + model.types + 1)))
-    extra = F.coalesce("rest_log", F.lit(0.0))
-    return own.join(found, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + extra - F.col("n_tokens") * F.lit(unit)).alias("base_score"), (F.col("score") + extra).alias("score"),
-    )
+    raw = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(is_training, F.lit(False)).alias("train"), common.texts(docs, text_col).alias("text"))
+    counts = common.stored(raw.where("train").select("text").mapInArrow(common.releasing(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    names, n, total, types = _lexicon(counts, least_share or LEAST_SHARE)
+    coded = _coded(raw, {w: i for i, w in enumerate(names)})
+    train = coded.where("train")
+    model, table = _fitted(train, names, n, total, types, first, classes, sweeps, rounds)
+    k = classes + 2
+    if least_share is None:
+        rare = _placed(train, model, table)
+    else:
+        rare = counts.where((F.col("n") < -(-total // least_share)) & (F.length("word") > 0)).withColumn("cls", F.lit(k - 1).cast("long"))
+    kind = f"<u{np.min_scalar_type(k).itemsize}"
+    context = docs.sparkSession.sparkContext
+    found = coded.select("row", F.posexplode("rest").alias("j", "word")).join(rare, "word").groupBy("row").agg(F.collect_list(F.struct("j", "n", "cls")).alias("found"))
+    columns = T.StructType([raw.schema["doc_id"]]).add("train", "boolean").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("classes", "binary")
+    classed = coded.drop("rest").join(found, "row", "left").select("doc_id", "train", "ids", "found")
+    classed = common.stored(classed.mapInArrow(_classer(context.broadcast((model.classes, model.log_base, k, kind))), columns), "classed")
+    log_next, log_size = model.log_next, model.log_size
+    if least_share is None:
+        size, members = np.bincount(model.classes[:-1], weights=n, minlength=k), np.bincount(model.classes[:-1], minlength=k).astype(np.float64)
+        for r in rare.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+            size[r.cls] += r.n
+            members[r.cls] += r.words
+        members[k - 1] += 1
+        pairs = _count_pairs(classed.where("train").select("classes"), kind, k, k, _listed_pairs).astype(np.float64)
+        log_next, log_size = _estimated(pairs, size, members)
+    scored = classed.select("doc_id", "n_tokens", "n_known", "base", "classes").mapInArrow(_scorer(context.broadcast((log_next, log_size, kind))), T.StructType([raw.schema["doc_id"]]).add("n_tokens", "long").add("n_known", "long").add("base", "double").add("score", "double"))
+    unit = float(np.log10(max(1, total + types + 1)))
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), "score")
 
 
 def op1_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,57 @@ def test_no_rows(spark):
 def test_packed_counts(at, n):
     a, b = brown._unpack(brown._pack(np.array(at, np.int64), np.array(n, np.int64)))
     assert a.tolist() == list(at) and b.tolist() == list(n)
+
+
+def test_words_out_of_the_lexicon_have_classes(spark, monkeypatch):
+    """Three kinds of words that follow each other: those too rare for the lexicon are told apart all the same."""
+    monkeypatch.setattr(brown, "LEAST_SHARE", 100)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'xyz'[(i + s) % 3]}{rng.integers(3) if rng.random() < 0.6 else rng.integers(3, 200)}" for i in range(60)) for s in range(90)]
+    texts += ["x0 y0 z150 never", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sizes = {"first": 10, "classes": 3}
+    ours = {r.doc_id: r for r in brown.score(docs, F.col("doc_id") < 90, **sizes).collect()}
+    shared = {r.doc_id: r for r in brown.score(docs, F.col("doc_id") < 90, least_share=100, **sizes).collect()}
+    counts = Counter(t for text in texts[:90] for t in _tokens(text))
+    assert sum(c * 100 < sum(counts.values()) for c in counts.values()) > 400  # not in the lexicon
+    for d, text in enumerate(texts):
+        assert (ours[d].n_tokens, ours[d].n_known) == (len(_tokens(text)), sum(t in counts for t in _tokens(text)))
+        assert ours[d].base_score == pytest.approx(shared[d].base_score)
+    # what is left to guess is which word of its kind comes: a third of all
+    size = {c: sum(n + 1 for t, n in counts.items() if t[:1] == c) for c in "xyz"}
+    ideal = sum(math.log10((counts[w] + 1) / size[w[0]]) for t in texts[:90] for w in t.split())
+    base, one, all_words = (sum(f(d) for d in range(90)) for f in (lambda d: ours[d].base_score, lambda d: shared[d].score, lambda d: ours[d].score))
+    assert base < one < all_words and ideal - all_words < 0.2 * (ideal - one)
+
+
+@pytest.mark.parametrize("rest", [0, 7])
+def test_transitions_sum_to_one(rest):
+    table = np.random.default_rng(5).integers(0, 9, (5, 5)).astype(float)
+    size = np.array([30, 40, 20, 10, rest], float)
+    table[:, -1] *= rest > 0
+    log_next, log_size = brown._estimated(table, size, np.array([3, 4, 2, 1, 1.0]))
+    assert (10**log_next).sum(axis=1) == pytest.approx(np.ones(5)) and 10**log_size == pytest.approx([33, 44, 22, 11, rest + 1])
+
+
+def test_best_class_of_rare_words():
+    """Against the likelihood itself, word by word."""
+    rng = np.random.default_rng(4)
+    table = rng.integers(0, 50, (6, 6)).astype(float)
+    counts = 2 * rng.integers(1, 9, 40)
+    near = np.concatenate([np.stack((rng.integers(0, 6, c // 2), 6 + rng.integers(0, 6, c // 2)), axis=1).ravel() for c in counts])
+    got, at = brown._best(table, near, counts), 0
+
+    def with_word(codes, c):
+        out = table.copy()
+        for a in codes:
+            out[(a, c) if a < 6 else (c, a - 6)] += 1
+        return brown._xlogx(out).sum()
+
+    left, right = table.sum(axis=1), table.sum(axis=0)
+    for c, g in zip(counts, got):
+        own = near[at : at + c]
+        at += c
+        # cells gain one by one where a word's own class is its neighbour's too, which is not looked at
+        gain = [sum(brown._xlogx(np.float64((table[a, x] if a < 6 else table[x, a - 6]) + m)) - brown._xlogx(np.float64(table[a, x] if a < 6 else table[x, a - 6])) for a, m in Counter(own.tolist()).items()) - sum(brown._xlogx(s[x] + c / 2) - brown._xlogx(s[x]) for s in (left, right)) for x in range(4)]
+        assert g == np.argmax(gain)
