@@ -20,7 +20,10 @@ ENDS_OTHER, BEGINS_STOP, BEGINS_SPACE, LINE_END, BAD = 1, 2, 4, 8, 16
 
 def cut(text: str) -> list[str]:
     """Pieces of the text without the single spaces between them; each but the first is preceded by a space."""
-    return _SAFE_CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+    own = text.split(" ")
+    if own == text.split():  # no white space but single spaces between words
+        return own
+    return _SAFE_CUT.split(text) if _UNSAFE.search(text) else own
 
 
 def cut_spaced(text: str) -> list[str]:
@@ -48,7 +51,7 @@ class PieceTable:
     """
 
     def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]] | tuple], remembered: int = REMEMBERED):
-        self.encode, self.remembered = encode, remembered
+        self.encode, self.remembered, self.spaced = encode, remembered, False
         self.clear()
 
     def clear(self) -> None:
@@ -73,7 +76,8 @@ class PieceTable:
         self._room(len(new), len(flat))
         at = len(self.index)
         self.starts[at : at + len(new)], self.counts[at : at + len(new)] = starts + self.used, counts
-        self.kinds[at : at + len(new)] = np.fromiter(map(kind, new), np.uint8, len(new))
+        if self.spaced:
+            self.kinds[at : at + len(new)] = np.fromiter(map(kind, new), np.uint8, len(new))
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.index.update(zip(new, range(at, at + len(new))))
@@ -88,8 +92,9 @@ class PieceTable:
 
     def documents(self, texts: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has; spaced: the space before a piece belongs to it."""
-        if len(self.index) > self.remembered:
+        if len(self.index) > self.remembered or spaced != self.spaced:
             self.clear()
+        self.spaced = spaced
         pieces, per_text = [], np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
             own = cut_spaced(text) if spaced else cut(text)

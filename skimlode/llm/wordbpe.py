@@ -7,6 +7,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,10 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N
 END = "</w>"
 BATCH_BYTES = 2 << 20
 NEVER = np.int64(1) << 40
+#: Words of more letters are merged with a heap.
+SHORT = 32
+#: Signs that a word may end with, each a word of its own.
+STOPS = frozenset(".,;:!?")
 #: Distinct pieces that a worker remembers.
 REMEMBERED = 500_000
 
@@ -51,6 +56,8 @@ class WordBpe:
         self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         codes = np.array([a << 32 | b for a, b in self.merges], np.int64)
         order = np.argsort(codes)
+        self.rank_of = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.made = [self.vocab[a + b] for a, b in merges]
         self.codes, self.ranks = codes[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self._derive()
 
@@ -66,6 +73,9 @@ class WordBpe:
                 if steps:
                     self.rank[i], self.left[i], self.right[i] = steps[-1]
         self.longest = max(len(t.removesuffix(END)) for t in self.proposed)
+        self.reach: dict[str, int] = {}  # by four letters: the longest proposed token that begins with them
+        for text in self.proposed:
+            self.reach[text[:4]] = max(self.reach.get(text[:4], 0), len(text))
 
     def _letters(self, text: str) -> list[int]:
         body = text.removesuffix(END) if text.endswith(END) and text != END else text
@@ -95,15 +105,29 @@ class WordBpe:
                     heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
         return [x for x in ids if x >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The same for few letters, by the ranks of all pairs."""
+        get, never = self.rank_of.get, int(NEVER)
+        ranks = [get(pair, never) for pair in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != never:
+            i = ranks.index(best)
+            ids[i : i + 2] = (self.made[best],)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), never)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), never)
+        return ids
+
     def _greedy(self, word: str) -> list[int]:
         """Longest token that fits, again and again; none where a letter has no token."""
-        out, at, n, get = [], 0, len(word), self.proposed.get
+        out, at, n, get, reach = [], 0, len(word), self.proposed.get, self.reach.get
         ending = word + END
         while at < n:
             if n - at <= self.longest and (i := get(ending[at:])) is not None:
                 out.append(i)
                 break
-            for to in range(min(n - 1, at + self.longest), at, -1):
+            for to in range(min(n - 1, at + reach(word[at : at + 4], 3)), at, -1):
                 if (i := get(word[at:to])) is not None:
                     out.append(i)
                     at = to
@@ -141,7 +165,7 @@ class WordBpe:
         """Ids of words (letters that stand for bytes): proposed, checked pair by pair, and only where that fails merged."""
         out = [self._greedy(w) for w in words]
         counts = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((i for ids in out for i in ids), np.int64, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(out), np.int64, int(counts.sum()))
         owner = np.repeat(np.arange(len(out)), counts)
         near = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.empty(0, np.int64)
         pairs, inverse = np.unique(flat[near] << 32 | flat[near + 1], return_inverse=True)
@@ -153,30 +177,42 @@ class WordBpe:
             ids = [i for c in words[k][:-1] if (i := self.vocab.get(c)) is not None]
             if words[k] and (last := self.vocab.get(words[k][-1] + END)) is not None:
                 ids.append(last)
-            out[k] = self._merge(ids)
+            out[k] = self._merge_short(ids) if len(ids) <= SHORT else self._merge(ids)
         return out
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of pieces of text that have no cut inside a word at either end."""
-        plan: list[list[str | int]] = []
-        number: dict[str, int] = {}
-        for piece in pieces:
-            own: list[str | int] = []
-            at = 0
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces of text that have no cut inside a word at either end: all in a row, where each piece's begin, and their numbers."""
+        number: dict[str | int, int] = {}  # a special token is its id
+        plan: list[int] = []
+        parts = np.empty(len(pieces), np.int64)
+        for k, piece in enumerate(pieces):
+            at, before = 0, len(plan)
             for m in self.special_pattern.finditer(piece) if "<|" in piece else ():
-                own += self._split(piece[at : m.start()])
-                own.append(self.special[m.group()])
+                plan += [number.setdefault(w, len(number)) for w in (*self._split(piece[at : m.start()]), self.special[m.group()])]
                 at = m.end()
-            own += self._split(piece[at:])
-            for w in own:
-                if isinstance(w, str):
-                    number.setdefault(w, len(number))
-            plan.append(own)
-        got = self.words(list(number))
-        return [[i for w in own for i in (got[number[w]] if isinstance(w, str) else (w,))] for own in plan]
+            plan += [number.setdefault(w, len(number)) for w in self._split(piece[at:] if at else piece)]
+            parts[k] = len(plan) - before
+        words = [w for w in number if isinstance(w, str)]
+        got = self.words(words)
+        if len(words) < len(number):
+            found = iter(got)
+            got = [next(found) if isinstance(w, str) else [w] for w in number]
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(counts.sum()))
+        which = np.array(plan, np.int64)
+        many = counts[which]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        where = np.repeat((np.cumsum(counts) - counts)[which] - ends[:-1], many) + np.arange(ends[-1])
+        bounds = ends[np.concatenate(([0], np.cumsum(parts)))]
+        return flat[where], bounds[:-1], np.diff(bounds)
 
     def _split(self, text: str) -> list[str]:
-        if not text.isascii():
+        if text.isascii():
+            if text.isalpha():
+                return [text.lower()]
+            if text[-1:] in STOPS and text[:-1].isalpha():
+                return [text[:-1].lower(), text[-1]]
+        else:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower-cased letter by letter, without regard to a word's end
                 text = text.replace("Σ", "σ")
@@ -190,6 +226,14 @@ _loaded: dict[str, tuple[WordBpe, PieceTable, list[bytes]]] = {}
 _BLANKS = str.maketrans("\t\n\r\v\f", "     ")
 
 
+def spaced(text: str) -> str:
+    """What translate(_BLANKS) gives, faster where there are few of them."""
+    for blank in "\t\n\r\v\f":
+        if blank in text:
+            text = text.replace(blank, " ")
+    return text
+
+
 def _model(file: str) -> tuple[WordBpe, PieceTable, list[bytes]]:
     """Loaded once in each worker."""
     if file not in _loaded:
@@ -205,7 +249,7 @@ def _encoder(file: str):
         for b in batches:
             column = b.column(b.num_columns - 1)
             for lo, hi in common.pieces(column, BATCH_BYTES):
-                flat, counts = table.documents([(t or "").translate(_BLANKS) for t in column[lo:hi].to_pylist()], spaced=False)
+                flat, counts = table.documents([spaced(t or "") for t in column[lo:hi].to_pylist()], spaced=False)
                 ends = np.concatenate(([0], np.cumsum(counts))) * 4
                 raw = flat.astype("<u4").tobytes()
                 ids = [raw[s:e] for s, e in zip(ends[:-1], ends[1:])]

@@ -81,3 +81,21 @@ def test_columns_of_any_name(spark):
     out = wordbpe.encode(docs, FILE)
     assert out.columns == ["doc_id", "text", "_text", "ids"] and [(r.doc_id, r["_text"], len(r.ids) > 0) for r in out.collect()] == [(1, "mine", True), (1, "too", False)]
     assert [r.n_tokens for r in wordbpe.round_trip(docs, FILE).collect()] == [2, 0] and wordbpe.round_trip(docs.limit(0), FILE).count() == 0
+
+
+def test_short_merging_is_merging(model):
+    bpe, _ = model
+    rng = random.Random(7)
+    for _ in range(5000):
+        ids = [bpe.vocab[c] for c in rng.choices(rng.choice(["abcdefghij", "ab", "estinr"]), k=rng.randrange(1, wordbpe.SHORT + 8))]
+        assert bpe._merge_short(ids[:]) == bpe._merge(ids[:])
+
+
+def test_known_ends_need_no_pattern(model):
+    """Words of letters, with a stop after them or not, are split without the pattern; odd and special pieces side by side."""
+    bpe, library = model
+    pieces = ["Word", "word.", "X,", ".", ",,", "a.b", "a1.", "don't", "é.", "ﬁn!", "<|endoftext|>Word.", "a<|startoftext|>,", "", "Word", "q" * 70]
+    flat, starts, counts = bpe.encode(pieces)
+    for p, s, n in zip(pieces, starts, counts):
+        assert flat[s : s + n].tolist() == library.encode(p, add_special_tokens=False).ids
+    assert wordbpe.spaced("a\tb\n\vc\f\r") == "a b  c  " and wordbpe.spaced("a b") == "a b"
