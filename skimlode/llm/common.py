@@ -25,6 +25,9 @@ ID_BITS = 1 << 25
 RELEASED_BYTES = 1 << 20
 
 _WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Of a write to file: paths only: no checksum file beside each part. Without Hadoop's native library each of the two would
+#: have its permissions set by processes that the executor starts, and such a child counts as large as its parent for a moment.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _own_folders: dict[str, str] = {}
 
 
@@ -61,11 +64,11 @@ def _writing(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows, written once to the shared folder and read from there: lineage ends, and lost executors lose nothing."""
+def stored(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """The rows, written once to the shared folder and read from there: lineage ends, and lost executors lose nothing. files: the most there are, for few rows."""
     path = new_folder(spark := df.sparkSession, label)
     with _writing(spark):
-        df.write.parquet(path)
+        (df.coalesce(files) if files else df).write.options(**_PLAIN_FILES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

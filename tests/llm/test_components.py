@@ -32,3 +32,26 @@ def test_components(spark):
     assert components(loops).count() == 0 and components(rows.limit(0)).count() == 0
     binary = spark.createDataFrame([(b"b", b"a"), (b"c", b"b")], "a binary, b binary")
     assert {bytes(r.node): bytes(r.root) for r in components(binary).collect()} == {b"a": b"a", b"b": b"a", b"c": b"a"}
+
+
+def test_few_edges_need_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has; and no checksum files, for which executors would start processes."""
+    from pathlib import Path
+
+    from skimlode.llm import common
+    from skimlode.llm.components import LEAST_FILES
+
+    written = []
+    new_folder = common.new_folder
+    monkeypatch.setattr(common, "new_folder", lambda s, label: written.append(new_folder(s, label)) or written[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+        assert {r.root for r in components(links).collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [[f.name for f in Path(p.removeprefix("file://")).iterdir()] for p in written]
+    assert len(files) > 2 and all(sum(f.endswith(".parquet") for f in own) <= LEAST_FILES for own in files[1:])
+    assert not any(f.endswith(".crc") for own in files for f in own)
