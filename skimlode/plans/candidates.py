@@ -30,13 +30,13 @@ def _in_file():
     return Window.partitionBy("file_id", "stretch").orderBy("block_id")
 
 
-def stretched(rows: DataFrame, before: int, after: int) -> DataFrame:
-    """rows with their stretch, and again in stretches that need them: `before` blocks ahead of a stretch and `after` behind it."""
-    size = max(STRETCH, 4 * (before + after))
-    own, place = F.floor(F.col("block_id") / size), F.pmod("block_id", F.lit(size))
-    earlier = F.when((place < after) & (own > 0), F.array(own - 1)).otherwise(F.array().cast("array<long>"))
-    later = F.when(place >= size - before, F.array(own + 1)).otherwise(F.array().cast("array<long>"))
-    return rows.withColumn("stretch", F.explode(F.concat(F.array(own), earlier, later))).withColumn("whole", F.col("stretch") == F.floor(F.col("block_id") / size))
+def stretched(rows: DataFrame, before: int, after: int, place: str = "block_id", least: int | None = None) -> DataFrame:
+    """rows with their stretch, and again in stretches that need them: `before` places ahead of a stretch and `after` behind it."""
+    size = max(STRETCH if least is None else least, 4 * (before + after))
+    own, inside = F.floor(F.col(place) / size), F.pmod(place, F.lit(size))
+    earlier = F.when((inside < after) & (own > 0), F.array(own - 1)).otherwise(F.array().cast("array<long>"))
+    later = F.when(inside >= size - before, F.array(own + 1)).otherwise(F.array().cast("array<long>"))
+    return rows.withColumn("stretch", F.explode(F.concat(F.array(own), earlier, later))).withColumn("whole", F.col("stretch") == F.floor(F.col(place) / size))
 
 
 def data_tests(element: Element) -> Column:
@@ -200,23 +200,33 @@ class _Patterns:
         """Of each block: whether a pattern is all in it, in it and the one before, in `wide` blocks that end in it; and any element.
 
         known: how many blocks before each are of its stretch. Only blocks with a pattern's rarest element are looked at.
+        Three tables of flags are held, however wide the longest pattern is.
         """
-        n = present.shape[1]
-        unions = [present]
-        for k in range(1, wide):
-            united = unions[-1].copy()
-            united[:, k:] |= present[:, : n - k] & (known[k:] >= k)
-            unions.append(united)
-        often = unions[-1].sum(axis=1)
-        found = [np.zeros(n, bool) for _ in range(3)]
+        two = _united(present, known, min(2, wide))
+        many = two if wide <= 2 else _united(present, known, wide)
+        often = many.sum(axis=1)
+        found = [np.zeros(present.shape[1], bool) for _ in range(3)]
         for need in self.needs:
-            at = np.flatnonzero(unions[-1][need[often[need].argmin()]])
-            for out, union in zip(found[::-1], (unions[-1], unions[min(1, wide - 1)], present)):
+            at = np.flatnonzero(many[need[often[need].argmin()]])
+            for out, union in zip(found[::-1], (many, two, present)):
                 at = at[union[np.ix_(need, at)].all(axis=0)]
                 out[at] = True
         return (*found, present.any(axis=0))
 
 
+def _united(present: np.ndarray, known: np.ndarray, wide: int) -> np.ndarray:
+    """Of each block, what it and the wide - 1 blocks before it have, as far as they are of its stretch: unions of doubled width, one table at a time."""
+    out, have = present, 1
+    while have < wide:
+        step = min(have, wide - have)
+        n = out.shape[1] - step
+        more = out.copy()
+        if n > 0:
+            np.logical_or(more[:, step:], out[:, :n], out=more[:, step:], where=known[step:] >= step)
+        out, have = more, have + step
+    return out
+
+
 def _flagger(shared, wide: int):
     """Rows in order of file, stretch and block: s, p, m and some, besides those of earlier patterns."""
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +17,9 @@ from .operators.filters import ByteFilter, CompositeFilter, FilterOp, NgramFilte
 from .operators.ranges import merge_adjacent, selectivity
 from .operators.segment import candidate_of, from_blocks, metadata, segment
 from .plans import candidates as plan
+from .plans import inverted
 from .sources import codec
+from .storage import new_folder
 from .streaming import watch
 
 BLOCK = 256
@@ -41,15 +41,6 @@ def query(sql: str | None = None):
     return add
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one of this machine only where that is the whole cluster."""
-    if folder := spark.conf.get("spark.checkpoint.dir", ""):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="skimlode-")
-
-
 def files(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     key, text = {"documents": ("doc_id", "text"), "pages": ("page_id", "html")}[table]
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("file_id"), F.col(text).cast("binary").alias("data"))
@@ -512,13 +503,53 @@ def crc_of_block(spark, sf_dir):
 # --- an index that is stored, and opened again
 
 
+_built: dict[tuple, str] = {}
+
+
+def _folder_of(spark, sf_dir: str, label: str, build: Callable[[str], None]) -> str:
+    """A folder that is built once for the application, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    if key not in _built:
+        path = new_folder(spark, label)
+        build(path)
+        _built[key] = path
+    return _built[key]
+
+
 def _kept(spark, sf_dir, config: IndexConfig):
     """The index of documents, saved to the shared folder and loaded from there."""
-    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    maintain.build(files(spark, sf_dir), config).save(path)
+    path = _folder_of(spark, sf_dir, f"index{config.bits}", lambda to: maintain.build(files(spark, sf_dir), config).save(to))
     return maintain.BlockIndex.load(spark, path, config)
 
 
+def _inverted(spark, sf_dir) -> inverted.InvertedIndex:
+    """The same the other way round: from elements to blocks."""
+    path = _folder_of(spark, sf_dir, "inverted", lambda to: inverted.InvertedIndex.build(files(spark, sf_dir), BLOCK).save(to))
+    return inverted.InvertedIndex.load(spark, path)
+
+
+@query(_candidates_sql(BYTE, NGRAM) + _RANGES)
+def cand_inverted(spark, sf_dir):
+    """Only postings of the patterns' elements are read."""
+    return inverted.candidate_ranges(_inverted(spark, sf_dir), BYTE, NGRAM)
+
+
+@query(_candidates_sql(BYTE, NEEDLE) + _RANGES)
+def cand_inverted_unpaired(spark, sf_dir):
+    return inverted.candidate_ranges(_inverted(spark, sf_dir), BYTE, NEEDLE)
+
+
+@query(_candidates_sql(ByteFilter.from_patterns([_long_pattern()]), NgramFilter.from_patterns([_long_pattern()])) + _RANGES)
+def cand_inverted_long(spark, sf_dir):
+    p = [_long_pattern()]
+    return inverted.candidate_ranges(_inverted(spark, sf_dir), ByteFilter.from_patterns(p), NgramFilter.from_patterns(p))
+
+
+@query(f"WITH {_blocks_sql()}, {_PAIRS}, {_BYTES} SELECT e AS element, count(*) AS blocks FROM (SELECT DISTINCT file_id, block_id, byte AS e FROM byt UNION ALL SELECT file_id, block_id, CAST(pair + 256 AS INTEGER) FROM pr) GROUP BY e")
+def element_blocks(spark, sf_dir):
+    return _inverted(spark, sf_dir).element_blocks()
+
+
 @query(_candidates_sql(BYTE, NGRAM) + _RANGES)
 def cand_stored(spark, sf_dir):
     """Without the documents: only the stored summaries are read."""
@@ -536,8 +567,7 @@ def point_stored(spark, sf_dir):
 
 
 def _stored_unions(spark, sf_dir):
-    path = f"{shared_folder(spark)}/unions-{uuid.uuid4().hex}"
-    file_index(blocks(spark, sf_dir), 65_536).write.parquet(path)
+    path = _folder_of(spark, sf_dir, "unions", lambda to: file_index(blocks(spark, sf_dir), 65_536).write.parquet(to))
     return spark.read.parquet(path)
 
 
@@ -597,7 +627,7 @@ for _name, _transport in (("codec_roundtrip", False), ("transport_roundtrip", Tr
 @query(_STATE)
 def stream_blocks(spark, sf_dir):
     """Blocks of a stream of document files, summarized as they come."""
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     source = spark.readStream.schema("doc_id long, text string").parquet(f"{sf_dir}/documents.parque*").select(F.col("doc_id").alias("file_id"), F.col("text").cast("binary").alias("data"))
     out = summary.summarize(segment(source, BLOCK), EXACT)
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
