@@ -229,6 +229,13 @@ def uri_open(path: str, mode: str):
     return system.open_output_stream(inner) if mode == "wb" else system.open_input_file(inner)
 
 
+def uri_delete(path: str) -> None:
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else "file:///" + path.removeprefix("file:").lstrip("/"))
+    system.delete_file(inner)
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)

@@ -35,6 +35,9 @@ BATCH_BYTES = 8 << 20
 FAN_IN, RUN = 64, 150_000
 #: Suffixes of equal seeds that are compared pair by pair; larger groups by classes of equal prefixes.
 PAIRWISE = 6
+#: Runs of so many bytes with a period of PERIOD at most are known to repeat; anchors stay in the first and last EDGE bytes.
+PERIODIC, PERIOD = 2048, 32
+EDGE = LENGTH + PERIOD
 SEED_ENTRY = np.dtype([("seed", "<u8"), ("cls", "V16"), ("at", "<u4")])
 DONE = np.dtype([("cls", "V16"), ("lo", "<u4"), ("hi", "<u4")])
 META = np.dtype([("lcp", "<u2"), ("tail", "<u2"), ("left", "<u2"), ("at", "<u4"), ("cls", "V16")])
@@ -63,8 +66,35 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:count], ahead[width - 1 : width - 1 + count])
 
 
+def periodic(text: bytes) -> list[tuple[int, int]]:
+    """Start and end of the maximal runs of PERIODIC bytes or more that have a period of PERIOD or less.
+
+    Every string of LENGTH bytes in one starts again a period earlier or later in it, so no search is needed for these.
+    """
+    if len(text) < PERIODIC:
+        return []
+    data = np.frombuffer(text, np.uint8)
+    step, look = PERIODIC // 2, 64  # a run holds a whole step; few bytes of each tell which periods can be there
+    at = np.arange(0, len(data) - look - PERIOD, step)
+    cells = np.lib.stride_tricks.sliding_window_view(data, look + PERIOD)[at]
+    found: list[tuple[int, int]] = []
+    for q in range(1, PERIOD + 1):
+        if not (cells[:, :look] == cells[:, q : q + look]).all(axis=1).any():
+            continue
+        differs = np.concatenate(([-1], np.flatnonzero(data[q:] != data[:-q]), [len(data) - q]))
+        long = np.flatnonzero(np.diff(differs) - 1 + q >= PERIODIC)
+        for lo, hi in zip((differs[long] + 1).tolist(), (differs[long + 1] + q).tolist()):
+            if not any(a <= lo and hi <= b for a, b in found):  # by a period that divides this one
+                found.append((lo, hi))
+    return sorted(found)
+
+
 def anchors(text: bytes) -> np.ndarray:
-    """Of each window of SHORT bytes, the place with the least hash (the first of equal ones) at which its seed may start."""
+    """Of each window of SHORT bytes, the place with the least hash (the first of equal ones) at which its seed may start.
+
+    Where bytes repeat with a short period, every period has such a place. Those deep in a long run are left out: a string
+    that is not all in the run, and a string of each phase, still find the ones in its first and last EDGE bytes.
+    """
     found = []
     windows = len(text) - SHORT + 1
     for at in range(0, max(0, windows), SEGMENT):
@@ -74,7 +104,10 @@ def anchors(text: bytes) -> np.ndarray:
         least = _least(keys, REACH + 1)
         first = least[np.concatenate(([True], least[1:] != least[:-1]))]
         found.append((first & np.uint64(0xFFFFF)).astype(np.int64) + at)
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    out = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    for lo, hi in periodic(text):
+        out = out[(out < lo + EDGE) | (out >= hi - EDGE)]
+    return out
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,11 +288,15 @@ def collapse(ordered: Iterator[tuple[int, tuple]]) -> tuple[list[tuple], list[in
         entries.append(e)
         lcps.append(carried if len(entries) > 1 else 0)
         carried = LENGTH
+    return entries, lcps, _spans(done)
+
+
+def _spans(done: list[tuple[bytes, int, int]]) -> np.ndarray:
     out = np.zeros(len(done), DONE)
     if done:
         out["cls"] = np.frombuffer(b"".join(d[0] for d in done), "V16")
         out["lo"], out["hi"] = [d[1] for d in done], [d[2] for d in done]
-    return entries, lcps, out
+    return out
 
 
 def _common_end(x: bytes, y: bytes) -> int:
@@ -324,26 +361,28 @@ def _runs(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        node, held = TaskContext.get().partitionId(), []
+        node, held, known = TaskContext.get().partitionId(), [], []
         for b in batches:
             for cls, text, places in zip(b.column(0), b.column(1), b.column(2)):
                 c, t = cls.as_py(), text.as_py()
-                for a in places.as_py():
+                known += [(c, lo, hi) for lo, hi in periodic(t)]
+                for a in places.values.to_numpy().tolist():
                     held.append((t[a : a + LENGTH], t[max(0, a - REACH) : a], c, a))
-                if len(held) >= RUN:
-                    yield from _sorted_runs(held, ranges, node)
-                    held = []
-        if held:
-            yield from _sorted_runs(held, ranges, node)
+                    if len(held) >= RUN:
+                        yield from _sorted_runs(held, known, ranges, node)
+                        held, known = [], []
+        if held or known:
+            yield from _sorted_runs(held, known, ranges, node)
 
     return run
 
 
-def _sorted_runs(held: list[tuple], ranges: int, node: int) -> Iterator[pa.RecordBatch]:
+def _sorted_runs(held: list[tuple], known: list[tuple[bytes, int, int]], ranges: int, node: int) -> Iterator[pa.RecordBatch]:
+    """known: spans that repeat by themselves."""
     by_range: dict[int, list[tuple]] = {}
     for e in held:
         by_range.setdefault(xxhash.xxh3_64_intdigest(e[0][:SEED]) % ranges, []).append(e)
-    loose: list[np.ndarray] = []
+    loose: list[np.ndarray] = [_spans(known)]
     names, blobs = [], []
     for r, own in by_range.items():
         own.sort()
@@ -432,8 +471,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     spans: start and end in turn of the maximal runs of bytes that are covered by strings of LENGTH bytes which start
     anywhere else too, in the same text or another; matches never cross texts. n_repeated: the bytes that are covered by
-    such strings of SHORT bytes; those beyond n_removed are only reported. Null counts as empty; shorter texts keep all. Rows of equal texts (repeated rows too) are removed whole if they have LENGTH bytes. What is removed
-    depends on the texts alone, never on ids. An empty table gives no rows.
+    such strings of SHORT bytes; those beyond n_removed are only reported. Null counts as empty; shorter texts keep all.
+    Rows of equal texts (repeated rows too) are removed whole if they have LENGTH bytes. What is removed depends on the
+    texts alone, never on ids. Ids are integers. An empty table gives no rows. Of a very long text that repeats with a
+    short period few suffixes are sorted; a task holds RUN suffixes at once, whatever the text.
     """
     spark = docs.sparkSession
     text = common.texts(docs, text_col).alias("text")

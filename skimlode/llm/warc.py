@@ -11,6 +11,7 @@ import base64
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -27,7 +28,8 @@ from . import common
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 ROW = "record_id string, record_type string, target_uri string, date string, refers_to string, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_manifest.json"
+#: How names of manifests begin, and names of archives that are written here.
+MANIFEST, OWN = "_manifest", re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 #: Bytes after which a new split begins, bytes read at first from a record, and payload bytes of an Arrow batch.
 SPLIT_BYTES, PEEK, BATCH_BYTES = 64 << 20, 4096, 4 << 20
 _GZIP = struct.Struct("<4sIBBHccHII")  # magic and flags, time, two bytes, length of the field, s, l, its size, member and record lengths
@@ -161,11 +163,12 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        try:
-            with common.uri_open(f"{self.folder}/{MANIFEST}", "rb") as f:
-                files = json.load(f)
-        except FileNotFoundError:
-            files = [{"file": name, "splits": [0, size]} for name, size in _listed(self.folder)]
+        manifests, files = _manifests(self.folder), []
+        for name in manifests:
+            with common.uri_open(f"{self.folder}/{name}", "rb") as f:
+                files += json.load(f)
+        # where there are manifests, files of this writer's that none of them names are left from failed attempts
+        files += [{"file": name, "splits": [0, size]} for name, size in _listed(self.folder, (".warc", ".warc.gz")) if not manifests or not OWN.fullmatch(name)]
         return [InputPartition((f"{self.folder}/{x['file']}", a, b)) for x in files for a, b in zip(x["splits"][:-1], x["splits"][1:])] or [InputPartition(None)]
 
     def wanted(self, row: dict) -> bool:
@@ -223,12 +226,16 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
 
-def _listed(folder: str) -> list[tuple[str, int]]:
+def _listed(folder: str, ends: tuple[str, ...]) -> list[tuple[str, int]]:
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(folder if "://" in folder else "file:///" + folder.removeprefix("file:").lstrip("/"))
     found = system.get_file_info(fs.FileSelector(inner))
-    return sorted((x.base_name, x.size) for x in found if x.is_file and x.base_name.endswith((".warc", ".warc.gz")))
+    return sorted((x.base_name, x.size) for x in found if x.is_file and x.base_name.endswith(ends))
+
+
+def _manifests(folder: str) -> list[str]:
+    return [name for name, _ in _listed(folder, (".json",)) if name.startswith(MANIFEST)]
 
 
 class WarcWritten(WriterCommitMessage):
@@ -237,10 +244,13 @@ class WarcWritten(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """A file for each task; the manifest, written last, names those of the attempts that count."""
+    """A file for each task; the write's own manifest, written last, names those of the attempts that count.
+
+    Appending leaves earlier manifests alone; overwriting removes them once the new one is there, and then their files.
+    """
 
-    def __init__(self, options):
-        self.folder, self.level = options["path"].rstrip("/"), int(options.get("level", 4))
+    def __init__(self, options, overwrite: bool = False):
+        self.folder, self.level, self.overwrite = options["path"].rstrip("/"), int(options.get("level", 4)), overwrite
 
     def write(self, iterator):
         name, out, splits, at = f"part-{uuid.uuid4().hex}.warc.gz", None, [0], 0
@@ -258,8 +268,14 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         files = [{"file": m.file, "splits": m.splits} for m in messages if m is not None and m.file]
-        with common.uri_open(f"{self.folder}/{MANIFEST}", "wb") as f:
+        before = _manifests(self.folder) if self.overwrite else []
+        with common.uri_open(f"{self.folder}/{MANIFEST}-{uuid.uuid4().hex}.json", "wb") as f:
             f.write(json.dumps(files).encode())
+        for name in before:
+            with common.uri_open(f"{self.folder}/{name}", "rb") as f:
+                gone = [x["file"] for x in json.load(f)]
+            for old in (name, *gone):
+                common.uri_delete(f"{self.folder}/{old}")
 
     def abort(self, messages):
         """Files of a failed write are named in no manifest."""
@@ -277,7 +293,7 @@ class WarcSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -323,10 +339,15 @@ def _records(last: int):
     return run
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
+def write(pages: DataFrame, folder: str, least_bytes: int = 0, overwrite: bool = False) -> None:
+    """Writes the records of plan_records() as gzip archives, one or none for each task, beside those that are in the folder, or in their place.
+
+    Copies are found among these pages, not among what the folder holds. A reader sees a write whole once its manifest is
+    there, and nothing of a failed one. An empty table adds no archive.
+    """
     register(spark := pages.sparkSession)
     common.make_folder(spark, folder)
-    plan_records(pages, least_bytes).write.format("warc").mode("append").save(folder)
+    plan_records(pages, least_bytes).write.format("warc").mode("overwrite" if overwrite else "append").save(folder)
 
 
 def read(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:

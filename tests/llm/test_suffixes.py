@@ -110,3 +110,46 @@ def test_large_groups_agree_with_pairs(monkeypatch):
     many = covered(suffixes.repeats(ordered, lcps))
     monkeypatch.setattr(suffixes, "PAIRWISE", 1000)
     assert many == covered(suffixes.repeats(ordered, lcps)) and many
+
+
+def _periodic_texts():
+    rng = random.Random(8)
+    unit = lambda q: "".join(rng.choices("abcdefgh", k=q))
+    head, tail = ("".join(rng.choices("klmnop qrst", k=n)) for n in (300, 350))
+    u5, u31, u32, u33 = unit(5), unit(31), unit(32), unit(33)
+    return [
+        head + "x" * 5000 + tail, "x" * 401, "y" + "x" * 399 + "y", head[-200:] + "x" * 390, "x" * 380 + tail[:30],
+        u5 * 900, (u5 * 90)[3:406], (u5 * 81)[1:404] + tail, head + u31 * 70, (u31 * 14)[7:410], u32 * 64, u32 * 80 + tail, (u32 * 20)[11:420], u33 * 80, (u33 * 13)[5:415],
+        u5 * 600 + u31 * 90 + u5 * 600, "z" * 2047, "q" * 2048, "z" * 400 + "-", "q" * 400 + "-", "é" * 1500 + "x" * 3000 + "é" * 1500, tail + head,
+    ]
+
+
+def test_texts_that_repeat_with_a_short_period(spark):
+    texts = _periodic_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_repeated, len(r.spans) // 2, r.kept_sha256) for r in suffixes.repeated_spans(docs).collect()}
+    assert got == dict(enumerate(_expected(texts)))
+
+
+def test_long_periodic_texts_have_few_anchors():
+    for unit in (b"x", b"in the ", bytes(range(32))):
+        text = b"before" * 200 + unit * (20_000_000 // len(unit)) + b"after" * 300
+        assert len(suffixes.anchors(text)) < 4000
+        lo, hi = max(suffixes.periodic(text), key=lambda r: r[1] - r[0])
+        assert abs(lo - 1200) < 40 and abs(hi - (len(text) - 1500)) < 40
+    plain = random.Random(2).randbytes(300_000)
+    assert suffixes.periodic(plain) == [] and suffixes.periodic(b"") == []
+
+
+def test_a_task_holds_a_bounded_number_of_suffixes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixes, "RUN", 50)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    sizes, inner = [], suffixes._sorted_runs
+    monkeypatch.setattr(suffixes, "_sorted_runs", lambda held, *rest: (sizes.append(len(held)), inner(held, *rest))[1])
+    text = random.Random(4).randbytes(20_000)
+    at = suffixes.anchors(text).tolist()
+    batch = pa.RecordBatch.from_arrays([pa.array([b"c" * 16], pa.binary()), pa.array([text], pa.binary()), pa.array([at], pa.list_(pa.int64()))], ["cls", "text", "places"])
+    found = list(suffixes._runs(4)(iter([batch])))
+    assert found and max(sizes) == 50 and sum(sizes) == len(at)

@@ -62,3 +62,34 @@ def test_archives_of_others(spark, tmp_path):
     for columns in (None, ["record_id", "payload_bytes"]):
         got = warc.read(spark, f"file://{tmp_path}", columns).collect()
         assert sorted((r.record_id, r.payload_bytes) for r in got) == [("urn:x:1", 9000), ("urn:x:1", 9000), ("urn:x:2", 0), ("urn:x:3", 9000)]
+
+
+def test_writes_add_up_and_overwriting_replaces(spark):
+    from pyspark.sql import functions as F
+
+    folder = common.new_folder(spark, "warc-twice")
+    page = lambda k, text: spark.createDataFrame([(k, "u", text)], "page_id long, url string, html string")
+    ids = lambda: sorted(r.record_id for r in warc.read(spark, folder, ["record_id"]).collect())
+    warc.write(page(1, "one"), folder)
+    warc.write(page(2, "two").union(page(3, "two")), folder)
+    assert ids() == ["urn:page:1", "urn:page:2", "urn:page:3"]
+    bad = page(4, "four").withColumn("html", F.when(F.col("page_id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("html")))
+    try:
+        warc.write(bad, folder)
+    except Exception as e:
+        assert "no" in str(e)
+    left = folder.removeprefix("file://") + "/part-" + "0" * 32 + ".warc.gz"  # as a lost attempt leaves it
+    with open(left, "wb") as f:
+        f.write(b"cut off")
+    assert ids() == ["urn:page:1", "urn:page:2", "urn:page:3"]
+    warc.write(page(5, "five"), folder, overwrite=True)
+    assert ids() == ["urn:page:5"]
+    warc.write(page(6, "six"), folder)
+    assert ids() == ["urn:page:5", "urn:page:6"]
+
+
+def test_archives_of_others_beside_own_ones(spark, tmp_path):
+    row = {"record_id": "urn:x:1", "record_type": "response", "target_uri": "http://h/", "date": None, "refers_to": None, "payload": b"p"}
+    (tmp_path / "a.warc").write_bytes(warc.record(row))
+    warc.write(spark.createDataFrame([(1, "u", "t")], "page_id long, url string, html string"), f"file://{tmp_path}")
+    assert sorted(r.record_id for r in warc.read(spark, f"file://{tmp_path}", ["record_id"]).collect()) == ["urn:page:1", "urn:x:1"]
