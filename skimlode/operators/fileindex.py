@@ -25,7 +25,12 @@ def matching_files(words_of_files: DataFrame, bits: int, ngram: NgramFilter) ->
     return words_of_files.where(ngram.matches(lambda p: blooms.bloom_has(words, p, bits))).select("file_id")
 
 
-def pruned_candidates(blocks: DataFrame, block_size: int, bits: int, byte: ByteFilter | None, ngram: NgramFilter, test=data_tests, words_of_files: DataFrame | None = None) -> DataFrame:
-    """candidate_blocks() of the files that the united bloom leaves; words_of_files: the stored unions, if there are any."""
+def pruned_candidates(blocks: DataFrame, block_size: int, bits: int, byte: ByteFilter | None, ngram: NgramFilter | None, test=data_tests, words_of_files: DataFrame | None = None) -> DataFrame:
+    """candidate_blocks() of the files that the united bloom leaves; words_of_files: the stored unions, if there are any.
+
+    Unions know pairs only, so without an n-gram filter all files are looked at.
+    """
+    if ngram is None:
+        return candidate_blocks(blocks, block_size, byte, None, test)
     files = matching_files(file_words(blocks, bits) if words_of_files is None else words_of_files, bits, ngram)
     return candidate_blocks(blocks.join(files, "file_id", "left_semi"), block_size, byte, ngram, test)

@@ -48,6 +48,14 @@ class BlockIndex:
             raise IncompatibleIndexConfiguration(f"blooms of {first.n * 64} bits, {config.bits} are configured")
         return cls(config, blocks, files)
 
+    @classmethod
+    def from_parts(cls, block_size: int, blocks: DataFrame, files: DataFrame) -> BlockIndex:
+        """An index whose blooms' size nobody states: the first block has it, and without blocks (to append to, or to merge) that is an error."""
+        first = blocks.select(F.size("words").alias("n")).first()
+        if first is None or first.n <= 0:
+            raise ZeroBloomBits("an index without blocks doesn't say how large blooms are")
+        return cls.assemble(IndexConfig(block_size, first.n * 64), blocks, files)
+
 
 def build(files: DataFrame, config: IndexConfig, id_col: str = "file_id", data_col: str = "data") -> BlockIndex:
     config.validate()
@@ -129,3 +137,35 @@ def remove_blocks(index: BlockIndex, file_id, ids: Sequence[int]) -> BlockIndex:
         F.when(own & F.lit(keep == 0), F.lit(None)).otherwise(F.col("first_byte")).alias("first_byte"), F.when(own, F.lit(None)).otherwise(F.col("last_byte")).alias("last_byte"),
     )
     return BlockIndex(index.config, index.blocks.where(~(own & (F.col("block_id") >= keep))), files)
+
+
+def remove_suffixes(index: BlockIndex, gone: DataFrame, data: DataFrame | None = None, id_col: str = "file_id", data_col: str = "data") -> BlockIndex:
+    """The index without the blocks of `gone` (file_id, block_id; repeated or not): of each file the last ones, of any number of files.
+
+    One look at all of `gone` says whether a file lacks a block (InvalidBlockId) or would lose one that isn't among its last
+    (NonSuffixBlockRemoval); only an offending row comes to the driver. data: the files' bytes, from which the byte that a
+    file now ends with is taken; without them it is unknown, so last_byte is null and nothing can be appended with its pair.
+    """
+    size = index.config.block_size
+    cut = gone.select("file_id", "block_id").distinct().groupBy("file_id").agg(F.count("*").alias("n"), F.min("block_id").alias("keep"), F.max("block_id").alias("most"))
+    there = cut.join(index.files.select("file_id", "n_blocks"), "file_id", "left")
+    lacking = F.col("n_blocks").isNull() | F.col("keep").isNull() | (F.col("keep") < 0) | (F.col("most") >= F.col("n_blocks"))
+    wrong = there.select("file_id", lacking.alias("lacking"), (F.col("keep") != F.col("n_blocks") - F.col("n")).alias("inner")).where("lacking OR inner").first()
+    if wrong is not None:
+        if wrong.lacking:
+            raise InvalidBlockId(f"file {wrong.file_id} hasn't all of these blocks")
+        raise NonSuffixBlockRemoval(f"only a file's last blocks can go: file {wrong.file_id}")
+    cut = cut.select("file_id", "keep")
+    blocks = index.blocks.join(cut, "file_id", "left").where(F.col("keep").isNull() | (F.col("block_id") < F.col("keep"))).drop("keep")
+    if data is None:
+        cut = cut.withColumn("ends", F.lit(None).cast("binary"))
+    else:
+        bytes_ = data.select(F.col(id_col).alias("file_id"), F.col(data_col).cast("binary").alias("data"))
+        ends = F.when((F.col("keep") > 0) & (F.length("data") >= F.col("keep") * size), F.substring(F.col("data"), (F.col("keep") * size).cast("int"), F.lit(1)))
+        cut = cut.join(bytes_, "file_id", "left").select("file_id", "keep", ends.alias("ends"))
+    own = F.col("keep").isNotNull()
+    files = index.files.join(cut, "file_id", "left").select(
+        "file_id", F.when(own, F.col("keep") * size).otherwise(F.col("total_len")).alias("total_len"), F.when(own, F.col("keep")).otherwise(F.col("n_blocks")).alias("n_blocks"),
+        F.when(own & (F.col("keep") == 0), F.lit(None)).otherwise(F.col("first_byte")).alias("first_byte"), F.when(own, F.col("ends")).otherwise(F.col("last_byte")).alias("last_byte"),
+    )
+    return BlockIndex(index.config, blocks, files)

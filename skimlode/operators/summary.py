@@ -43,6 +43,17 @@ def histogram(blocks: DataFrame) -> DataFrame:
     return _narrow(blocks, KEY, "own", "byte int, cnt long", run)
 
 
+def required_counts(patterns: DataFrame, id_col: str = "pattern_id", pattern_col: str = "pattern") -> DataFrame:
+    """pattern_id, required: how many bytes a byte filter of the pattern asks for; 0 for an empty or null one."""
+    rows = patterns.select(F.col(id_col).alias("pattern_id"), F.coalesce(F.col(pattern_col).cast("binary"), F.lit(b"")).alias("pattern"))
+
+    def run(b, pattern):
+        at, _, _ = vectors.byte_counts(pattern)
+        yield np.arange(len(pattern)), [pa.array(np.bincount(at, minlength=len(pattern)), pa.int64())]
+
+    return _narrow(rows, ["pattern_id"], "pattern", "required long", run)
+
+
 def pairs(blocks: DataFrame) -> DataFrame:
     """file_id, block_id, pair: distinct pairs of each block, that across its start included."""
 

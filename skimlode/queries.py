@@ -9,18 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import IndexConfig, compact_size, line_count, size_for_rate
-from .functions import blooms
+from .functions import bitmaps, blooms
 from .functions.hashing import line_columns, line_positions, low_hashes, position_columns, positions
 from .operators import maintain, summary
 from .operators.fileindex import file_index, matching_files, pruned_candidates
 from .operators.filters import ByteFilter, CompositeFilter, FilterOp, NgramFilter, byte_in, pair_in
+from .operators.matches import matches
 from .operators.ranges import merge_adjacent, selectivity
 from .operators.segment import candidate_of, from_blocks, metadata, segment
+from .operators.versions import VersionedIndex, follow
 from .plans import candidates as plan
 from .plans import inverted
-from .sources import codec
-from .storage import new_folder
+from .sources import codec, records, runs
+from .storage import make_folder, new_folder
 from .streaming import watch
+from .streaming.appended import appended_blocks
 
 BLOCK = 256
 CONFIG = IndexConfig(BLOCK, 1024)
@@ -157,6 +160,15 @@ def pair_hash_table(spark, sf_dir):
     return spark.range(65_536).select(pair.alias("pair"), a.alias("l1"), b.alias("l2"), *[F.element_at(at, k + 1).alias(f"i{k}") for k in range(3)], line.alias("line"), F.element_at(bit, 3).alias("bit2"))
 
 
+@query(f"WITH {_blocks_sql()}, {_PAIRS}, occurring AS (SELECT DISTINCT pair FROM pr), {_HASH.format('occurring')} SELECT pair, l1, l2, l1 & 65535 AS i0, (l1 + l2) & 65535 AS i1, (l1 + 2 * l2) & 65535 AS i2, l1 & 127 AS line, (l1 + 2 * (l2 + 21)) & 511 AS bit2 FROM hs")
+def pair_hashes(spark, sf_dir):
+    """Hashes of the pairs that documents have."""
+    found, pair = summary.pairs(blocks(spark, sf_dir)).select(F.col("pair").cast("long").alias("pair")).distinct(), F.col("pair")
+    a, b = low_hashes(pair)
+    at, (line, bit) = position_columns(pair, 65_536), line_columns(pair, 128)
+    return found.select("pair", a.alias("l1"), b.alias("l2"), *[F.element_at(at, k + 1).alias(f"i{k}") for k in range(3)], line.alias("line"), F.element_at(bit, 3).alias("bit2"))
+
+
 @query(f"WITH {_blocks_sql()}, {_PAIRS}, {_bits_sql(1024)} SELECT file_id, block_id, bit FROM bt")
 def bloom_bits(spark, sf_dir):
     return summary.bloom_bits(blocks(spark, sf_dir), 1024)
@@ -247,6 +259,27 @@ def file_candidates(spark, sf_dir):
     return merge_adjacent(pruned_candidates(blocks(spark, sf_dir), BLOCK, 65_536, BYTE, NGRAM))
 
 
+# --- exact tables as bitmaps
+
+
+@query(f"WITH {_blocks_sql()}, {_PAIRS} SELECT blk.file_id, count(DISTINCT pair) AS n_pairs FROM blk LEFT JOIN pr USING (file_id, block_id) GROUP BY ALL")
+def file_exact_union(spark, sf_dir):
+    """A file's exact table is the union of its blocks'."""
+    return bitmaps.united(bitmaps.exact_tables(blocks(spark, sf_dir)), "file_id").select("file_id", bitmaps.pair_count().alias("n_pairs"))
+
+
+@query(f"WITH {_blocks_sql()}, {_PAIRS} SELECT file_id FROM pr GROUP BY file_id HAVING {' OR '.join(f'count(DISTINCT pair) FILTER (pair IN ({chr(44).join(map(str, r))})) = {len(set(r))}' for r in NGRAM.requirements)}")
+def file_prune_exact(spark, sf_dir):
+    """As file_prune, without a bloom's false positives."""
+    return bitmaps.matching(bitmaps.united(bitmaps.exact_tables(blocks(spark, sf_dir)), "file_id"), NGRAM, "file_id")
+
+
+@query(f"WITH {_blocks_sql()}, {_PAIRS} SELECT blk.file_id, blk.block_id, count(pair) AS n_pairs, coalesce(bool_or(pair = {0x7468}), false) AS has_th, coalesce(bool_or(pair = {0xC3A9}), false) AS has_accent FROM blk LEFT JOIN pr USING (file_id, block_id) GROUP BY ALL")
+def bitmap_membership(spark, sf_dir):
+    found = bitmaps.exact_tables(blocks(spark, sf_dir))
+    return found.select("file_id", "block_id", bitmaps.pair_count().alias("n_pairs"), bitmaps.has_pattern(b"th").alias("has_th"), bitmaps.has_pattern("é".encode()).alias("has_accent"))
+
+
 # --- filters
 
 
@@ -273,6 +306,12 @@ def required_count(spark, sf_dir):
     return spark.range(1).select(F.col("id").cast("int").alias("id"), F.lit(BYTE.required_count).alias("required"))
 
 
+@query(f"WITH {_blocks_sql()}, {_BYTES} SELECT f.file_id AS pattern_id, count(DISTINCT byte) AS required FROM f LEFT JOIN byt USING (file_id) GROUP BY f.file_id")
+def required_counts(spark, sf_dir):
+    """How many bytes a filter of each document would ask for."""
+    return summary.required_counts(files(spark, sf_dir), "file_id", "data")
+
+
 @query(f"WITH {_blocks_sql()}, {_SETS} SELECT file_id, block_id, false AS none, true AS empty_single, false AS empty_list, {_contains([b'T', b'x'])} AS one_byte FROM sets")
 def edge_filters(spark, sf_dir):
     has = lambda b: byte_in(F.col("own"), b)
@@ -332,6 +371,12 @@ def cand_unpaired(spark, sf_dir):
     return plan.candidate_ranges(blocks(spark, sf_dir), BLOCK, BYTE, NEEDLE)
 
 
+@query(_candidates_sql(None, NGRAM) + _RANGES)
+def cand_bitmaps(spark, sf_dir):
+    """By exact tables alone."""
+    return plan.candidate_ranges(bitmaps.exact_tables(blocks(spark, sf_dir)), BLOCK, None, NGRAM, test=lambda e: bitmaps.has_pair(e[1]))
+
+
 MULTI = [b"@", b"the ", "é".encode(), b"zzzz", b"", b"License", b"token"]
 
 
@@ -413,6 +458,28 @@ def many_patterns(spark, sf_dir):
     return merge_adjacent(plan.candidate_blocks_long(blocks(spark, sf_dir), BLOCK, items))
 
 
+_PLACES = """WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), p AS ({}),
+    hit AS (SELECT doc_id, pattern_id, h, q FROM d JOIN p ON contains(h, q))
+    SELECT doc_id AS file_id, pattern_id, i AS "offset" FROM (SELECT doc_id, pattern_id, h, q, unnest(range(0, (length(h) - length(q)) // 2 + 1)) AS i FROM hit) WHERE substr(h, 2 * i + 1, length(q)) = q"""
+
+
+@query(_PLACES.format("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{p.hex().upper()}')" for k, p in enumerate(PATTERNS)) + ") v(pattern_id, q)"))
+def pattern_places(spark, sf_dir):
+    """Candidates, and where the patterns truly are in them."""
+    found = merge_adjacent(plan.strict_blocks(blocks(spark, sf_dir), BLOCK, PATTERNS))
+    patterns = spark.createDataFrame(list(enumerate(PATTERNS)), "pattern_id long, pattern binary")
+    return matches(files(spark, sf_dir), found, patterns)
+
+
+@query(_PLACES.format("SELECT item_id AS pattern_id, hex(encode(text)) AS q FROM benchmark WHERE length(text) > 0"))
+def benchmark_places(spark, sf_dir):
+    """The same for whole benchmark items, over the ranges that many patterns leave."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pattern_id"), F.col("text").cast("binary").alias("pattern"))
+    whole = metadata(files(spark, sf_dir), BLOCK).where("total_len > 0").select("file_id", F.lit(0).cast("long").alias("offset"), F.col("total_len").alias("length"))
+    found = plan.candidate_blocks_long(blocks(spark, sf_dir), BLOCK, items).select("file_id").distinct()
+    return matches(files(spark, sf_dir), whole.join(found, "file_id", "left_semi"), items)
+
+
 @query(f"WITH {_blocks_sql()}, {_SETS}, found AS (SELECT blk.* FROM blk JOIN sets USING (file_id, block_id) WHERE {_contains([b'@'], True)}), {_MERGE} {_RANGES}")
 def merge_adjacent_ranges(spark, sf_dir):
     """Blocks that may hold an address, each a range, merged."""
@@ -479,6 +546,27 @@ def truncate_blocks(spark, sf_dir):
     return maintain.remove_blocks(index, 0, [n - 1]).blocks.select("file_id", "block_id", "offset", "length")
 
 
+def _cut_short(spark, sf_dir):
+    """The index without the last block of each document that has two or more."""
+    rows = files(spark, sf_dir)
+    index = maintain.build(rows, CONFIG)
+    return maintain.remove_suffixes(index, index.files.where("n_blocks >= 2").select("file_id", (F.col("n_blocks") - 1).alias("block_id")), rows)
+
+
+_CUT = f'WITH {_blocks_sql()}, n AS (SELECT file_id, max(block_id) + 1 AS n FROM blk GROUP BY file_id)'
+
+
+@query(f'{_CUT} SELECT blk.file_id, block_id, "offset", "length" FROM blk JOIN n USING (file_id) WHERE n < 2 OR block_id < n - 1')
+def truncate_many(spark, sf_dir):
+    return _cut_short(spark, sf_dir).blocks.select("file_id", "block_id", "offset", "length")
+
+
+@query(f"{_CUT} SELECT f.file_id, CASE WHEN n >= 2 THEN (n - 1) * 256 ELSE length(h) // 2 END AS total_len, CASE WHEN n >= 2 THEN n - 1 ELSE coalesce(n, 0) END AS n_blocks, CASE WHEN h <> '' THEN substr(h, CASE WHEN n >= 2 THEN (n - 1) * 512 - 1 ELSE length(h) - 1 END, 2) END AS last_byte FROM f LEFT JOIN n USING (file_id)")
+def truncate_many_files(spark, sf_dir):
+    """Files after that, with the bytes that they now end with."""
+    return _cut_short(spark, sf_dir).files.select("file_id", "total_len", "n_blocks", F.hex("last_byte").alias("last_byte"))
+
+
 @query(f"WITH {_blocks_sql()}, {_PAIRS} SELECT file_id, block_id, count(*) AS n_pairs FROM pr WHERE file_id = 1 AND block_id = 0 GROUP BY ALL")
 def point_lookup(spark, sf_dir):
     return summary.point(summary.summarize(blocks(spark, sf_dir), EXACT), 1, 0).select("file_id", "block_id", F.size("pairs").cast("long").alias("n_pairs"))
@@ -577,6 +665,12 @@ def file_candidates_stored(spark, sf_dir):
     return merge_adjacent(pruned_candidates(blocks(spark, sf_dir), BLOCK, 65_536, BYTE, NGRAM, words_of_files=_stored_unions(spark, sf_dir)))
 
 
+@query(_candidates_sql(BYTE, None) + _RANGES)
+def file_candidates_byte(spark, sf_dir):
+    """Byte filters pass the file index by."""
+    return merge_adjacent(pruned_candidates(blocks(spark, sf_dir), BLOCK, 65_536, BYTE, None, words_of_files=_stored_unions(spark, sf_dir)))
+
+
 @query(_candidates_sql(None, NGRAM) + _RANGES)
 def file_candidates_ngram(spark, sf_dir):
     return merge_adjacent(pruned_candidates(blocks(spark, sf_dir), BLOCK, 65_536, None, NGRAM))
@@ -624,6 +718,48 @@ for _name, _transport in (("codec_roundtrip", False), ("transport_roundtrip", Tr
     ORACLES[_name] = _STATE.replace('any_value(blk."offset") AS "offset", any_value(blk."length") AS "length"', f"{BLOCK} AS block_size")
 
 
+@query(f"""WITH f AS (SELECT doc_id AS file_id, hex(encode(text)) AS h FROM documents), {_CRC}
+    SELECT file_id, length(h) // 2 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda a, b: xor(a // 256, t[CAST(xor(a & 255, b) AS INTEGER) + 1])), 4294967295) AS crc FROM f, tb""")
+def transport_pieces(spark, sf_dir):
+    """Documents in pieces of 1000 bytes, coded by runs, decoded, and the checksums of what comes back combined."""
+    coded = runs.compress(runs.cut(files(spark, sf_dir), 1000))
+    back = runs.decompress(coded, 1 << 30).select("file_id", "piece", F.crc32("data").alias("crc"), F.length("data").cast("long").alias("size"))
+    return records.combined_checksums(back).select("file_id", "size", "crc")
+
+
+# --- records in files: blocks of 4096 bytes
+
+RECORDS = IndexConfig(4096, 4096)
+
+
+def _record_folder(spark, sf_dir) -> str:
+    return _folder_of(spark, sf_dir, "records", lambda to: records.write(files(spark, sf_dir), to, RECORDS))
+
+
+def _record_rows(found: DataFrame) -> DataFrame:
+    return found.select("file_id", "block_id", "total_len", F.size("bytes_present").cast("long").alias("n_bytes"), F.size("pairs").cast("long").alias("n_pairs"))
+
+
+_IN_RECORDS = f"WITH {_blocks_sql(size=RECORDS.block_size)}, {_PAIRS}, {_BYTES}, np AS (SELECT file_id, block_id, count(*) AS n FROM pr GROUP BY ALL), nb AS (SELECT file_id, block_id, count(DISTINCT byte) AS n FROM byt GROUP BY ALL) SELECT CAST(blk.file_id AS VARCHAR) AS file_id, blk.block_id, length(f.h) // 2 AS total_len, nb.n AS n_bytes, coalesce(np.n, 0) AS n_pairs FROM blk JOIN f USING (file_id) LEFT JOIN np USING (file_id, block_id) LEFT JOIN nb USING (file_id, block_id)"
+
+
+@query(_IN_RECORDS)
+def record_blocks(spark, sf_dir):
+    return _record_rows(records.read(spark, _record_folder(spark, sf_dir), ["file_id", "block_id", "total_len", "bytes_present", "pairs"]))
+
+
+@query(f"{_IN_RECORDS} WHERE blk.block_id >= 1 AND blk.block_id < 3")
+def record_block_range(spark, sf_dir):
+    """The source takes the filter: of each record, the second and third block only are read."""
+    return _record_rows(records.read(spark, _record_folder(spark, sf_dir), ["file_id", "block_id", "total_len", "bytes_present", "pairs"]).where("block_id >= 1 AND block_id < 3"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file_id, true AS ok FROM documents")
+def record_checksums(spark, sf_dir):
+    """By pieces, and combined."""
+    return records.verify(spark, _record_folder(spark, sf_dir))
+
+
 @query(_STATE)
 def stream_blocks(spark, sf_dir):
     """Blocks of a stream of document files, summarized as they come."""
@@ -632,3 +768,36 @@ def stream_blocks(spark, sf_dir):
     out = summary.summarize(segment(source, BLOCK), EXACT)
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
     return _state(maintain.BlockIndex(EXACT, spark.read.schema(out.schema).parquet(f"{base}/out"), out))
+
+
+@query(_STATE)
+def stream_appended(spark, sf_dir):
+    """Documents that grow: a stream of their thirds, stopped after the first and started again."""
+    base, rows = new_folder(spark, "appended"), files(spark, sf_dir)
+    third = F.floor(F.length("data") / 3).cast("int")
+    cut = F.array(F.substring(F.col("data"), F.lit(1), third), F.substring(F.col("data"), third + 1, third), F.substring(F.col("data"), 2 * third + 1, F.length("data")), F.lit(None).cast("binary"))
+    chunks = rows.select("file_id", F.posexplode(cut).alias("seq", "data"))
+    make_folder(spark, f"{base}/in")
+    source = spark.readStream.schema("file_id long, seq int, data binary").parquet(f"{base}/in")
+    out = summary.summarize(appended_blocks(source, BLOCK), EXACT)
+    for part in ("seq = 0", "seq > 0"):
+        chunks.where(part).write.mode("append").parquet(f"{base}/in")
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    return _state(maintain.BlockIndex(EXACT, spark.read.schema(out.schema).parquet(f"{base}/out"), out))
+
+
+_CHANGED = "SELECT doc_id AS file_id, hex(encode(CASE WHEN doc_id % 6 = 0 THEN text || text ELSE text END)) AS h FROM documents WHERE doc_id % 3 = 0 OR doc_id % 4 = 2"
+
+
+@query(_STATE.replace(_blocks_sql(), _blocks_sql(source=_CHANGED)))
+def index_versions(spark, sf_dir):
+    """A first version of even documents, and a stream of changes: those that three divides are added or edited (said twice), others that four divides go."""
+    base, rows = new_folder(spark, "versions"), files(spark, sf_dir)
+    index = VersionedIndex(spark, f"{base}/index", EXACT)
+    index.change(rows.where("file_id % 2 = 0"))
+    change = F.when(F.col("file_id") % 6 == 0, "edited").when(F.col("file_id") % 3 == 0, "added").when(F.col("file_id") % 4 == 0, "removed")
+    changed = rows.select("file_id", F.lit(0).alias("seq"), change.alias("change"), F.when(change == "edited", F.concat("data", "data")).otherwise(F.col("data")).alias("data")).where("change IS NOT NULL")
+    changed.write.parquet(f"{base}/in")
+    source = spark.readStream.schema(changed.schema).parquet(f"{base}/in")
+    follow(index, source, f"{base}/check").awaitTermination()
+    return _state(maintain.BlockIndex(EXACT, index.blocks(), rows))

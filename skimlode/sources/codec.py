@@ -58,11 +58,11 @@ def encode(data: bytes, config: c.IndexConfig) -> bytes:
     config.validate()
     size = config.block_size
     head = struct.pack("<IQQQB", VERSION, size, len(data), -(-len(data) // size), data[-1] if data else 0xFF)
-    body = b"".join([MAGIC, head, *_blocks(data, size, config.bits, config.exact, None)])
+    body = b"".join([MAGIC, head, *encoded_blocks(data, size, config.bits, config.exact, None)])
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def _blocks(data: bytes, size: int, bits: int, exact: bool, before: int | None) -> list[bytes]:
+def encoded_blocks(data: bytes, size: int, bits: int, exact: bool, before: int | None) -> list[bytes]:
     """The blocks' parts of a record; before: the byte ahead of the data, if any."""
     raw, out = np.frombuffer(data, np.uint8), []
     for at in range(0, len(data), size):
@@ -78,23 +78,32 @@ def _blocks(data: bytes, size: int, bits: int, exact: bool, before: int | None)
     return out
 
 
-def decode(raw: bytes) -> Decoded:
-    """Checks in this order: length, magic, version, length, checksum, block size, number of blocks, each block."""
-    if len(raw) < HEAD:
-        raise c.TruncatedHeader(f"{len(raw)} of {HEAD} bytes")
+def read_head(raw: bytes, whole: int, checksum: bool = False) -> tuple[int, int, int, int, int]:
+    """Version, block size, bytes, blocks and the head's size of a record of `whole` bytes that begins with raw; checked.
+
+    checksum: raw is all of it, and its checksum is looked at before the block size.
+    """
+    if whole < HEAD:
+        raise c.TruncatedHeader(f"{whole} of {HEAD} bytes")
     if raw[:4] != MAGIC:
         raise c.InvalidMagic(repr(raw[:4]))
     version, size, total, blocks = struct.unpack_from("<IQQQ", raw, 4)
     if not 1 <= version <= VERSION:
         raise c.UnsupportedVersion(f"version {version}; {VERSION} is the latest")
     head = HEAD3 if version >= 3 else HEAD
-    if len(raw) < head + 4 * (version >= 2):
-        raise c.TruncatedHeader(f"{len(raw)} of {head + 4 * (version >= 2)} bytes")
-    end = len(raw) - 4 if version >= 2 else len(raw)
-    if version >= 2 and zlib.crc32(raw[:end]) != struct.unpack_from("<I", raw, end)[0]:
+    if whole < head + 4 * (version >= 2):
+        raise c.TruncatedHeader(f"{whole} of {head + 4 * (version >= 2)} bytes")
+    if checksum and version >= 2 and zlib.crc32(raw[:-4]) != struct.unpack_from("<I", raw, whole - 4)[0]:
         raise c.ChecksumMismatch("the record's checksum is another")
     if size < c.MIN_BLOCK or size & (size - 1):
         raise c.InvalidBlockSize(str(size))
+    return version, size, total, blocks, head
+
+
+def decode(raw: bytes) -> Decoded:
+    """Checks in this order: length, magic, version, length, checksum, block size, number of blocks, each block."""
+    version, size, total, blocks, head = read_head(raw, len(raw), checksum=True)
+    end = len(raw) - 4 if version >= 2 else len(raw)
     if blocks > (end - head) // SMALLEST_BLOCK:
         raise c.BlockCountOverflow(f"{blocks} blocks in {end - head} bytes")
     out = Decoded(size, total, None if version < 3 or raw[32] == 0xFF else raw[32], np.empty((blocks, 256), np.int64), 0, [], [])
@@ -149,7 +158,7 @@ def append_record(raw: bytes, more: bytes, last_byte: int | None = None) -> byte
     if not old.words:
         raise c.ZeroBloomBits("a record without blocks doesn't say how large blooms are")
     seam = old.last_byte if last_byte is None else last_byte
-    new = _blocks(more, old.block_size, old.bits, old.exact[0] is not None, seam)
+    new = encoded_blocks(more, old.block_size, old.bits, old.exact[0] is not None, seam)
     head = struct.pack("<IQQQB", VERSION, old.block_size, old.total_len + len(more), len(old.words) + len(more) // old.block_size, more[-1] if more else 0xFF if old.last_byte is None else old.last_byte)
     first = HEAD3 if struct.unpack_from("<I", raw, 4)[0] >= 3 else HEAD
     end = len(raw) - 4 if struct.unpack_from("<I", raw, 4)[0] >= 2 else len(raw)

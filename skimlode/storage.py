@@ -24,7 +24,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A name of its own in the shared folder, not made yet."""
-    path = f"{shared_folder(spark)}/skimlode/{label}-{uuid.uuid4().hex}"
+    return delete_on_exit(spark, f"{shared_folder(spark)}/skimlode/{label}-{uuid.uuid4().hex}")
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> str:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+
+def open_uri(path: str, mode: str):
+    """A binary stream to write ("wb") or a seekable file to read ("rb"), for file: and any address that pyarrow knows."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" not in path:
+        return open(path, mode)
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_output_stream(inner) if mode == "wb" else system.open_input_file(inner)

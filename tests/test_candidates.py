@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from skimlode.operators.filters import ByteFilter, NgramFilter
@@ -110,3 +111,28 @@ def test_shuffles(spark):
     p = [b"ab", b"cd"]
     text = plan.candidate_ranges(blocks, BLOCK, ByteFilter.from_patterns(p), NgramFilter.from_patterns(p))._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 2 and "Python" not in text
+
+
+def test_unions_over_many_blocks_by_doubling():
+    rng = np.random.default_rng(5)
+    present = rng.random((7, 400)) < 0.02
+    heads = np.sort(rng.choice(400, 9, replace=False))
+    known = np.arange(400) - np.maximum.accumulate(np.where(np.isin(np.arange(400), [0, *heads]), np.arange(400), 0))
+    for wide in (1, 2, 3, 5, 8, 65, 257):
+        want = np.stack([present[:, max(k - known[k], k - wide + 1) : k + 1].any(axis=1) for k in range(400)], axis=1)
+        assert (plan._united(present, known, wide) == want).all()
+
+
+def test_a_pattern_of_many_blocks_takes_bounded_memory():
+    """10 000 elements or so and 257 blocks: three tables at once, not one for each block."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    patterns = plan._Patterns([rng.integers(97, 190, 64 << 10, dtype=np.uint8).tobytes()])
+    n = 257 + max(64, plan.CELLS // len(patterns.elements))
+    present = rng.random((len(patterns.elements), n), dtype=np.float32) < 0.5
+    tracemalloc.start()
+    patterns.flags(present, np.arange(n), 257)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * present.nbytes < 500 << 20
