@@ -203,7 +203,7 @@ def candidate_blocks(index: InvertedIndex, byte: ByteFilter | None = None, ngram
         if k == 0:
             words = words.withColumn("p", full())
     there = F.col("n_blocks") - F.col("chunk") * WORD  # blocks that the file doesn't have are nothing's end
-    real = F.when(there >= WORD, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), there.cast("int")) - 1)
+    real = F.when(there >= WORD, F.lit(-1).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (WORD - there).cast("int")))
     from_block = lambda k: F.when(F.col("chunk") == 0, F.lit(~((1 << k) - 1)).cast("long")).otherwise(F.lit(-1).cast("long"))
     words = words.withColumn("alone", F.bitwise_not("s").bitwiseAND(real)).withColumn("p", _all([F.col("p"), F.col("alone"), from_block(1)]))
     words = words.withColumn("m", _all([F.bitwise_not("p"), F.col("alone"), full(), from_block(2)]) if wide >= 3 else F.lit(0).cast("long"))

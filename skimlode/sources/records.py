@@ -7,6 +7,7 @@ one than the blocks that are asked for. CRC-32s of pieces are combined along a t
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import zlib
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import config as c
 from ..functions import vectors
@@ -56,25 +58,43 @@ def combined(first: int, second: int, size: int) -> int:
     return _times(shift, first) ^ second
 
 
-def _chain(rows: list[dict]) -> tuple[int, int]:
-    crc, size = 0, 0
-    for r in sorted(rows, key=lambda r: r["piece"]):
-        crc, size = combined(crc, r["crc"], r["size"]), size + r["size"]
-    return crc, size
+def in_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Rows that come in order, by their first columns; nothing is held but a batch."""
+    return itertools.groupby((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[:keys])
+
+
+def sorted_by(rows: DataFrame, *keys: str, then: str) -> DataFrame:
+    """Equal keys in one task, in order of `then`."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, then)
 
 
 def combined_checksums(pieces: DataFrame) -> DataFrame:
     """file_id, crc, size of pieces (file_id, piece, crc, size) in order, COMBINED at a time and then these."""
     kind = pieces.schema["file_id"].dataType.simpleString()
-    schema = f"file_id {kind}, piece long, crc long, size long"
 
-    def unite(key, table):
-        crc, size = _chain(table.to_pylist())
-        return pa.table({"file_id": pa.array([key[0].as_py()], table.schema.field("file_id").type), "piece": pa.array([key[1].as_py()], pa.int64()), "crc": pa.array([crc], pa.int64()), "size": pa.array([size], pa.int64())})
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (name, at), rows in in_groups(batches, 2):
+            crc, size = 0, 0
+            for _, _, _, c_, n in rows:
+                crc, size = combined(crc, c_, n), size + n
+            out.append((name, at, crc, size))
+            if len(out) >= BATCH_BLOCKS:
+                yield table(out)
+                out = []
+        if out:
+            yield table(out)
+
+    file_type = to_arrow_type(pieces.schema["file_id"].dataType)
 
-    rows = pieces.select("file_id", "piece", "crc", "size", F.floor(F.col("piece") / COMBINED).alias("at"))
-    some = rows.groupBy("file_id", "at").applyInArrow(unite, schema).withColumn("at", F.lit(0).cast("long"))
-    return some.groupBy("file_id", "at").applyInArrow(unite, schema).select("file_id", "crc", "size")
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (file_type, *[pa.int64()] * 3))], ["file_id", "piece", "crc", "size"])
+
+    def level(rows: DataFrame) -> DataFrame:
+        return sorted_by(rows, "file_id", "at", then="piece").select("file_id", "at", "piece", "crc", "size").mapInArrow(unite, f"file_id {kind}, piece long, crc long, size long")
+
+    some = level(pieces.select("file_id", "piece", "crc", "size", F.floor(F.col("piece") / COMBINED).alias("at")))
+    return level(some.withColumn("at", F.lit(0).cast("long"))).select("file_id", "crc", "size")
 
 
 # --- writing
@@ -100,13 +120,26 @@ def pieces(files: DataFrame, config: c.IndexConfig, id_col: str = "file_id", dat
     kind = files.schema[id_col].dataType.simpleString()
     raw = segment(files, config.block_size, id_col, data_col).select("file_id", F.floor(F.col("block_id") / k).alias("piece"), "block_id", "own", F.when(F.length("ext") > F.length("own"), F.substring("ext", 1, 1)).alias("before"))
 
-    def encoded(key, table):
-        rows = sorted(zip(*(table.column(n).to_pylist() for n in ("block_id", "own", "before"))))
-        before = rows[0][2]
-        data = b"".join(codec.encoded_blocks(b"".join(r[1] for r in rows), config.block_size, config.bits, config.exact, before[0] if before else None))
-        return pa.table({"file_id": pa.array([key[0].as_py()], table.schema.field("file_id").type), "piece": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([data], pa.binary()), "crc": pa.array([zlib.crc32(data)], pa.int64()), "size": pa.array([len(data)], pa.int64())})
-
-    body = raw.groupBy("file_id", "piece").applyInArrow(encoded, f"file_id {kind}, piece long, data binary, crc long, size long")
+    file_type = to_arrow_type(raw.schema["file_id"].dataType)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for (name, piece), rows in in_groups(batches, 2):
+            own = [r[3:] for r in rows]
+            before = own[0][1]
+            data = b"".join(codec.encoded_blocks(b"".join(x for x, _ in own), config.block_size, config.bits, config.exact, before[0] if before else None))
+            out.append((name, piece, data, zlib.crc32(data), len(data)))
+            held += len(data)
+            if held >= PIECE_BYTES:
+                yield table(out)
+                out, held = [], 0
+        if out:
+            yield table(out)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (file_type, pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["file_id", "piece", "data", "crc", "size"])
+
+    body = sorted_by(raw, "file_id", "piece", then="block_id").mapInArrow(encoded, f"file_id {kind}, piece long, data binary, crc long, size long")
     meta = metadata(files, config.block_size, id_col, data_col)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,12 +12,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import TransportError
 from . import codec
+from .records import in_groups, sorted_by
 
-#: Bytes of a code after its first: high and low byte of the length, and the byte.
-AFTER = 3
+#: Bytes of a code after its first (high and low byte of the length, and the byte), and rows that are given back at once.
+AFTER, BATCH_ROWS = 3, 4096
 
 
 def cut(files: DataFrame, piece_bytes: int, id_col: str = "file_id", data_col: str = "data") -> DataFrame:
@@ -109,18 +111,28 @@ def decompress(pieces: DataFrame, most: int) -> DataFrame:
             data = [x or b"" for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_states(x) for x in data], pa.list_(pa.int32())), pa.array([x[-AFTER:] for x in data], pa.binary())], ["file_id", "piece", "states", "ends"])
 
-    def compose(key, table):
-        missing, before, starts = 0, b"", []
-        ordered = sorted(table.to_pylist(), key=lambda r: r["piece"])
-        for r in ordered:
-            starts.append(before[len(before) - (1 + AFTER - missing) :] if missing else b"")
-            missing, before = r["states"][missing], (before + r["ends"])[-AFTER:]
-        if missing:
-            raise TransportError("a run is cut off")
-        return pa.table({"file_id": pa.array([r["file_id"] for r in ordered], table.schema.field("file_id").type), "piece": pa.array([r["piece"] for r in ordered], pa.int64()), "start": pa.array(starts, pa.binary())})
+    file_type = to_arrow_type(rows.schema["file_id"].dataType)
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (name,), found in in_groups(batches, 1):
+            missing, before = 0, b""
+            for _, piece, states, ends in found:
+                out.append((name, piece, before[len(before) - (1 + AFTER - missing) :] if missing else b""))
+                missing, before = states[missing], (before + ends)[-AFTER:]
+                if len(out) >= BATCH_ROWS:
+                    yield table(out)
+                    out = []
+            if missing:
+                raise TransportError("a run is cut off")
+        if out:
+            yield table(out)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (file_type, pa.int64(), pa.binary()))], ["file_id", "piece", "start"])
 
     looked = rows.mapInArrow(look, f"file_id {kind}, piece long, states array<int>, ends binary")
-    starts = looked.groupBy("file_id").applyInArrow(compose, f"file_id {kind}, piece long, start binary")
+    starts = sorted_by(looked, "file_id", then="piece").mapInArrow(compose, f"file_id {kind}, piece long, start binary")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

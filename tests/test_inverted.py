@@ -15,6 +15,7 @@ def _files(spark, seed):
     rng = random.Random(seed)
     rows = [(k, bytes(rng.choices(b"..........................................ab", k=rng.choice([0, 1, 255, 256, 257, 5000, 20_000, 60_000, 100_000])))) for k in range(14)]
     rows += [(50 + k, (b"abab" + b"." * 60) * k + b"bbaa" + b"." * 300) for k in range(12)]  # matches that end with their file
+    rows += [(70 + k, b"." * (256 * k - 3) + b"aba") for k in (63, 64, 65, 127, 128)]  # words that files fill, or lack one block of
     rows.append((100, b"." * 256 * 63 + b"abc" + b"." * 256 * 5 + b"Q" + b"." * 256 * 70 + b"Z" + b"." * 999))
     return spark.createDataFrame([*rows, (101, None)], "file_id long, data binary")
 
