@@ -801,3 +801,25 @@ def index_versions(spark, sf_dir):
     source = spark.readStream.schema(changed.schema).parquet(f"{base}/in")
     follow(index, source, f"{base}/check").awaitTermination()
     return _state(maintain.BlockIndex(EXACT, index.blocks(), rows))
+
+
+@query("""SELECT number, CAST(p AS VARCHAR) AS part, change FROM (SELECT DISTINCT doc_id % 7 AS p FROM documents), (VALUES (1, 'added'), (2, 'removed'), (2, 'edited'), (3, 'added')) v(number, change)
+    WHERE CASE WHEN number = 1 THEN p < 5 WHEN change = 'removed' THEN p = 1 WHEN change = 'edited' THEN p = 2 ELSE p IN (1, 5, 6) END""")
+def watch_polls(spark, sf_dir):
+    """Documents as a tree of seven parts that changes between three polls: parts 0 to 4 come; 1 goes and 2 is touched; 1, 5 and 6 come."""
+    base, rows = new_folder(spark, "watched"), spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", (F.col("doc_id") % 7).alias("part"))
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = place(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    put = lambda parts: rows.where(parts).write.mode("append").partitionBy("part").text(f"{base}/tree")
+    watched, found = watch.Watcher(spark, f"{base}/tree", f"{base}/kept"), []
+    put("part < 5")
+    found.append(watched.poll()[1])
+    system.rename(place(f"{base}/tree/part=1"), place(f"{base}/away"))
+    for status in system.listStatus(place(f"{base}/tree/part=2")):
+        system.setTimes(status.getPath(), status.getModificationTime() + 60_000, -1)
+    found.append(watched.poll()[1])
+    system.rename(place(f"{base}/away"), place(f"{base}/tree/part=1"))
+    put("part IN (5, 6)")
+    found.append(watched.poll()[1])
+    every = found[0].unionByName(found[1]).unionByName(found[2]).where(F.col("path").contains("/part="))
+    return every.select("number", F.regexp_extract("path", "part=([0-9]+)", 1).alias("part"), "change").distinct()

@@ -42,8 +42,53 @@ def changes(before: DataFrame, after: DataFrame, edits: bool = True) -> DataFram
     return parts
 
 
+@dataclass(frozen=True)
+class Watcher:
+    """A directory and the listings of it that are kept, numbered from 1; a poll compares a new one with the last.
+
+    A listing counts once it is written whole, so after a stop the next poll tells all that has happened since the last whole one.
+    """
+
+    spark: SparkSession
+    root: str
+    kept: str
+    config: WatchConfig = WatchConfig()
+
+    def _path(self, number: int) -> str:
+        return f"{self.kept}/{number:012d}"
+
+    @property
+    def last(self) -> int:
+        """The number of the latest listing; 0 before the first poll."""
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        where = fs.Path(self.kept)
+        system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(where):
+            return 0
+        names = [s.getPath().getName() for s in system.listStatus(where) if system.exists(fs.Path(s.getPath(), "_SUCCESS"))]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def listed(self, number: int) -> DataFrame:
+        """path, modified, length as of a poll; nothing as of poll 0."""
+        schema = "path string, modified timestamp, length long"
+        return self.spark.read.schema(schema).parquet(self._path(number)) if number else self.spark.createDataFrame([], schema)
+
+    def changed(self, number: int) -> DataFrame:
+        """number, path, change: what a poll has found."""
+        return changes(self.listed(number - 1), self.listed(number)).select(F.lit(number).cast("long").alias("number"), "path", "change")
+
+    def poll(self) -> tuple[int, DataFrame]:
+        """Keeps a new listing: its number, and changed() of it. Files are listed, not read."""
+        number = self.last + 1
+        listing(self.spark, self.root, self.config).write.mode("overwrite").parquet(self._path(number))
+        return number, self.changed(number)
+
+
 def read_files(spark: SparkSession, paths: DataFrame, config: WatchConfig = WatchConfig(), most: int = MAX_CHANGED) -> DataFrame:
-    """file_id (the path) and data of the files named in `paths`; too many bytes together are an error. Absent files are left out."""
+    """file_id (the path) and data of the files named in `paths`; too many bytes together are an error. Absent files are left out.
+
+    Spark plans scans of files by a list of them on the driver, so the changed paths come there (not the files).
+    """
     names = [r.path for r in paths.select("path").distinct().toLocalIterator()]
     if not names:
         return spark.createDataFrame([], "file_id string, data binary")

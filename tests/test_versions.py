@@ -12,6 +12,7 @@ from skimlode.operators.segment import segment
 from skimlode.operators.versions import VersionedIndex, follow
 from skimlode.plans import candidates as plan
 from skimlode.streaming.appended import appended_blocks
+from skimlode.streaming.watch import WatchConfig, Watcher
 
 CONFIG = IndexConfig(256, 1024)
 
@@ -121,3 +122,21 @@ def test_places_of_patterns(spark, monkeypatch):
     monkeypatch.setattr(found, "PATTERN_BYTES", 10)
     with pytest.raises(DataTooLarge):
         found.matches(rows, ranges, wanted)
+
+
+def test_polls_are_kept(spark, tmp_path):
+    root, kept = tmp_path / "tree", f"file://{tmp_path}/kept"
+    (root / "deep").mkdir(parents=True)
+    told = lambda found: sorted((r.number, r.path.rpartition("/")[2], r.change) for r in found.collect())
+    new = lambda: Watcher(spark, f"file://{root}", kept, WatchConfig(max_file_bytes=1000))
+    assert new().last == 0 and new().poll()[0] == 1 and told(new().changed(1)) == []
+    (root / "a").write_bytes(b"1")
+    (root / "deep" / "b").write_bytes(b"2")
+    (root / "large").write_bytes(b"3" * 1001)
+    assert told(new().poll()[1]) == [(2, "a", "added"), (2, "b", "added")]
+    (root / "a").write_bytes(b"11")
+    (root / "deep" / "b").unlink()
+    (tmp_path / "kept" / "000000000003").mkdir()  # a poll that was stopped while it wrote
+    number, found = new().poll()
+    assert number == 3 and told(found) == [(3, "a", "edited"), (3, "b", "removed")] and told(new().changed(2)) == [(2, "a", "added"), (2, "b", "added")]
+    assert told(new().poll()[1]) == [] and new().last == 4
