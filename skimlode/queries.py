@@ -152,16 +152,8 @@ def block_pairs(spark, sf_dir):
     return summary.pairs(blocks(spark, sf_dir)).groupBy("file_id", "block_id").agg(F.count("*").alias("n_pairs"), F.sum("pair").alias("pair_sum"))
 
 
-@query(f"WITH {_HASH.format('(SELECT unnest(range(0, 65536)) AS pair)')} SELECT pair, l1, l2, l1 & 65535 AS i0, (l1 + l2) & 65535 AS i1, (l1 + 2 * l2) & 65535 AS i2, l1 & 127 AS line, (l1 + 2 * (l2 + 21)) & 511 AS bit2 FROM hs")
-def pair_hash_table(spark, sf_dir):
-    pair = F.col("id")
-    a, b = low_hashes(pair)
-    at, (line, bit) = position_columns(pair, 65_536), line_columns(pair, 128)
-    return spark.range(65_536).select(pair.alias("pair"), a.alias("l1"), b.alias("l2"), *[F.element_at(at, k + 1).alias(f"i{k}") for k in range(3)], line.alias("line"), F.element_at(bit, 3).alias("bit2"))
-
-
 @query(f"WITH {_blocks_sql()}, {_PAIRS}, occurring AS (SELECT DISTINCT pair FROM pr), {_HASH.format('occurring')} SELECT pair, l1, l2, l1 & 65535 AS i0, (l1 + l2) & 65535 AS i1, (l1 + 2 * l2) & 65535 AS i2, l1 & 127 AS line, (l1 + 2 * (l2 + 21)) & 511 AS bit2 FROM hs")
-def pair_hashes(spark, sf_dir):
+def pair_hash_table(spark, sf_dir):
     """Hashes of the pairs that documents have."""
     found, pair = summary.pairs(blocks(spark, sf_dir)).select(F.col("pair").cast("long").alias("pair")).distinct(), F.col("pair")
     a, b = low_hashes(pair)
@@ -301,13 +293,8 @@ def ngram_filter(spark, sf_dir):
     return blocks(spark, sf_dir).where(NGRAM.matches(lambda p: pair_in(F.col("ext"), p))).select("file_id", "block_id")
 
 
-@query("SELECT 0 AS id, CAST(count(DISTINCT c) AS INTEGER) AS required FROM (SELECT unnest(string_split('token = \"License', '')) AS c)")
-def required_count(spark, sf_dir):
-    return spark.range(1).select(F.col("id").cast("int").alias("id"), F.lit(BYTE.required_count).alias("required"))
-
-
 @query(f"WITH {_blocks_sql()}, {_BYTES} SELECT f.file_id AS pattern_id, count(DISTINCT byte) AS required FROM f LEFT JOIN byt USING (file_id) GROUP BY f.file_id")
-def required_counts(spark, sf_dir):
+def required_count(spark, sf_dir):
     """How many bytes a filter of each document would ask for."""
     return summary.required_counts(files(spark, sf_dir), "file_id", "data")
 
@@ -480,6 +467,17 @@ def benchmark_places(spark, sf_dir):
     return matches(files(spark, sf_dir), whole.join(found, "file_id", "left_semi"), items)
 
 
+_LONGEST = "SELECT -1 AS r, hex(encode(text)) AS h FROM (SELECT text FROM documents ORDER BY octet_length(encode(text)) DESC, doc_id LIMIT 1)"
+
+
+@query(f"WITH {_blocks_sql()}, {_PAIRS}, {_BYTES}, {_ITEMS.replace('it AS (', f'it AS ({_LONGEST} UNION ALL ')}, {_MERGE} {_RANGES}")
+def many_patterns_wide(spark, sf_dir):
+    """The same with the longest document as a further pattern, over as many blocks as it has."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pattern_id"), F.col("text").cast("binary").alias("pattern"))
+    longest = files(spark, sf_dir).orderBy(F.length("data").desc(), "file_id").limit(1).select(F.lit(-1).cast("long").alias("pattern_id"), F.col("data").alias("pattern"))
+    return merge_adjacent(plan.candidate_blocks_long(blocks(spark, sf_dir), BLOCK, items.unionByName(longest)))
+
+
 @query(f"WITH {_blocks_sql()}, {_SETS}, found AS (SELECT blk.* FROM blk JOIN sets USING (file_id, block_id) WHERE {_contains([b'@'], True)}), {_MERGE} {_RANGES}")
 def merge_adjacent_ranges(spark, sf_dir):
     """Blocks that may hold an address, each a range, merged."""

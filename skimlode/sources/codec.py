@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,8 +121,7 @@ def decode(raw: bytes) -> Decoded:
         bits, n = struct.unpack("<QQ", take(16, k))
         exact, bits = bool(bits & FLAG), bits & ~FLAG
         words = np.frombuffer(take(8 * n, k), "<u8")
-        if n < -(-bits // 64) or bits == 0 or bits & (bits - 1):
-            raise c.TruncatedBlock(f"block {k}")
+        check_bloom(k, bits, n)
         table = None
         if exact:
             if struct.unpack("<Q", take(8, k))[0] != MARKER:
@@ -134,7 +133,15 @@ def decode(raw: bytes) -> Decoded:
     return out
 
 
-def bloom_from_parts(bits: int, words: np.ndarray) -> np.ndarray:
+def check_bloom(k: int, bits: int, n_words: int) -> None:
+    """bloom_from_parts() of a block of a record, whose faults are all told alike."""
+    try:
+        bloom_from_parts(bits, range(n_words))
+    except c.SkipIndexError as e:
+        raise c.TruncatedBlock(f"block {k}: {e}") from None
+
+
+def bloom_from_parts(bits: int, words: Sequence | np.ndarray) -> Sequence | np.ndarray:
     """The words of a bloom of `bits`, checked: some bits, a power of two, and enough words."""
     if bits == 0:
         raise c.ZeroBloomBits("a bloom needs at least one bit")

@@ -218,8 +218,9 @@ class _Record:
             flagged, words = struct.unpack_from("<QQ", head, self.start + 1024)
             self.exact, self.bits = bool(flagged & codec.FLAG), flagged & ~codec.FLAG
             self.stride = codec.SMALLEST_BLOCK + 8 * words + 8200 * self.exact
-            if self.bits == 0 or self.bits & (self.bits - 1) or words < -(-self.bits // 64) or self.start + self.n * self.stride > end:
-                raise c.TruncatedBlock("block 0")
+            codec.check_bloom(0, self.bits, words)
+            if self.start + self.n * self.stride > end:
+                raise c.TruncatedBlock(f"{self.n} blocks of {self.stride} bytes in {end - self.start} bytes")
 
     def blocks(self, first: int, stop: int) -> Iterator[tuple[int, np.ndarray]]:
         """Consecutive blocks as rows of bytes, BATCH_BLOCKS at most."""

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["segments", "byte_histogram", "block_pairs", "bloom_words", "cand_combined", "cand_unpaired", "cand_hash1024", "many_patterns", "cand_stored", "append_records", "blocked_membership", "crc_of_block", "index_of_changes", "append_equals_rebuild", "change_set", "stream_blocks"]
+NAMES = ["segments", "byte_histogram", "block_pairs", "bloom_words", "cand_combined", "cand_unpaired", "cand_hash1024", "many_patterns", "cand_stored", "append_records", "blocked_membership", "crc_of_block", "index_of_changes", "append_equals_rebuild", "change_set", "stream_blocks", "pair_hash_table", "required_count", "cand_inverted", "cand_inverted_long", "bitmap_membership", "record_block_range", "transport_pieces", "stream_appended", "index_versions", "truncate_many_files", "pattern_places", "benchmark_places", "watch_polls"]
 
 
 @pytest.fixture(scope="module")
