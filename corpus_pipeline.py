@@ -69,6 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the whole documents table; each stage before is written and read again. Null and repeated rows and an empty table are as the stages say."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = common.stored(stage(spark, docs, sf_dir), name)
