@@ -461,12 +461,12 @@ def _apart(chunks: DataFrame, roots: DataFrame) -> DataFrame:
 
     The largest component's members go, in chunks, to each chunk of the others; these go to all chunks.
     """
-    members = chunks.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "size", F.coalesce("root", "cls").alias("root"))
+    members = common.stored(chunks.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "size", F.coalesce("root", "cls").alias("root")), "members")
     parts = members.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     whole = parts.groupBy("bucket").agg(F.max(F.struct("n", "s", "root")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).where(F.col("n") > F.col("top.n"))
     split = lambda n, s: F.greatest(F.ceil(n / CHUNK_CLASSES), F.ceil(s / CHUNK_SHINGLES), F.lit(1))
-    whole = whole.select("bucket", F.col("top.root").alias("bulk"), split(F.col("top.n"), F.col("top.s")).alias("bulks"), split(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("minors"))
-    open_ = members.join(whole, "bucket")
+    whole = whole.select("bucket", F.col("n").alias("rows"), F.col("top.root").alias("bulk"), split(F.col("top.n"), F.col("top.s")).alias("bulks"), split(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("minors"))
+    open_ = common.join_hot(members, common.stored(whole, "open"), "bucket", "rows", members.count())
     minor = F.col("root") != F.col("bulk")
     own = F.pmod(F.xxhash64("cls"), F.when(minor, F.col("minors")).otherwise(F.col("bulks")))
     lines = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
@@ -507,7 +507,7 @@ def similar(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_c
     their own component. Two rows are linked if their sets' intersection is percent % of the union or more; equal sets
     are. component_id: the smallest doc_id that can be reached by links (null ids only if there is no other);
     first_row: that row's number, the smallest of repeated ones. Sets are compared by 64-bit hashes of shingles.
-    Repeated rows have the same set; an empty table gives no rows. unique: whether ids are known to name rows (None: it
+    Repeated rows have the same set; an empty table gives no rows. Ids are integers. unique: whether ids are known to name rows (None: it
     is looked up).
     """
     spark = docs.sparkSession
