@@ -130,7 +130,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal if they are after all white space of BLANK is taken out; null counts as empty, so nulls and blank
     texts form one group. The row with the most code points stays, then that with the smallest id (null ids last;
     the largest 64-bit id counts as null), then the first of repeated rows: exactly one row of each group stays.
-    An empty table gives no rows; other columns of docs aren't read.
+    An empty table gives no rows; other columns of docs aren't read. Ids are integers.
     """
     raw = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keys = common.stored(raw.mapInArrow(common.releasing(digests), "_row long, doc_id long, chars long, digest binary"), "digests")

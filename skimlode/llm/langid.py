@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
 A slot of the filter holds a bit for each language, so that the slots of an n-gram, and-ed, are the mask of all
-languages that contain it. A document's n-grams are counted for each language, false positives taken off.
+languages for which it is typical. A document's n-grams are counted for each language, false positives taken off.
 """
 
 from __future__ import annotations
@@ -184,7 +184,8 @@ def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
     """Filters from a sample of the labelled rows: of each language the documents with the smallest hashes of their texts.
 
     Each distinct text counts once. Rows without a label or text teach nothing, nor do texts over an eighth of sample_bytes. The driver counts the
-    sample text by text, and keeps its distinct n-grams only.
+    sample text by text, and keeps its distinct n-grams only. A language's filter holds its GRAMS most frequent typical n-grams
+    at most, LEAST times there or more: rarer ones are not learned.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= sample_bytes // 8)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = {r["lang"]: r["count"] for r in usable.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").count().collect()}

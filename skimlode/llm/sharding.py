@@ -197,7 +197,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BYTES, id_
     """doc_id, size, text_crc32, shard and slot of each row of docs.
 
     Rows of equal texts (equal SHA-256) are a group and stay together, however large. Groups are ordered by their
-    smallest id, rows in a group by id (null ids first, each null or repeated id as it comes). Cuts between groups make
+    smallest id (ids are integers), rows in a group by id (null ids first, each null or repeated id as it comes). Cuts between groups make
     the largest shard as small as it can be; below that, sizes are as equal as cuts allow. Null texts count as empty.
     Shards are numbered from 0 and may be empty if there are fewer groups than shards. slot counts a shard's rows from 0.
 
