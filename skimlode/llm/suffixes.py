@@ -35,8 +35,8 @@ BATCH_BYTES = 8 << 20
 FAN_IN, RUN = 64, 150_000
 #: Suffixes of equal seeds that are compared pair by pair; larger groups by classes of equal prefixes.
 PAIRWISE = 6
-#: Runs of so many bytes with a period of PERIOD at most are known to repeat; anchors stay in the first and last EDGE bytes.
-PERIODIC, PERIOD = 2048, 32
+#: Runs of so many bytes with a period of PERIOD at most are known to repeat (LOOK bytes tell the period); anchors stay in the first and last EDGE bytes.
+PERIODIC, PERIOD, LOOK = 2048, 32, 64
 EDGE = LENGTH + PERIOD
 SEED_ENTRY = np.dtype([("seed", "<u8"), ("cls", "V16"), ("at", "<u4")])
 DONE = np.dtype([("cls", "V16"), ("lo", "<u4"), ("hi", "<u4")])
@@ -73,14 +73,12 @@ def periodic(text: bytes) -> list[tuple[int, int]]:
     """
     if len(text) < PERIODIC:
         return []
-    data = np.frombuffer(text, np.uint8)
-    step, look = PERIODIC // 2, 64  # a run holds a whole step; few bytes of each tell which periods can be there
-    at = np.arange(0, len(data) - look - PERIOD, step)
-    cells = np.lib.stride_tricks.sliding_window_view(data, look + PERIOD)[at]
-    found: list[tuple[int, int]] = []
-    for q in range(1, PERIOD + 1):
-        if not (cells[:, :look] == cells[:, q : q + look]).all(axis=1).any():
-            continue
+    periods = set()
+    for at in range(0, len(text) - LOOK - PERIOD, PERIODIC // 2):  # a run holds such a stretch whole
+        if (again := text.find(text[at : at + LOOK], at + 1, at + LOOK + PERIOD)) >= 0:
+            periods.add(again - at)
+    data, found = np.frombuffer(text, np.uint8), []
+    for q in sorted(periods):
         differs = np.concatenate(([-1], np.flatnonzero(data[q:] != data[:-q]), [len(data) - q]))
         long = np.flatnonzero(np.diff(differs) - 1 + q >= PERIODIC)
         for lo, hi in zip((differs[long] + 1).tolist(), (differs[long + 1] + q).tolist()):
