@@ -23,7 +23,8 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return all_[ends[0] : ends[-1]], ends - ends[0]
 
 
-def _distinct(rows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct(rows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of row and code (below 65 536), in order; rows come in order."""
     kind = np.uint32 if not len(rows) or rows[-1] < 1 << 16 else np.uint64
     key = np.sort(rows.astype(kind) << kind(16) | codes.astype(kind))
     key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
@@ -35,7 +36,7 @@ def pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, starts = raw_bytes(column)
     rows = np.repeat(np.arange(len(column)), np.diff(starts))
     inside = rows[1:] == rows[:-1]
-    return _distinct(rows[:-1][inside], (data[:-1].astype(np.uint32) << np.uint32(8) | data[1:])[inside])
+    return distinct(rows[:-1][inside], (data[:-1].astype(np.uint32) << np.uint32(8) | data[1:])[inside])
 
 
 def byte_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,9 +82,17 @@ def words(bits_set: np.ndarray) -> np.ndarray:
     return np.packbits(bits_set, axis=1, bitorder="little").view("<i8")
 
 
-def lists(rows: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
-    """A list for each of n rows, from values in order of their rows."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
+def set_bits(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of each bit that is set in rows of bytes, lowest bit first; bytes that are 0 aren't unpacked."""
+    rows, at = np.nonzero(table)
+    which, bit = np.nonzero(np.unpackbits(table[rows, at][:, None], axis=1, bitorder="little"))
+    return rows[which], at[which] << 3 | bit
+
+
+def lists(rows: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType, have: np.ndarray | None = None) -> pa.Array:
+    """A list for each of n rows, from values in order of their rows; have: which rows have one, others are null."""
+    mask = None if have is None else pa.array(~have)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), pa.array(values, kind), mask=mask)
 
 
 def word_lists(table: np.ndarray) -> pa.Array:
