@@ -12,6 +12,8 @@ from .hashing import HASHES, MULTIPLIER
 
 #: Cells of a table of flags that are held at once.
 CELLS = 1 << 24
+#: Bytes of values that are looked at at once.
+STRETCH = 1 << 20
 
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +50,23 @@ def byte_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 8, at & 255, table[at]
 
 
+def distinct_bytes(column: pa.Array) -> np.ndarray:
+    """How many bytes each value has: STRETCH bytes of the column are looked at at once, so that long values don't count."""
+    data, starts = raw_bytes(column)
+    out = np.zeros(len(column), np.int64)
+    first = 0
+    while first < len(out):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + STRETCH, "right")) - 1)
+        last = min(last, len(out), first + (STRETCH >> 8))
+        seen = np.zeros((last - first) << 8, bool)
+        for lo in range(int(starts[first]), int(starts[last]), STRETCH):
+            at = np.arange(lo, min(int(starts[last]), lo + STRETCH))
+            seen[(np.searchsorted(starts[first : last + 1], at, "right") - 1) << 8 | data[at]] = True
+        out[first:last] = seen.reshape(-1, 256).sum(axis=1)
+        first = last
+    return out
+
+
 @cache
 def positions(bits: int) -> np.ndarray:
     """Bit positions of all pairs in a bloom of `bits`."""
@@ -77,6 +96,19 @@ def flags(column: pa.Array, table: np.ndarray, bits: int) -> Iterator[tuple[int,
         yield lo, hi, out
 
 
+def bits_set(column: pa.Array, table: np.ndarray, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The same bounds, with row (from the first of them) and position of each bit that is set, in order, without a table of flags."""
+    rows, codes = pairs(column)
+    step, kind = max(1, CELLS // bits), np.uint32 if bits <= 1 << 31 else np.uint64
+    for lo in range(0, len(column), step):
+        hi = min(len(column), lo + step)
+        i, j = np.searchsorted(rows, (lo, hi))
+        key = ((rows[i:j, None] - lo) * bits + table[codes[i:j]]).astype(kind).ravel()
+        key.sort()
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+        yield lo, hi, *np.divmod(key.astype(np.int64), bits)
+
+
 def words(bits_set: np.ndarray) -> np.ndarray:
     """Rows of flags as signed 64-bit words."""
     return np.packbits(bits_set, axis=1, bitorder="little").view("<i8")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,14 +33,19 @@ def _narrow(blocks: DataFrame, keep: list[str], column: str, added: str, run: Ca
     return rows.mapInArrow(mapped, schema)
 
 
+def _exploded(rows: DataFrame, *columns: Column) -> DataFrame:
+    """A row for each element `one` of column `some`: Spark's own explode, so that keys aren't repeated between Python and Spark."""
+    return rows.select(*KEY, F.explode("some").alias("one")).select(*KEY, *columns)
+
+
 def histogram(blocks: DataFrame) -> DataFrame:
     """file_id, block_id, byte, cnt: how often each byte that occurs does."""
 
     def run(b, own):
         rows, byte, n = vectors.byte_counts(own)
-        yield rows, [pa.array(byte, pa.int32()), pa.array(n, pa.int64())]
+        yield np.arange(len(own)), [vectors.lists(rows, byte << 48 | n, len(own), pa.int64())]
 
-    return _narrow(blocks, KEY, "own", "byte int, cnt long", run)
+    return _exploded(_narrow(blocks, KEY, "own", "some array<long>", run), F.shiftright("one", 48).cast("int").alias("byte"), F.col("one").bitwiseAND(F.lit((1 << 48) - 1)).alias("cnt"))
 
 
 def required_counts(patterns: DataFrame, id_col: str = "pattern_id", pattern_col: str = "pattern") -> DataFrame:
@@ -48,8 +53,7 @@ def required_counts(patterns: DataFrame, id_col: str = "pattern_id", pattern_col
     rows = patterns.select(F.col(id_col).alias("pattern_id"), F.coalesce(F.col(pattern_col).cast("binary"), F.lit(b"")).alias("pattern"))
 
     def run(b, pattern):
-        at, _, _ = vectors.byte_counts(pattern)
-        yield np.arange(len(pattern)), [pa.array(np.bincount(at, minlength=len(pattern)), pa.int64())]
+        yield np.arange(len(pattern)), [pa.array(vectors.distinct_bytes(pattern), pa.int64())]
 
     return _narrow(rows, ["pattern_id"], "pattern", "required long", run)
 
@@ -58,10 +62,9 @@ def pairs(blocks: DataFrame) -> DataFrame:
     """file_id, block_id, pair: distinct pairs of each block, that across its start included."""
 
     def run(b, ext):
-        rows, codes = vectors.pairs(ext)
-        yield rows, [pa.array(codes, pa.int32())]
+        yield np.arange(len(ext)), [vectors.lists(*vectors.pairs(ext), len(ext), pa.int32())]
 
-    return _narrow(blocks, KEY, "ext", "pair int", run)
+    return _exploded(_narrow(blocks, KEY, "ext", "some array<int>", run), F.col("one").alias("pair"))
 
 
 def summarize(blocks: DataFrame, config: IndexConfig) -> DataFrame:
@@ -83,11 +86,10 @@ def bloom_bits(blocks: DataFrame, bits: int) -> DataFrame:
     """file_id, block_id, bit: set bits of each block's bloom."""
 
     def run(b, ext):
-        for lo, _, flags in vectors.flags(ext, vectors.positions(bits), bits):
-            rows, at = np.nonzero(flags)
-            yield rows + lo, [pa.array(at, pa.int64())]
+        for lo, hi, rows, at in vectors.bits_set(ext, vectors.positions(bits), bits):
+            yield np.arange(lo, hi), [vectors.lists(rows, at, hi - lo, pa.int32())]
 
-    return _narrow(blocks, KEY, "ext", "bit long", run)
+    return _exploded(_narrow(blocks, KEY, "ext", "some array<int>", run), F.col("one").cast("long").alias("bit"))
 
 
 def bloom_words(blocks: DataFrame, bits: int) -> DataFrame:
@@ -128,11 +130,11 @@ def blocked_bits(blocks: DataFrame, bits: int) -> DataFrame:
     lines, _ = line_count(bits)
 
     def run(b, ext):
-        for lo, _, flags in vectors.flags(ext, vectors.line_positions(lines), lines * 512):
-            rows, at = np.nonzero(flags)
-            yield rows + lo, [pa.array(at >> 9, pa.int64()), pa.array(at & 511, pa.int64())]
+        for lo, hi, rows, at in vectors.bits_set(ext, vectors.line_positions(lines), lines * 512):
+            yield np.arange(lo, hi), [vectors.lists(rows, at, hi - lo, pa.int32())]
 
-    return _narrow(blocks, KEY, "ext", "line long, bit long", run)
+    one = F.col("one")
+    return _exploded(_narrow(blocks, KEY, "ext", "some array<int>", run), F.shiftright(one, 9).cast("long").alias("line"), one.bitwiseAND(511).cast("long").alias("bit"))
 
 
 def file_words(blocks: DataFrame, bits: int) -> DataFrame:
