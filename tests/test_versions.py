@@ -140,3 +140,21 @@ def test_polls_are_kept(spark, tmp_path):
     number, found = new().poll()
     assert number == 3 and told(found) == [(3, "a", "edited"), (3, "b", "removed")] and told(new().changed(2)) == [(2, "a", "added"), (2, "b", "added")]
     assert told(new().poll()[1]) == [] and new().last == 4
+
+
+def test_one_group_holds_many_growing_files(spark, tmp_path):
+    """State and calls are by group of files: any number of groups gives the same blocks, null ids and large ids included."""
+    rng = random.Random(12)
+    data = {None: rng.randbytes(700), (1 << 60) + 1: rng.randbytes(5000)} | {k: rng.randbytes(rng.randrange(900)) for k in range(30)}
+    pieces = [(name, k, raw[k * 300 : (k + 1) * 300] if k < 2 else raw[600:]) for name, raw in data.items() for k in range(3)] + [(name, 3, None) for name in data if name != 7]
+    schema = "file_id long, seq int, data binary"
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    for batch in ((0,), (1, 2, 3)):
+        spark.createDataFrame([p for p in pieces if p[1] in batch], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        blocks = appended_blocks(source, 256, groups=2).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check")
+        blocks.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    want = segment(spark.createDataFrame(list(data.items()), "file_id long, data binary"), 256).select(got.columns)
+    short = len(data[7]) // 256  # never closed: its last bytes wait
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.where(f"file_id IS NULL OR file_id <> 7 OR block_id < {short}").collect()))
