@@ -31,6 +31,8 @@ SCHEMA = "file_id string, block_id long, block_size long, total_len long, bytes_
 #: Bytes of a piece and of the data it is made of, pieces whose checksums are combined at once, and bytes of a partition.
 PIECE_BYTES, PIECE_DATA, COMBINED, SPLIT_BYTES = 4 << 20, 16 << 20, 1024, 64 << 20
 ENDING, BATCH_BLOCKS = ".fsbx", 1024
+#: Records in one part that a task verifies.
+RECORDS_OF_TASK = 20_000
 #: CRC-32's polynomial, bits reflected: fixed value.
 POLYNOMIAL = 0xEDB88320
 
@@ -112,11 +114,20 @@ def blocks_of_piece(config: c.IndexConfig) -> int:
 def pieces(files: DataFrame, config: c.IndexConfig, id_col: str = "file_id", data_col: str = "data") -> DataFrame:
     """file_id, piece, data: each file's record, cut between blocks; together, in order, the bytes of codec.encode().
 
-    The first piece begins with the head and the last one ends with the checksum. Blocks are shuffled by piece and encoded
-    there, so no value and no task holds a record. Null and empty files have a record without blocks. Ids name files.
+    The first piece begins with the head and the last one ends with the checksum. A file whose record is one piece is encoded
+    where it is; of others blocks are shuffled by piece and encoded there, so no value and no task holds a large record. Null
+    and empty files have a record without blocks. Ids name files.
     """
     config.validate()
     k = blocks_of_piece(config)
+    rows = files.select(F.col(id_col).alias("file_id"), F.col(data_col).cast("binary").alias("data"))
+    small = F.coalesce(F.length("data"), F.lit(0)) <= k * config.block_size
+    whole = codec.encode_files(rows.where(small), config).select("file_id", F.lit(0).cast("long").alias("piece"), F.col("record").alias("data"), F.lit(True).alias("alone"))
+    return whole.unionByName(_large_pieces(rows.where(~small), config, k))
+
+
+def _large_pieces(files: DataFrame, config: c.IndexConfig, k: int, id_col: str = "file_id", data_col: str = "data") -> DataFrame:
+    """The same of files with more than k blocks."""
     kind = files.schema[id_col].dataType.simpleString()
     raw = segment(files, config.block_size, id_col, data_col).select("file_id", F.floor(F.col("block_id") / k).alias("piece"), "block_id", "own", F.when(F.length("ext") > F.length("own"), F.substring("ext", 1, 1)).alias("before"))
 
@@ -341,20 +352,39 @@ def verify(spark: SparkSession, folder: str, piece_bytes: int = PIECE_BYTES) ->
     records: dict[str, list[tuple[str, int]]] = {}
     for name, size in listed(folder):
         records.setdefault(unquote(name[: name.index(ENDING)]), []).append((f"{folder}/{name}", size))
-    rows = [(file, k, *part) for file, parts in records.items() for k, part in enumerate(parts)]
+    single = [(file, *parts[0]) for file, parts in records.items() if len(parts) == 1]
+    rows = [(file, k, *part) for file, parts in records.items() if len(parts) > 1 for k, part in enumerate(parts)]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [_sum_of(path, size, True, True, piece_bytes) for path, size in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([crc == tail if version >= 2 else None for crc, tail, version in said], pa.bool_())], ["file_id", "ok"])
+
+    names = pa.table(list(zip(*single)) or [[]] * 3, pa.schema([("file_id", pa.string()), ("path", pa.string()), ("size", pa.int64())]))
+    alone = spark.createDataFrame(names).repartition(max(1, -(-len(single) // RECORDS_OF_TASK), min(len(single), spark.sparkContext.defaultParallelism))).mapInArrow(whole, "file_id string, ok boolean")
+    return alone.unionByName(_verified(spark, rows, piece_bytes)) if rows else alone
+
+
+def _sum_of(path: str, size: int, first: bool, last: bool, piece_bytes: int) -> tuple[int, int | None, int | None]:
+    """CRC-32 of a part of a record but for its checksum, this checksum if the part is the last, the version if it is the first."""
+    with open_uri(path, "rb") as f:
+        version = struct.unpack("<4sI", f.read(8))[1] if first else None
+        f.seek(0)
+        left, crc = size - 4 * last, 0
+        while left > 0 and (got := f.read(min(left, piece_bytes))):
+            crc, left = zlib.crc32(got, crc), left - len(got)
+        return crc, struct.unpack("<I", f.read(4))[0] if last else None, version
+
+
+def _verified(spark: SparkSession, rows: list[tuple], piece_bytes: int) -> DataFrame:
+    """The same of records in several parts (file_id, part, path, size): their sums are combined."""
     parts = spark.createDataFrame(rows, "file_id string, part long, path string, size long").repartition("path")
     last = parts.groupBy("file_id").agg(F.max("part").alias("last"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                with open_uri(r["path"], "rb") as f:
-                    version = struct.unpack("<4sI", f.read(8))[1] if r["part"] == 0 else None
-                    f.seek(0)
-                    left, crc = r["size"] - 4 * (r["part"] == r["last"]), 0
-                    while left > 0 and (got := f.read(min(left, piece_bytes))):
-                        crc, left = zlib.crc32(got, crc), left - len(got)
-                    said = struct.unpack("<I", f.read(4))[0] if r["part"] == r["last"] else None
+                crc, said, version = _sum_of(r["path"], r["size"], r["part"] == 0, r["part"] == r["last"], piece_bytes)
                 size = r["size"] - 4 * (r["part"] == r["last"])
                 yield pa.RecordBatch.from_pylist([{"file_id": r["file_id"], "piece": r["part"], "crc": crc, "size": size, "said": said, "version": version}], schema=kind)
 

@@ -94,3 +94,16 @@ def test_damaged_records(spark, tmp_path):
     (folder / "good.fsbx").write_bytes(good)
     (folder / "changed.fsbx").write_bytes(good[:500] + bytes([good[500] ^ 1]) + good[501:])
     assert {r.file_id: r.ok for r in records.verify(spark, f"file://{folder}").collect()} == {"good": True, "changed": False}
+
+
+def test_small_records_are_made_and_verified_without_a_shuffle(spark, tmp_path):
+    data = {f"f{k}": random.Random(k).randbytes(200 * k) for k in range(30)}
+    folder = _written(spark, tmp_path, data)
+    checked = records.verify(spark, folder)
+    assert "SortMergeJoin" not in checked._jdf.queryExecution().executedPlan().toString() and "hashpartitioning" not in checked._jdf.queryExecution().executedPlan().toString()
+    assert {r.file_id for r in checked.collect() if r.ok} == {*data, "none"}
+    for name, raw in data.items():
+        assert (tmp_path / "r" / f"{name}.fsbx").read_bytes() == codec.encode(raw, CONFIG)
+    old = codec.encode(b"old " * 100, CONFIG)
+    (tmp_path / "r" / "old.fsbx").write_bytes(old[:4] + b"\x01" + old[5:32] + old[33:-4])
+    assert {r.file_id: r.ok for r in records.verify(spark, folder).collect()}["old"] is None
