@@ -9,7 +9,6 @@ symbol of its own, and expansions have known lengths, any id can be reached with
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import PieceTable
+from .pieces import BEGINS_SPACE, LINE_END, PieceTable, code_points, kinds
 from .wordbpe import vocabulary
 
 MAGIC = b"SKLRPAIR"
@@ -178,8 +177,6 @@ class Shard:
 
 
 _tables: dict[str, PieceTable] = {}
-#: Pieces that may stand side by side: they begin with at most one space and end with none.
-_PLAIN = re.compile(r" ?[^\s<](?:[^<]*[^\s<])?")
 #: Bytes of one text that the library gets.
 CALL_BYTES = 20_000
 
@@ -199,10 +196,14 @@ def _library(file: str) -> PieceTable:
 def _encoded(tokenizer, sizes: np.ndarray, line: list[int], pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The library's ids of distinct pieces, many in one call: all ids in a row, and each piece's first and number.
 
-    Plain pieces are encoded side by side, a line end before those without a space: none of these places is inside a
-    token. How many bytes each token stands for (a letter of the byte-level alphabet each) tells where a piece ends.
+    Plain pieces (they begin with at most one space, end with none and hold no "<") are encoded side by side, a line end
+    before those without a space: none of these places is inside a token. How many bytes each token stands for (a letter
+    of the byte-level alphabet each) tells where a piece ends.
     """
-    plain = np.fromiter((_PLAIN.fullmatch(p) is not None for p in pieces), bool, len(pieces))
+    codes, last = code_points(pieces)
+    kind = kinds(codes, last)
+    plain = kind < LINE_END
+    plain[np.searchsorted(last, np.flatnonzero(codes == ord("<")), "right")] = False
     starts, counts, parts, used = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64), [], 0
     odd = np.flatnonzero(~plain).tolist()
     for k, found in zip(odd, tokenizer.encode_batch_fast([pieces[k] for k in odd], add_special_tokens=False)):
@@ -210,9 +211,10 @@ def _encoded(tokenizer, sizes: np.ndarray, line: list[int], pieces: list[str]) -
         parts.append(np.array(found.ids, np.uint32))
         used += len(found.ids)
     owner = np.flatnonzero(plain)
-    text = [p if p[0] == " " else "\n" + p for p in map(pieces.__getitem__, owner.tolist())]
-    size = np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in text), np.int64, len(text))
-    lines = np.fromiter((t[0] == "\n" for t in text), bool, len(text))
+    lines = kind[owner] & BEGINS_SPACE == 0
+    text = ["\n" + p if alone else p for p, alone in zip(map(pieces.__getitem__, owner.tolist()), lines.tolist())]
+    past = np.concatenate(([0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)))[last]  # bytes of pieces
+    size = np.diff(past, prepend=0)[owner] + lines
     bounds = np.unique(np.concatenate((np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), CALL_BYTES)), [len(text)])))
     calls = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
     for (a, b), found in zip(calls, tokenizer.encode_batch_fast(["".join(text[a:b]) for a, b in calls], add_special_tokens=False)):
@@ -252,7 +254,7 @@ def _writer(file: str, folder: str, end_id: int, first: int):
         for b in batches:
             texts = b.column(1)
             for lo, hi in common.pieces(texts, BATCH_BYTES):
-                flat, n = table.documents([t or "" for t in texts[lo:hi].to_pylist()], spaced=True)
+                flat, n = table.documents(texts[lo:hi].fill_null(""), spaced=True)
                 ends = np.cumsum(n)
                 docs += b.column(0)[lo:hi].to_pylist()
                 held.append(np.insert(flat, ends, end_id))

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space beside other white space is no safe place to cut.
 _UNSAFE = re.compile(r"\s | \s|^ | $")
@@ -26,22 +28,45 @@ def cut(text: str) -> list[str]:
     return _SAFE_CUT.split(text) if _UNSAFE.search(text) else own
 
 
-def cut_spaced(text: str) -> list[str]:
-    """Pieces that make up the text, cut before spaces, commas and full stops and around line ends.
+def cut_spaced(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pieces, which of them make up the texts in a row, and how many each text has.
 
-    For patterns that let a space begin a word, and part words, numbers and other signs. PieceTable.documents() finds
-    texts in which such a place is none to cut at, and cuts them by spaces alone.
+    Texts are cut before spaces, commas and full stops and around line ends: for patterns that let a space begin a word, and
+    part words, numbers and other signs. PieceTable.documents() finds texts in which such a place is none to cut at, and
+    cuts them by spaces alone.
     """
-    return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").split("\0")
+    for sign in (" ", ",", "."):
+        texts = pc.replace_substring(texts, sign, "\0" + sign)
+    own = pc.split_pattern(pc.replace_substring(texts, "\n", "\0\n\0"), "\0")
+    found = own.flatten().dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(found.indices), np.asarray(pc.list_value_length(own)).astype(np.int64)
 
 
-def kind(piece: str) -> int:
-    if piece == "\n":
-        return LINE_END | ENDS_OTHER
-    core = piece[1:] if piece[:1] == " " else piece
-    if not core or core != core.strip():
-        return BAD
-    return ENDS_OTHER * (not core[-1].isalnum()) | BEGINS_STOP * (core[0] in ",." and core is piece) | BEGINS_SPACE * (core is not piece)
+def code_points(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all pieces in a row, and where each piece ends in them."""
+    return np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4"), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+
+
+def _are(test: Callable[[str], bool], codes: np.ndarray) -> np.ndarray:
+    """The test of each character; distinct ones are tested once."""
+    table = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    for c in np.flatnonzero(np.bincount(codes)).tolist():
+        table[c] = test(chr(c))
+    return table[codes]
+
+
+def kinds(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The kind of each piece, from code_points()."""
+    sizes = np.diff(ends, prepend=0)
+    out = np.full(len(ends), BAD, np.uint8)
+    some = np.flatnonzero(sizes)
+    first, last, sizes = codes[(ends - sizes)[some]], codes[ends[some] - 1], sizes[some]
+    spaced = first == ord(" ")
+    core = np.where(spaced & (sizes > 1), codes[np.minimum(ends[some] - sizes + 1, len(codes) - 1)], first)
+    good = ~_are(str.isspace, core) & ~_are(str.isspace, last)
+    kind = ENDS_OTHER * ~_are(str.isalnum, last) | BEGINS_STOP * (~spaced & ((core == ord(",")) | (core == ord(".")))) | BEGINS_SPACE * spaced
+    out[some] = np.where(good, kind, np.where((sizes == 1) & (first == ord("\n")), LINE_END | ENDS_OTHER, BAD))
+    return out
 
 
 class PieceTable:
@@ -77,7 +102,7 @@ class PieceTable:
         at = len(self.index)
         self.starts[at : at + len(new)], self.counts[at : at + len(new)] = starts + self.used, counts
         if self.spaced:
-            self.kinds[at : at + len(new)] = np.fromiter(map(kind, new), np.uint8, len(new))
+            self.kinds[at : at + len(new)] = kinds(*code_points(new))
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.index.update(zip(new, range(at, at + len(new))))
@@ -90,19 +115,25 @@ class PieceTable:
             at[unknown] = np.fromiter(map(self.index.__getitem__, missing), np.int32, len(missing))
         return at
 
-    def documents(self, texts: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each text has; spaced: the space before a piece belongs to it."""
+    def documents(self, texts: Sequence[str] | pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has; spaced: the space before a piece belongs to it.
+
+        Texts that are cut with their spaces come as an Arrow array without nulls: only distinct pieces become Python's.
+        """
         if len(self.index) > self.remembered or spaced != self.spaced:
             self.clear()
         self.spaced = spaced
-        pieces, per_text = [], np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = cut_spaced(text) if spaced else cut(text)
-            pieces += own
-            per_text[i] = len(own)
-        at = self.numbers(pieces)
-        if spaced and len(at):
-            at, per_text = self._recut(texts, at, per_text)
+        if spaced:
+            texts = texts.cast(pa.large_string())
+            pieces, own, per_text = cut_spaced(texts)
+            at, per_text = self._recut(texts, self.numbers(pieces)[own], per_text)
+        else:
+            pieces, per_text = [], np.empty(len(texts), np.int64)
+            for i, text in enumerate(texts):
+                own = cut(text)
+                pieces += own
+                per_text[i] = len(own)
+            at = self.numbers(pieces)
         counts = self.counts[at]
         ends = np.cumsum(counts, dtype=np.int64)
         where = np.repeat(self.starts[at] - ends + counts, counts)
@@ -110,17 +141,17 @@ class PieceTable:
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
         return self.flat[where], np.diff(bounds)
 
-    def _recut(self, texts: list[str], at: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _recut(self, texts: pa.Array, at: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts in which a piece may not stand alone, or not where it does, are cut by spaces alone."""
         k = self.kinds[at]
         ends = np.cumsum(per_text)
         bad = k >= BAD
         bad[1:] |= ((k[:-1] & ENDS_OTHER) > 0) & ((k[1:] & BEGINS_STOP) > 0) | ((k[:-1] & LINE_END) > 0) & ((k[1:] & (BEGINS_SPACE | LINE_END)) > 0)
-        again = set(np.searchsorted(ends, np.flatnonzero(bad), "right").tolist()) | {i for i, t in enumerate(texts) if "\0" in t}
+        again = set(np.searchsorted(ends, np.flatnonzero(bad), "right").tolist()) | set(np.flatnonzero(np.asarray(pc.match_substring(texts, "\0"))).tolist())
         if not again:
             return at, per_text
         parts = np.split(at, ends[:-1])
         for i in again:
-            own = cut(texts[i])
+            own = cut(texts[i].as_py())
             parts[i] = self.numbers([own[0], *(" " + x for x in own[1:])])
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))

@@ -5,9 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from skimlode.llm import common, grammar
+from skimlode.llm import common, grammar, pieces
 from skimlode.llm.wordbpe import vocabulary
 
 FILE = vocabulary("byte_bpe_50k.json")
@@ -75,3 +76,34 @@ def test_query_against_the_library(spark):
         want[r.doc_id] = at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
         at += len(ids)
     assert got == want
+
+
+def _kind(piece):
+    """What kinds() says, in one piece's words."""
+    if piece == "\n":
+        return pieces.LINE_END | pieces.ENDS_OTHER
+    core = piece[1:] if piece[:1] == " " else piece
+    if not core or core != core.strip():
+        return pieces.BAD
+    return pieces.ENDS_OTHER * (not core[-1].isalnum()) | pieces.BEGINS_STOP * (core[0] in ",." and core is piece) | pieces.BEGINS_SPACE * (core is not piece)
+
+
+def test_only_distinct_pieces_are_looked_up():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices([" ", "\n", "\t", ",", ".", "<", "a", "B1", "é", "日", "　", "\x1c", "𝒳", "'s", "\0"], weights=[9, 2, 1, 3, 3, 1, 9, 5, 2, 2, 1, 1, 1, 2, 1 / 9], k=rng.randrange(40))) for _ in range(3000)]
+    table, library = grammar._library(FILE), Tokenizer.from_file(FILE)
+    looked, numbers = [], table.numbers
+    table.numbers = lambda own: looked.append(own) or numbers(own)
+    try:
+        plain = ["one two, three.\nfour"] * 5000
+        for own in (texts, plain, [""], []):
+            looked.clear()
+            ids, counts = table.documents(pa.array(own, pa.string()), spaced=True)
+            want = [library.encode(t, add_special_tokens=False).ids for t in own]
+            assert counts.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+            if own is plain:
+                assert sum(map(len, looked)) == 7
+    finally:
+        del table.numbers
+    some = list(table.index) + ["", " ", "\n", " \n", "\n ", ",", " ,", ".5", "<a", " <"]
+    assert pieces.kinds(*pieces.code_points(some)).tolist() == list(map(_kind, some))
