@@ -28,6 +28,9 @@ WORD, BAND, SCAN = 64, 4096, 10
 #: Scans of a query at most; with more elements each scan has more of them.
 SCANS = 32
 BLOCKS_OF_STRETCH = plan.STRETCH
+#: Bytes of blocks whose postings are put into lists together.
+PACKED_BYTES = 4 << 20
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def element_number(element: plan.Element) -> int:
@@ -35,18 +38,36 @@ def element_number(element: plan.Element) -> int:
     return element[1] + 256 * (element[0] == "pair")
 
 
-def postings(blocks: DataFrame) -> DataFrame:
-    """file_id, chunk, element, mask of blocks (file_id, block_id, own, ext): bit k says that block 64 * chunk + k has it.
-
-    Masks are made batch by batch, without a shuffle; a chunk that two batches share has a row of each.
+def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of blocks, whatever size they come in."""
+    held, size = [], 0
+    for b in batches:
+        ends = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(b.column("own"))), dtype=np.int64)))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most - size, "right")) - 1)
+            held.append(b.slice(at, to - at))
+            size += int(ends[to] - ends[at])
+            at = to
+            if size >= most or at < b.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def packed(blocks: DataFrame) -> DataFrame:
+    """band, element and lists file_ids, chunks, masks of blocks (file_id, block_id, own, ext): bit k of a mask says that block 64 * chunk + k has it.
+
+    A row for each element of a batch, so that what is shuffled and sorted is few rows. Masks are made without a shuffle; a
+    chunk that two batches share has a mask of each.
     """
-    rows = blocks.select("file_id", "block_id", "own", "ext")
-    schema = T.StructType([rows.schema["file_id"], T.StructField("chunk", T.LongType()), T.StructField("element", T.IntegerType()), T.StructField("mask", T.LongType())])
+    rows, most = blocks.select("file_id", "block_id", "own", "ext"), PACKED_BYTES
+    kind = rows.schema["file_id"].dataType
+    schema = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("element", T.IntegerType()), *(T.StructField(n, T.ArrayType(t)) for n, t in (("file_ids", kind), ("chunks", T.LongType()), ("masks", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _stretches(batches, most):
             ids, chunk, bit = b.column(0), np.asarray(b.column(1)) // WORD, np.asarray(b.column(1)) % WORD
             new_file = np.asarray(pc.not_equal(ids[1:], ids[:-1]).fill_null(True), bool)
             heads = np.concatenate(([0], 1 + np.flatnonzero(new_file | (chunk[1:] != chunk[:-1]))))
@@ -54,17 +75,26 @@ def postings(blocks: DataFrame) -> DataFrame:
             byte_rows, byte, _ = vectors.byte_counts(b.column(2))
             pair_rows, pair = vectors.pairs(b.column(3))
             at = np.concatenate((byte_rows, pair_rows))
-            key = run_of[at] << 17 | np.concatenate((byte, pair + 256))
-            order = np.argsort(key, kind="stable")
-            key, masks = key[order], np.uint64(1) << bit[at][order].astype(np.uint64)
-            first = np.concatenate(([0], 1 + np.flatnonzero(key[1:] != key[:-1])))
-            united = np.bitwise_or.reduceat(masks, first)
-            head = heads[key[first] >> 17]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(head)), pa.array(chunk[head]), pa.array((key[first] & 0x1FFFF).astype(np.int32)), pa.array(united.view(np.int64))], ["file_id", "chunk", "element", "mask"])
+            width = len(heads).bit_length()
+            key = np.sort((np.concatenate((byte, pair + 256)) << width | run_of[at]) * WORD + bit[at])
+            place = key // WORD
+            first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            masks = np.bitwise_or.reduceat(np.uint64(1) << (key % WORD).astype(np.uint64), first).view(np.int64)
+            element, head = place[first] >> width, heads[place[first] & (1 << width) - 1]
+            own = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+            to = pa.array(np.concatenate((own, [len(element)])), pa.int32())
+            lists = [pa.ListArray.from_arrays(to, values) for values in (ids.take(pa.array(head)), pa.array(chunk[head]), pa.array(masks))]
+            yield pa.RecordBatch.from_arrays([pa.array((element[own] // BAND).astype(np.int32)), pa.array(element[own].astype(np.int32)), *lists], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def unpacked(lists: DataFrame) -> DataFrame:
+    """file_id, chunk, element, mask, band: a row for each entry of packed()'s lists."""
+    rows = lists.select("band", "element", F.inline(F.arrays_zip("file_ids", "chunks", "masks")).alias("file_id", "chunk", "mask"))
+    return rows.select("file_id", "chunk", "element", "mask", "band")
+
+
 @dataclass(frozen=True)
 class InvertedIndex:
     """postings (band, element, file_id, chunk, mask) and a row for each file: file_id, total_len, n_blocks."""
@@ -72,19 +102,31 @@ class InvertedIndex:
     block_size: int
     postings: DataFrame
     files: DataFrame
+    lists: DataFrame | None = None  # the same postings as packed() gives them, of an index that isn't stored yet
 
     @classmethod
     def build(cls, files: DataFrame, block_size: int, id_col: str = "file_id", data_col: str = "data") -> InvertedIndex:
         IndexConfig(block_size).validate()
-        rows = postings(segment(files, block_size, id_col, data_col)).withColumn("band", F.floor(F.col("element") / BAND).cast("int"))
-        return cls(block_size, rows, metadata(files, block_size, id_col, data_col).select("file_id", "total_len", "n_blocks"))
+        lists = packed(segment(files, block_size, id_col, data_col))
+        return cls(block_size, unpacked(lists), metadata(files, block_size, id_col, data_col).select("file_id", "total_len", "n_blocks"), lists)
 
     def save(self, path: str) -> None:
-        """One shuffle, by band, whose large partitions adaptive execution splits and whose small ones it joins; `about` is written last."""
-        order = ["band", "element", "file_id", "chunk"]
-        self.postings.hint("rebalance", "band").sortWithinPartitions(*order).write.partitionBy("band").parquet(f"{path}/postings")
+        """One shuffle, by band, whose large partitions adaptive execution splits and whose small ones it joins; `about` is written last.
+
+        Lists are sorted, by element and first file, and unpacked as they are written. A task's bands follow each other, so
+        their writers are opened side by side instead of sorting rows once more.
+        """
+        spark = self.files.sparkSession
+        lists = self.lists if self.lists is not None else self.postings.select("band", "element", *(F.array(n).alias(f"{n}s") for n in ("file_id", "chunk", "mask")))
+        order = ["band", "element", F.element_at("file_ids", 1), F.element_at("chunks", 1)]
+        before = spark.conf.get(_WRITERS)
+        spark.conf.set(_WRITERS, str((256 + 65_536) // BAND + 1))
+        try:
+            unpacked(lists.hint("rebalance", "band").sortWithinPartitions(*order)).write.partitionBy("band").parquet(f"{path}/postings")
+        finally:
+            spark.conf.set(_WRITERS, before)
         self.files.write.parquet(f"{path}/files")
-        self.files.sparkSession.range(1).select(F.lit(self.block_size).alias("block_size")).write.parquet(f"{path}/about")
+        spark.range(1).select(F.lit(self.block_size).alias("block_size")).write.parquet(f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> InvertedIndex:

@@ -67,3 +67,40 @@ def test_few_of_the_stored_bytes_are_read(spark, tmp_path):
     read = sum(store.lastStageAttempt(s).inputBytes() for s in stages)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < read < 0.1 * stored, (read, stored)
+
+
+def test_few_rows_are_shuffled_and_sorted_to_store_postings(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(inverted, "PACKED_BYTES", 20_000)  # words that two lists share
+    rng = random.Random(4)
+    rows = [(f"f{k:03}", bytes(rng.choices(b"abcdefgh \xff", k=rng.choice([0, 1, 256, 300, 2000, 40_000])))) for k in range(60)]
+    want = {}
+    for name, data in rows:
+        for k in range(-(-len(data) // 256)):
+            own, ext = data[256 * k : 256 * k + 256], data[max(0, 256 * k - 1) : 256 * k + 256]
+            for e in {*own, *((a << 8 | b) + 256 for a, b in zip(ext, ext[1:]))}:
+                want[name, k // 64, e] = want.get((name, k // 64, e), 0) | 1 << k % 64
+    want = {(f, c, e): m - (m >> 63 << 64) for (f, c, e), m in want.items()}
+    built = inverted.InvertedIndex.build(spark.createDataFrame(rows, "file_id string, data binary"), 256)
+    before = spark.conf.get(inverted._WRITERS)
+    spark.sparkContext.setJobGroup("pack", "pack")
+    built.save(f"{tmp_path}/i")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get(inverted._WRITERS) == before
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    shuffled = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in {s for j in tracker.getJobIdsForGroup("pack") for s in tracker.getJobInfo(j).stageIds})
+    index = inverted.InvertedIndex.load(spark, f"{tmp_path}/i")
+    index.save(f"{tmp_path}/again")  # rows that were stored are lists of one
+    for df in (built.postings, index.postings, inverted.InvertedIndex.load(spark, f"{tmp_path}/again").postings):
+        got = {}
+        found = df.collect()
+        for r in found:
+            assert r.band == r.element // inverted.BAND
+            got[r.file_id, r.chunk, r.element] = got.get((r.file_id, r.chunk, r.element), 0) | r.mask
+        assert got == want
+    assert 0 < shuffled < 0.5 * len(found), (shuffled, len(found))
+    for path in tmp_path.rglob("postings/**/*.parquet"):
+        stored = pq.ParquetFile(path).read(["element"]).column(0).to_pylist()
+        assert stored == sorted(stored)
