@@ -28,8 +28,8 @@ WORD, BAND, SCAN = 64, 4096, 10
 #: Scans of a query at most; with more elements each scan has more of them.
 SCANS = 32
 BLOCKS_OF_STRETCH = plan.STRETCH
-#: Bytes of blocks whose postings are put into lists together.
-PACKED_BYTES = 4 << 20
+#: Bytes that one row brings to Python, and bytes whose postings are put into lists together.
+PIECE_BYTES, PACKED_BYTES = 4096, 4 << 20
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
@@ -39,10 +39,10 @@ def element_number(element: plan.Element) -> int:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of blocks, whatever size they come in."""
+    """The same rows in batches of about `most` bytes, whatever size they come in."""
     held, size = [], 0
     for b in batches:
-        ends = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(b.column("own"))), dtype=np.int64)))
+        ends = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(b.column("ext"))), dtype=np.int64)))
         at = 0
         while at < b.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + most - size, "right")) - 1)
@@ -56,35 +56,48 @@ def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Reco
         yield pa.concat_batches(held)
 
 
-def packed(blocks: DataFrame) -> DataFrame:
-    """band, element and lists file_ids, chunks, masks of blocks (file_id, block_id, own, ext): bit k of a mask says that block 64 * chunk + k has it.
+def packed(files: DataFrame, block_size: int, id_col: str = "file_id", data_col: str = "data") -> DataFrame:
+    """band, element and lists file_ids, chunks, masks: bit k of a mask says that block 64 * chunk + k of the file has the element.
 
     A row for each element of a batch, so that what is shuffled and sorted is few rows. Masks are made without a shuffle; a
-    chunk that two batches share has a mask of each.
+    chunk that two batches share has a mask of each. Spark cuts files into pieces of some blocks, so that long ones aren't
+    whole in a batch; blocks are told apart within them.
     """
-    rows, most = blocks.select("file_id", "block_id", "own", "ext"), PACKED_BYTES
+    fewer = max(1, min(WORD, PIECE_BYTES // block_size))
+    together = 1 << fewer.bit_length() - 1  # blocks of a piece, which never crosses a word
+    rows, most = segment(files, block_size * together, id_col, data_col).select("file_id", "block_id", "ext"), PACKED_BYTES
     kind = rows.schema["file_id"].dataType
     schema = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("element", T.IntegerType()), *(T.StructField(n, T.ArrayType(t)) for n, t in (("file_ids", kind), ("chunks", T.LongType()), ("masks", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _stretches(batches, most):
-            ids, chunk, bit = b.column(0), np.asarray(b.column(1)) // WORD, np.asarray(b.column(1)) % WORD
+            ids, piece, (data, starts) = b.column(0), np.asarray(b.column(1)), vectors.raw_bytes(b.column(2))
+            lead = (piece > 0).astype(np.int64)  # the byte before the piece
+            own = np.diff(starts) - lead
+            n_blocks = -(-own // block_size)
+            row = np.repeat(np.arange(len(own)), n_blocks)
+            inside = np.arange(len(row)) - (np.cumsum(n_blocks) - n_blocks)[row]
+            block = np.repeat(np.arange(len(row), dtype=np.uint32), np.minimum(block_size, own[row] - inside * block_size) + lead[row] * (inside == 0))
+            chunk, bit = piece * together // WORD, (piece * together % WORD)[row] + inside
             new_file = np.asarray(pc.not_equal(ids[1:], ids[:-1]).fill_null(True), bool)
             heads = np.concatenate(([0], 1 + np.flatnonzero(new_file | (chunk[1:] != chunk[:-1]))))
-            run_of = np.repeat(np.arange(len(heads)), np.diff(np.concatenate((heads, [b.num_rows]))))
-            byte_rows, byte, _ = vectors.byte_counts(b.column(2))
-            pair_rows, pair = vectors.pairs(b.column(3))
-            at = np.concatenate((byte_rows, pair_rows))
+            run_of = np.repeat(np.arange(len(heads)), np.diff(np.concatenate((heads, [b.num_rows]))))[row]
+            flags = np.zeros(len(row) << 8, bool)
+            flags[np.delete(block << 8 | data, starts[:-1][lead > 0])] = True
+            at_byte = np.flatnonzero(flags)
+            across = starts[1:-1] - 1  # the last byte of a piece and the first of the next are no pair
+            pair_at, pair = vectors.distinct(np.delete(block[1:], across), np.delete(data[:-1].astype(np.uint32) << np.uint32(8) | data[1:], across))
+            at = np.concatenate((at_byte >> 8, pair_at))
             width = len(heads).bit_length()
-            key = np.sort((np.concatenate((byte, pair + 256)) << width | run_of[at]) * WORD + bit[at])
+            key = np.sort((np.concatenate((at_byte & 255, pair + 256)) << width | run_of[at]) * WORD + bit[at])
             place = key // WORD
             first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
             masks = np.bitwise_or.reduceat(np.uint64(1) << (key % WORD).astype(np.uint64), first).view(np.int64)
             element, head = place[first] >> width, heads[place[first] & (1 << width) - 1]
-            own = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
-            to = pa.array(np.concatenate((own, [len(element)])), pa.int32())
+            begins = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+            to = pa.array(np.concatenate((begins, [len(element)])), pa.int32())
             lists = [pa.ListArray.from_arrays(to, values) for values in (ids.take(pa.array(head)), pa.array(chunk[head]), pa.array(masks))]
-            yield pa.RecordBatch.from_arrays([pa.array((element[own] // BAND).astype(np.int32)), pa.array(element[own].astype(np.int32)), *lists], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array((element[begins] // BAND).astype(np.int32)), pa.array(element[begins].astype(np.int32)), *lists], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -107,7 +120,7 @@ class InvertedIndex:
     @classmethod
     def build(cls, files: DataFrame, block_size: int, id_col: str = "file_id", data_col: str = "data") -> InvertedIndex:
         IndexConfig(block_size).validate()
-        lists = packed(segment(files, block_size, id_col, data_col))
+        lists = packed(files, block_size, id_col, data_col)
         return cls(block_size, unpacked(lists), metadata(files, block_size, id_col, data_col).select("file_id", "total_len", "n_blocks"), lists)
 
     def save(self, path: str) -> None:

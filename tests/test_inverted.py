@@ -69,19 +69,31 @@ def test_few_of_the_stored_bytes_are_read(spark, tmp_path):
     assert 0 < read < 0.1 * stored, (read, stored)
 
 
-def test_few_rows_are_shuffled_and_sorted_to_store_postings(spark, tmp_path, monkeypatch):
-    import pyarrow.parquet as pq
-
-    monkeypatch.setattr(inverted, "PACKED_BYTES", 20_000)  # words that two lists share
-    rng = random.Random(4)
-    rows = [(f"f{k:03}", bytes(rng.choices(b"abcdefgh \xff", k=rng.choice([0, 1, 256, 300, 2000, 40_000])))) for k in range(60)]
+def _masks(rows):
+    """(file, chunk, element) -> signed mask, by a loop over blocks of 256 bytes."""
     want = {}
     for name, data in rows:
         for k in range(-(-len(data) // 256)):
             own, ext = data[256 * k : 256 * k + 256], data[max(0, 256 * k - 1) : 256 * k + 256]
             for e in {*own, *((a << 8 | b) + 256 for a, b in zip(ext, ext[1:]))}:
                 want[name, k // 64, e] = want.get((name, k // 64, e), 0) | 1 << k % 64
-    want = {(f, c, e): m - (m >> 63 << 64) for (f, c, e), m in want.items()}
+    return {(f, c, e): m - (m >> 63 << 64) for (f, c, e), m in want.items()}
+
+
+def _united(postings):
+    got = {}
+    for r in postings.collect():
+        got[r.file_id, r.chunk, r.element] = got.get((r.file_id, r.chunk, r.element), 0) | r.mask
+    return got
+
+
+def test_few_rows_are_shuffled_and_sorted_to_store_postings(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(inverted, "PACKED_BYTES", 20_000)  # words that two lists share
+    rng = random.Random(4)
+    rows = [(f"f{k:03}", bytes(rng.choices(b"abcdefgh \xff", k=rng.choice([0, 1, 256, 300, 2000, 40_000])))) for k in range(60)]
+    want = _masks(rows)
     built = inverted.InvertedIndex.build(spark.createDataFrame(rows, "file_id string, data binary"), 256)
     before = spark.conf.get(inverted._WRITERS)
     spark.sparkContext.setJobGroup("pack", "pack")
@@ -104,3 +116,16 @@ def test_few_rows_are_shuffled_and_sorted_to_store_postings(spark, tmp_path, mon
     for path in tmp_path.rglob("postings/**/*.parquet"):
         stored = pq.ParquetFile(path).read(["element"]).column(0).to_pylist()
         assert stored == sorted(stored)
+
+
+def test_pieces_of_many_blocks_reach_python(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, bytes(rng.choices(b"abcd \x00\xff", k=rng.choice([0, 1, 255, 256, 257, 511, 512, 513, 4096, 4097, 16_384, 16_385, 50_000])))) for k in range(40)]
+    files, seen = spark.createDataFrame([*rows, (99, None)], "file_id long, data binary").coalesce(2), []
+    monkeypatch.setattr(inverted, "segment", lambda rows, size, *columns: seen.append(size) or segment(rows, size, *columns))
+    want = _masks(rows)
+    for piece, packed in ((4096, 4 << 20), (1, 3000), (700, 3000), (1 << 20, 1)):
+        monkeypatch.setattr(inverted, "PIECE_BYTES", piece)
+        monkeypatch.setattr(inverted, "PACKED_BYTES", packed)
+        assert _united(inverted.InvertedIndex.build(files, 256).postings) == want
+    assert seen == [4096, 256, 512, 16_384]
